@@ -23,8 +23,17 @@ CREDIT_BY_LIST = rf"^[{WORD}{SPACE}]+[{SPACE}]+by(?:[^{WORD}]|$)"
 CREDIT_START = rf"^(?:{'|'.join(CREDIT_WORDS)})[{SPACE}]*(?:$|[:：/\-])"
 
 
+# The same white space as plain characters.
+SPACE_CHARS = "".join(
+    chr(c) for low, high in (
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    ) for c in range(low, high + 1)
+)
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARS))
 
 
 def lines_of(text: Column) -> Column:
@@ -34,7 +43,11 @@ def lines_of(text: Column) -> Column:
 
 def is_credit_line(text: Column) -> Column:
     """Blank, bracketed, "… by: …", "… by A/B", copyright, or a credit word with nothing or a separator after it."""
-    clean = strip(text)
+    return is_credit_text(strip(text))
+
+
+def is_credit_text(clean: Column) -> Column:
+    """The same for text without white space at its ends."""
     low = F.lower(clean)
     return (
         (clean == "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.functions.text import is_credit_line, lines_of, strip
+from cuespan.functions.text import is_credit_text, lines_of, strip
 from cuespan.functions.timecode import idiv
 
 TAG = r"\[(\d{2}):(\d{2})[.:](\d{2,3})?\]"
@@ -27,15 +27,20 @@ def _tag_ms(tag: Column) -> Column:
 def ingest_lyrics_lrc(docs: DataFrame) -> DataFrame:
     """One row per time tag. Credit lines go first; a line ends at the next start, the last at the song's end."""
 
-    def timed(line: Column, pos: Column) -> Column:
-        text = strip(F.regexp_replace(line, TAG, ""))
-        tags = F.regexp_extract_all(line, F.lit(f"({TAG})"), F.lit(1))
-        rows = F.transform(tags, lambda tag, i: F.struct(
-            _tag_ms(tag).alias("start_ms"), pos.alias("pos"), i.alias("tag_no"), text.alias("text")))
-        return F.when(is_credit_line(text), F.slice(rows, 1, 0)).otherwise(rows)
+    def tagged(line: Column, pos: Column) -> Column:
+        return F.struct(
+            pos.alias("pos"), F.regexp_extract_all(line, F.lit(f"({TAG})"), F.lit(1)).alias("tags"),
+            strip(F.regexp_replace(line, TAG, "")).alias("text"),
+        )
 
-    lines = F.transform(lines_of(F.col("text")), strip)
-    rows = docs.select("doc_id", "duration_ms", F.array_sort(F.flatten(F.transform(lines, timed))).alias("lines"))
+    def timed(row: Column) -> Column:
+        return F.transform(row.tags, lambda tag, i: F.struct(
+            _tag_ms(tag).alias("start_ms"), row.pos.alias("pos"), i.alias("tag_no"), row.text.alias("text")))
+
+    sung = F.filter(
+        F.transform(lines_of(F.col("text")), tagged), lambda row: (F.size(row.tags) > 0) & ~is_credit_text(row.text)
+    )
+    rows = docs.select("doc_id", "duration_ms", F.array_sort(F.flatten(F.transform(sung, timed))).alias("lines"))
     ended = F.transform("lines", lambda c, i: F.struct(
         i.cast("bigint").alias("line_no"), c.start_ms.alias("start_ms"),
         F.coalesce(F.get(F.col("lines"), i + 1).start_ms, F.col("duration_ms")).alias("end_ms"), c.text.alias("text"),
@@ -45,7 +50,7 @@ def ingest_lyrics_lrc(docs: DataFrame) -> DataFrame:
 
 def ingest_lyrics_txt(docs: DataFrame) -> DataFrame:
     """Plain lines spread evenly over the song, on the 10 ms grid."""
-    lines = F.filter(F.transform(lines_of(F.col("text")), strip), lambda s: ~is_credit_line(s))
+    lines = F.filter(F.transform(lines_of(F.col("text")), strip), lambda s: ~is_credit_text(s))
     rows = docs.select("doc_id", "duration_ms", lines.alias("lines")).select("*", F.size("lines").cast("bigint").alias("n"))
     edge = lambda i: idiv(i * F.col("duration_ms") + 5 * F.col("n"), 10 * F.col("n")) * 10
     spread = rows.select("doc_id", "duration_ms", "n", F.posexplode("lines").alias("line_no", "text"))
