@@ -129,7 +129,7 @@ def slot(spark, d) -> DataFrame:
     return lyr(spark, d).filter(~F.col("text").contains(",")).select(
         "song_id", line.alias("slot_no"), "start_ms", "end_ms",
         video.alias("video_id"), video_path(video).alias("video_path"),
-        (F.col("start_ms") + 3000 + (line % 3) * 30).alias("clip_start_ms"),
+        (F.col("start_ms") + 3000 + (line % 3) * 30 + (F.col("song_id") % 5) * 60_000).alias("clip_start_ms"),
         (F.col("end_ms") - F.col("start_ms")).alias("clip_duration_ms"),
         (F.col("role") == "assistant").alias("keep_audio"),
         F.when(F.col("role") == "user", "").otherwise(F.col("role")).alias("transcript"),
@@ -158,6 +158,20 @@ def ranks(spark, d) -> DataFrame:
     )
 
 
+def cand(spark, d) -> DataFrame:
+    """Three ranked candidates per line."""
+    line, rank = F.col("line_no"), F.col("rank")
+    return lyr(spark, d).select("song_id", "line_no", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank")).select(
+        "song_id", "line_no", "rank", (F.col("song_id") + (line * (rank + 2)) % 12).alias("video_id"),
+        ((line * 37 + rank * 101) % 120 * 500).alias("t_ms"),
+    )
+
+
+def known_slot(spark, d) -> DataFrame:
+    """Slots with the duration of their source, where it is known."""
+    return slot(spark, d).join(vid(spark, d).select("video_id", F.col("duration_ms").alias("video_duration_ms")), "video_id", "left")
+
+
 def vec(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("keyframe_id"), F.col("label").cast("bigint").alias("video_id"),

@@ -59,7 +59,7 @@ CTES: dict[str, str] = {
     "slot": f"""
         SELECT song_id, line_no AS slot_no, start_ms, end_ms, song_id + line_no // 2 AS video_id,
                {video_path('song_id + line_no // 2')} AS video_path,
-               start_ms + 3000 + (line_no % 3) * 30 AS clip_start_ms, end_ms - start_ms AS clip_duration_ms,
+               start_ms + 3000 + (line_no % 3) * 30 + (song_id % 5) * 60000 AS clip_start_ms, end_ms - start_ms AS clip_duration_ms,
                role = 'assistant' AS keep_audio, CASE WHEN role = 'user' THEN '' ELSE role END AS transcript,
                role AS speaker, CASE WHEN line_no % 5 = 4 THEN 'cross-fade' ELSE 'none' END AS transition,
                role = 'system' AS dialogue_independent
@@ -72,6 +72,11 @@ CTES: dict[str, str] = {
     "ranks": """
         SELECT song_id, line_no,
                [(song_id * 7919 + line_no * 104729 + r * 15485863) % 20000 FOR r IN range(5)] AS segment_ids FROM lyr""",
+    "cand": """
+        SELECT song_id, line_no, rank::INTEGER AS rank, song_id + (line_no * (rank + 2)) % 12 AS video_id,
+               (line_no * 37 + rank * 101) % 120 * 500 AS t_ms
+        FROM lyr, range(3) r(rank)""",
+    "known_slot": "SELECT s.*, v.duration_ms AS video_duration_ms FROM slot s LEFT JOIN vid v USING (video_id)",
     "vec": """
         SELECT vec_id AS keyframe_id, label::BIGINT AS video_id, vec_id * 500 AS t_ms, embedding::DOUBLE[] AS vector
         FROM embeddings""",
