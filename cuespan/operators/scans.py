@@ -106,3 +106,23 @@ def lead(df, keys, order, chunk, columns: Sequence[str], name: str = "next", lev
 def numbered(df, keys, order, chunk, name: str, levels: int = 1) -> DataFrame:
     """Zero-based row number per key."""
     return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("bigint"))}, inclusive=False, levels=levels)
+
+
+def positions(rows: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame:
+    """Zero-based position in a total order, without sorting everything in one task.
+
+    The first column must be a whole number. Its values get their offsets from counts, and
+    the rows of one value are numbered in chunks along the other columns.
+    """
+    first = order[0]
+    counts = rows.groupBy(first).agg(F.count("*").alias("_n"))
+    # One short row per distinct leading value; groups of them are summed before they are scanned.
+    span = counts.withColumn("_block", F.floor(F.col(first) / CHUNK_FAN))
+    blocks = span.groupBy("_block").agg(F.sum("_n").alias("_m"))
+    before = blocks.select("_block", (F.sum("_m").over(Window.orderBy("_block")) - F.col("_m")).alias("_blocks_before"))
+    inside = F.sum("_n").over(Window.partitionBy("_block").orderBy(first)) - F.col("_n")
+    offsets = span.select(first, "_block", inside.alias("_in_block")).join(before, "_block").select(
+        first, (F.col("_in_block") + F.col("_blocks_before")).alias("_offset")
+    )
+    numbered_rows = numbered(rows, [first], list(order[1:]), chunk, "_at")
+    return numbered_rows.join(offsets, first).withColumn("position", F.col("_at") + F.col("_offset")).drop("_at", "_offset")
