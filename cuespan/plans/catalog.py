@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from cuespan.plans import ingest_queries, match_queries, segment_queries, table_queries, timeline_queries  # noqa: F401
-from cuespan.plans import stream_queries  # noqa: F401  (after the batch queries, whose SQL it shares)
+from cuespan.plans import ingest_queries, match_queries, segment_queries, stream_queries, table_queries, timeline_queries  # noqa: F401
 from cuespan.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

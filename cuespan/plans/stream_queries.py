@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cuespan.operators import song as SO
 from cuespan.plans import fixtures as X
+from cuespan.plans import table_queries, timeline_queries  # noqa: F401  (their SQL is shared)
 from cuespan.plans.fixtures_sql import with_tables
 from cuespan.plans.registry import ORACLES, query
-from cuespan.plans.table_queries import log_lines
 from cuespan.session import checkpoint_dir
 from cuespan.streaming import jobs
 from cuespan.streaming.assign import assign_stream
@@ -60,7 +60,7 @@ def stream_sessions(spark, d):
 def stream_motion_windows(spark, d):
     work = _work(spark)
     counted = jobs.motion_windows(_as_stream(spark, X.kf(spark, d), work)).select(
-        "video_id", F.unix_millis("window.start").alias("window_ms"), "frames", "max_motion"
+        "video_id", "window_ms", "frames", "max_motion"
     )
     jobs.to_snapshots(counted, f"{work}/out", f"{work}/state").awaitTermination()
     return _last_snapshot(spark, f"{work}/out")
@@ -77,7 +77,7 @@ def stream_active_at(spark, d):
 @query("stream_progress", ORACLES["progress_latest"])
 def stream_progress(spark, d):
     work = _work(spark)
-    latest = jobs.latest_progress(_as_stream(spark, log_lines(spark, d), work)).select("job_id", "seq", "percent", "overall")
+    latest = jobs.latest_progress(_as_stream(spark, table_queries.log_lines(spark, d), work)).select("job_id", "seq", "percent", "overall")
     jobs.to_snapshots(latest, f"{work}/out", f"{work}/state").awaitTermination()
     return _last_snapshot(spark, f"{work}/out")
 
@@ -96,7 +96,7 @@ def stream_assign(spark, d):
     before = spark.conf.get(store)
     spark.conf.set(store, ROCKSDB)
     try:
-        q = jobs.to_table(assign_stream(_as_stream(spark, prompts, work)), f"{work}/out", f"{work}/state")
+        q = jobs.to_table(assign_stream(_as_stream(spark, prompts, work), timed=False), f"{work}/out", f"{work}/state")
         return _finished(q, spark, f"{work}/out")
     finally:
         spark.conf.set(store, before)

@@ -259,7 +259,7 @@ def replace_children(spark, d):
     SELECT video_id, (t_ms // 10000) * 10000 AS window_ms, count(*) AS frames, round(avg(motion_score), 6) AS mean_motion, max(motion_score) AS max_motion FROM kf GROUP BY ALL"""))
 def motion_windows(spark, d):
     return jobs.motion_windows(X.kf(spark, d)).select(
-        "video_id", (F.unix_millis("window.start")).alias("window_ms"), "frames", F.round("mean_motion", 6).alias("mean_motion"), "max_motion"
+        "video_id", "window_ms", "frames", F.round("mean_motion", 6).alias("mean_motion"), "max_motion"
     )
 
 

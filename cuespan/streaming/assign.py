@@ -1,11 +1,14 @@
 """Diverse assignment over a stream of prompts: state per song, in line order.
 
-State is the line expected next, the last videos, the used clip ranges per video, and
-lines that came early. All of it expires when a song stays idle.
+State is the line expected next, the last videos, the clip ranges used so far, and lines
+that came early. It expires when a song stays idle. A song's state is read and written
+once per batch.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,87 +18,100 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from cuespan.operators.assign import LOOK_BACK
 
 OUTPUT = "song_id bigint, line_no bigint, rank int, video_id bigint, clip_start_ms bigint, tier int"
+STATE = "next_line bigint, recent array<bigint>, videos array<bigint>, starts array<bigint>, ends array<bigint>, early string"
 IDLE_MS = 6 * 3_600_000
 WAIT_MS = 60_000
 
+Offer = tuple[int, int, int]
+
+
+class Song:
+    """One song's progress."""
+
+    def __init__(self, state: tuple | None) -> None:
+        line, recent, videos, starts, ends, early = state or (0, [], [], [], [], "{}")
+        self.next_line, self.recent = int(line), [int(v) for v in recent]
+        self.used: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for video, start, end in zip(videos, starts, ends):
+            self.used[int(video)].append((int(start), int(end)))
+        self.early: dict[int, tuple[int, list[Offer]]] = {int(k): (v[0], [tuple(o) for o in v[1]]) for k, v in json.loads(early).items()}
+
+    def state(self) -> tuple:
+        spans = [(v, s, e) for v, ranges in self.used.items() for s, e in ranges]
+        return (
+            self.next_line, self.recent, [x[0] for x in spans], [x[1] for x in spans], [x[2] for x in spans], json.dumps(self.early),
+        )
+
+    def choose(self, length: int, offers: list[Offer]) -> tuple[int, Offer]:
+        def free(offer: Offer) -> bool:
+            start = max(0, offer[2])
+            return not any(start < e and s < start + length for s, e in self.used[offer[1]])
+
+        open_offers = [o for o in offers if free(o)]
+        fresh = [o for o in open_offers if o[1] not in self.recent]
+        if fresh:
+            return 1, fresh[0]
+        return (2, open_offers[0]) if open_offers else (3, offers[0])
+
+    def advance(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """Decide every line that is next in order."""
+        while self.next_line in self.early:
+            length, offers = self.early.pop(self.next_line)
+            if offers:
+                tier, (rank, video, time) = self.choose(length, offers)
+                start = max(0, time)
+                self.used[video].append((start, start + length))
+                self.recent = [*self.recent, video][-LOOK_BACK:]
+                yield self.next_line, rank, video, start, tier
+            elif self.recent:
+                # A line without offers shows the last clip played on.
+                self.recent = [*self.recent, self.recent[-1]][-LOOK_BACK:]
+            self.next_line += 1
+
 
 class AssignInOrder(StatefulProcessor):
-    def __init__(self, idle_ms: int = IDLE_MS, wait_ms: int = WAIT_MS) -> None:
+    def __init__(self, idle_ms: int | None, wait_ms: int | None) -> None:
         self.idle_ms, self.wait_ms = idle_ms, wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", "next_line bigint, recent array<bigint>", self.idle_ms)
-        self.used = handle.getMapState("used", "video_id bigint", "starts array<bigint>, ends array<bigint>", self.idle_ms)
-        self.early = handle.getMapState(
-            "early", "line_no bigint", "length_ms bigint, ranks array<int>, videos array<bigint>, times array<bigint>", self.idle_ms
-        )
+        self.saved = handle.getValueState("song", STATE, self.idle_ms)
+
+    def _load(self) -> Song:
+        return Song(self.saved.get())
+
+    def _advance(self, song_id: int, song: Song) -> pd.DataFrame:
+        out = [(song_id, *row) for row in song.advance()]
+        self.saved.update(song.state())
+        return pd.DataFrame(out, columns=["song_id", "line_no", "rank", "video_id", "clip_start_ms", "tier"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        song = self._load()
         for part in rows:
-            for row in part.itertuples(index=False):
-                offered = sorted((c["rank"], c["video_id"], c["t_ms"]) for c in row.candidates)
-                self.early.updateValue(
-                    (int(row.line_no),),
-                    (int(row.length_ms), [int(c[0]) for c in offered], [int(c[1]) for c in offered], [int(c[2]) for c in offered]),
-                )
-        yield self._drain(key[0], None)
-        if any(True for _ in self.early.keys()):
+            for line, length, offered in zip(part["line_no"], part["length_ms"], part["candidates"]):
+                offers = sorted((int(c["rank"]), int(c["video_id"]), int(c["t_ms"])) for c in offered)
+                song.early[int(line)] = (int(length), offers)
+        yield self._advance(key[0], song)
+        if song.early and self.wait_ms is not None:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A missing line is given up: go on with the earliest one at hand."""
-        waiting = [k[0] for k in self.early.keys()]
-        yield self._drain(key[0], min(waiting) if waiting else None)
-
-    def _drain(self, song_id: int, jump_to: int | None) -> pd.DataFrame:
-        state = self.head.get() if self.head.exists() else None
-        line, recent = (0, []) if state is None else (state[0], list(state[1]))
-        line = line if jump_to is None else max(line, jump_to)
-        out = []
-        while self.early.containsKey((line,)):
-            length, ranks, videos, times = self.early.getValue((line,))
-            self.early.removeKey((line,))
-            if len(ranks):
-                tier, at = self._choose(length, list(videos), list(times), recent)
-                video, start = int(videos[at]), max(0, int(times[at]))
-                starts, ends = self._ranges(video)
-                self.used.updateValue((video,), ([*starts, start], [*ends, start + length]))
-                out.append((song_id, line, int(ranks[at]), video, start, tier))
-                recent = [*recent, video][-LOOK_BACK:]
-            elif recent:
-                recent = [*recent, recent[-1]][-LOOK_BACK:]
-            line += 1
-        self.head.update((line, recent))
-        return pd.DataFrame(out, columns=["song_id", "line_no", "rank", "video_id", "clip_start_ms", "tier"])
-
-    def _ranges(self, video: int) -> tuple[list[int], list[int]]:
-        if not self.used.containsKey((video,)):
-            return [], []
-        starts, ends = self.used.getValue((video,))
-        return list(starts), list(ends)
-
-    def _choose(self, length: int, videos: list[int], times: list[int], recent: list[int]) -> tuple[int, int]:
-        free = []
-        for at, (video, time) in enumerate(zip(videos, times)):
-            start = max(0, time)
-            starts, ends = self._ranges(int(video))
-            if not any(start < e and s < start + length for s, e in zip(starts, ends)):
-                free.append(at)
-        for at in free:
-            if videos[at] not in recent:
-                return 1, at
-        return (2, free[0]) if free else (3, 0)
+        song = self._load()
+        if song.early:
+            song.next_line = max(song.next_line, min(song.early))
+        yield self._advance(key[0], song)
 
     def close(self) -> None:
         pass
 
 
-def assign_stream(prompts: DataFrame, *, idle_ms: int = IDLE_MS, wait_ms: int = WAIT_MS) -> DataFrame:
+def assign_stream(prompts: DataFrame, *, timed: bool = True, idle_ms: int = IDLE_MS, wait_ms: int = WAIT_MS) -> DataFrame:
     """prompts: (song_id, line_no, length_ms, candidates array<struct<rank, video_id, t_ms>>), lines counted from 0.
 
-    Needs the RocksDB state store.
+    Needs the RocksDB state store. ``timed`` is for continuous triggers: idle songs expire
+    and missing lines are given up after a while. Without it (a run over what is available
+    now, which timers would keep going for ever) late lines are waited for.
     """
-    return prompts.groupBy("song_id").transformWithStateInPandas(
-        AssignInOrder(idle_ms, wait_ms), OUTPUT, "append", "ProcessingTime"
-    )
+    logic = AssignInOrder(idle_ms, wait_ms) if timed else AssignInOrder(None, None)
+    return prompts.groupBy("song_id").transformWithStateInPandas(logic, OUTPUT, "append", "ProcessingTime" if timed else "None")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +19,17 @@ LATENESS = "10 minutes"
 MOTION_WINDOW = "10 seconds"
 
 
+# A stream's watermark begins at the epoch, where a time of 0 would count as late.
+ORIGIN_MS = 86_400_000
+
+
 def event_time(df: DataFrame, column: str, name: str = "event_time") -> DataFrame:
-    return df.withColumn(name, F.timestamp_millis(F.col(column)))
+    """Media time as a timestamp, counted from a day after the epoch."""
+    return df.withColumn(name, F.timestamp_millis(F.col(column) + ORIGIN_MS))
+
+
+def media_ms(timestamp: Column | str) -> Column:
+    return F.unix_millis(timestamp) - ORIGIN_MS
 
 
 def drop_repeated_cues(stream: DataFrame, *, lateness: str = LATENESS) -> DataFrame:
@@ -39,11 +48,12 @@ def speech_sessions(stream: DataFrame, *, gap_ms: int = SILENCE_MS, lateness: st
 
 
 def motion_windows(frames: DataFrame, *, window: str = MOTION_WINDOW, lateness: str = LATENESS) -> DataFrame:
-    """Count, mean and peak motion per video and window; works on a stream and on a table."""
+    """Count, mean and peak motion per video and window (``window_ms``); works on a stream and on a table."""
     timed = event_time(frames, "t_ms").withWatermark("event_time", lateness)
-    return timed.groupBy("video_id", F.window("event_time", window)).agg(
+    counted = timed.groupBy("video_id", F.window("event_time", window)).agg(
         F.count("*").alias("frames"), F.avg("motion_score").alias("mean_motion"), F.max("motion_score").alias("max_motion")
     )
+    return counted.select("video_id", media_ms(F.col("window.start")).alias("window_ms"), "frames", "mean_motion", "max_motion")
 
 
 def latest_progress(lines: DataFrame) -> DataFrame:
