@@ -71,10 +71,11 @@ def choose(timeline: Timeline, i: int, candidates: list[tuple[int, int, int, int
 def assign_song(lines: pd.DataFrame) -> pd.DataFrame:
     lines = lines.sort_values("line_no", kind="stable").reset_index(drop=True)
     timeline = Timeline(lines["start_ms"].to_numpy(np.int64), lines["end_ms"].to_numpy(np.int64))
-    for i in np.flatnonzero(lines["slot_video_id"].notna().to_numpy()):
-        row = lines.iloc[i]
-        limit = 0 if pd.isna(row["slot_limit_ms"]) else int(row["slot_limit_ms"])
-        timeline.fill(int(i), int(row["slot_video_id"]), int(row["slot_clip_ms"]), int(row["slot_length_ms"]), limit)
+    filled = np.flatnonzero(lines["slot_video_id"].notna().to_numpy())
+    own = lines.loc[filled, ["slot_video_id", "slot_clip_ms", "slot_length_ms", "slot_limit_ms"]].fillna(0).to_numpy(np.int64)
+    for i, (video, clip, length, limit) in zip(filled.tolist(), own.tolist()):
+        timeline.fill(i, video, clip, length, limit)
+    song, numbers = lines["song_id"].iat[0], lines["line_no"].to_numpy()
     out = []
     for i, offered in enumerate(lines["candidates"]):
         if timeline.own[i] or offered is None or not len(offered):
@@ -82,7 +83,7 @@ def assign_song(lines: pd.DataFrame) -> pd.DataFrame:
         listed = [(c["rank"], c["video_id"], c["t_ms"], c["clip_start_ms"], c["limit_ms"]) for c in offered]
         tier, (rank, video, _, clip, limit) = choose(timeline, i, listed)
         timeline.fill(i, video, clip, int(timeline.ends[i] - timeline.starts[i]), limit)
-        out.append((lines["song_id"].iat[i], lines["line_no"].iat[i], rank, video, clip, tier))
+        out.append((song, numbers[i], rank, video, clip, tier))
     return pd.DataFrame(out, columns=["song_id", "line_no", "rank", "video_id", "clip_start_ms", "tier"])
 
 
@@ -103,4 +104,6 @@ def assign_candidates(lines: DataFrame, slots: DataFrame, candidates: DataFrame)
     rows = lines.select("song_id", "line_no", "start_ms", "end_ms").join(own, ["song_id", "line_no"], "left").join(
         offered, ["song_id", "line_no"], "left"
     )
-    return rows.groupBy("song_id").applyInPandas(assign_song, CHOICE_SCHEMA)
+    # A fixed number of partitions: the pass is bound by computing, not by bytes, so small ones are not merged.
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "song_id").groupBy("song_id").applyInPandas(assign_song, CHOICE_SCHEMA)

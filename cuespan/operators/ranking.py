@@ -36,14 +36,14 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def _best(micros: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per prompt, the ids and scores of the k highest scores, lower ids first on a tie."""
-    by_id = np.argsort(ids, kind="stable")
-    ordered, n = micros[:, by_id], len(ids)
+    """Per prompt, the ids and scores of the k highest scores, lower ids first on a tie. ``ids`` ascend."""
+    n = len(ids)
     # One distinct whole number per cell: the score first, then the place in id order.
-    place = ordered * n + (n - 1 - np.arange(n))
+    place = micros * n
+    place += np.arange(n - 1, -1, -1)
     k = min(k, n)
-    top = np.argpartition(-place, k - 1, axis=1)[:, :k]
-    return ids[by_id[top]], np.take_along_axis(ordered, top, axis=1)
+    top = np.argpartition(place, n - k, axis=1)[:, n - k:]
+    return ids[top], np.take_along_axis(micros, top, axis=1)
 
 
 def rank_blocks(
@@ -63,15 +63,16 @@ def rank_blocks(
     blocks = max(1, math.ceil(prompts.count() / prompts_per_block))
     block = F.pmod(F.xxhash64("prompt_id"), F.lit(blocks)).cast("int")
     asked = prompts.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*prompts.columns)).alias("asked"))
-    # The pool rows of one Arrow batch form a block: batches are bounded by row count.
-    packed = pool.select(F.struct(*pool.columns).alias("item"))
+    # One even spread of the pool rows; those of one Arrow batch form a block, so blocks are bounded.
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = pool.repartition(parts).select(F.struct(*pool.columns).alias("item"))
     copies = packed.mapInArrow(_pack, f"items array<{pool.schema.simpleString()}>")
     copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for asked_rows, item_rows in zip(batch["asked"], batch["items"]):
-                left, right = pd.DataFrame(list(asked_rows)), pd.DataFrame(list(item_rows))
+                left, right = pd.DataFrame(list(asked_rows)), pd.DataFrame(list(item_rows)).sort_values(item_id)
                 ids = right[item_id].to_numpy()
                 micros = np.rint(np.asarray(scorer(left, right), dtype=np.float64) * SCALE).astype(np.int64)
                 best, scores = _best(micros, ids, k)

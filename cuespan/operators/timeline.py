@@ -213,16 +213,16 @@ def merge_slots(slots: DataFrame, same: Sequence[str]) -> DataFrame:
     chunk = idiv(F.col("slot_no"), LINE_CHUNK)
     keys = [c for c in dict.fromkeys(["video_id", *same])]
     rows = running(slots, ["song_id"], order, chunk, {
-        "_prev": ("last", F.struct("end_ms", *keys)), "_played": ("sum", F.col("clip_duration_ms")),
+        "_prev": ("last", F.struct("end_ms", "clip_start_ms", "clip_duration_ms", *keys)), "_played": ("sum", F.col("clip_duration_ms")),
     }, inclusive=False)
     rows = rows.withColumn("_d", F.col("clip_start_ms") - F.col("_played"))
+    rows = rows.withColumn("_last_d", F.col("_prev.clip_start_ms") - (F.col("_played") - F.col("_prev.clip_duration_ms")))
     joins = (F.abs(F.col("_prev.end_ms") - F.col("start_ms")) < MERGE_GAP_MS) & (
         F.lower(F.coalesce("transition", F.lit("none"))) == "none"
     )
     for c in keys:
         joins = joins & F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
     rows = rows.withColumn("_joins", F.coalesce(joins, F.lit(False)))
-    rows = running(rows, ["song_id"], order, chunk, {"_last_d": ("last", F.col("_d"))}, inclusive=False)
     step = F.abs(F.col("_d") - F.col("_last_d"))
     island = (~F.col("_joins") | (step >= 2 * MERGE_DRIFT_MS)).cast("bigint")
     run = (~F.col("_joins") | (F.col("_d") != F.col("_last_d"))).cast("bigint")

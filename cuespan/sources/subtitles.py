@@ -31,10 +31,16 @@ def _newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _clock(text: Column) -> Column:
-    part = lambda i: F.regexp_extract(text, CLOCK, i)
-    seconds = F.round(part(3).cast("double") * 1000).cast("bigint")
-    return F.when(text.rlike(CLOCK), part(1).cast("bigint") * 3_600_000 + part(2).cast("bigint") * 60_000 + seconds)
+    """``h:m:s.f`` to ms, null when it does not read as one."""
+    thousandths = lambda p: F.round(F.get(p, F.lit(2)).cast("double") * 1000).cast("bigint")
+    total = lambda p: F.get(p, F.lit(0)).cast("bigint") * 3_600_000 + F.get(p, F.lit(1)).cast("bigint") * 60_000 + thousandths(p)
+    return _once(text, lambda t: F.when(t.rlike(CLOCK), _once(F.split(t, ":"), total)))
 
 
 def drop_repeats(cues: DataFrame, key: str = "doc_id", *, same_ms: int = SAME_START_MS) -> DataFrame:
@@ -51,9 +57,9 @@ def ingest_srt(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.filter(blocks, lambda b: (F.size(b) >= 3) & F.get(b, F.lit(1)).contains("-->")).alias("blocks"))
 
     def cue(b: Column) -> Column:
-        times = F.transform(F.split(F.get(b, F.lit(1)), "-->"), lambda t: F.replace(strip(t), F.lit(","), F.lit(".")))
+        times = F.split(F.replace(F.get(b, F.lit(1)), F.lit(","), F.lit(".")), "-->")
         return F.struct(
-            _clock(F.get(times, F.lit(0))).alias("start_ms"), _clock(F.get(times, F.lit(1))).alias("end_ms"),
+            _clock(strip(F.get(times, F.lit(0)))).alias("start_ms"), _clock(strip(F.get(times, F.lit(1)))).alias("end_ms"),
             strip(F.array_join(F.slice(b, 3, F.greatest(F.size(b), F.lit(3))), " ")).alias("text"),
         )
 
@@ -65,16 +71,22 @@ def ingest_srt(docs: DataFrame) -> DataFrame:
 
 
 def ingest_ass(docs: DataFrame) -> DataFrame:
-    """``Dialogue:`` lines; style tags and line-break marks go, unreadable times are skipped."""
-    lines = docs.select("doc_id", F.posexplode(F.split(_newlines(F.col("text")), "\n")).alias("pos", "line"))
-    parts = F.split(strip(F.col("line")), ",", 10)
-    spoken = lines.filter(strip(F.col("line")).startswith("Dialogue:") & (F.size(parts) >= 10))
-    plain = F.regexp_replace(strip(F.get(parts, F.lit(9))), r"\{[^\n]*?\}", "")
-    plain = strip(F.regexp_replace(plain, r"\\[Nnh]", " "))
-    cues = spoken.select(
-        "doc_id", "pos", _clock(strip(F.get(parts, F.lit(1)))).alias("start_ms"),
-        _clock(strip(F.get(parts, F.lit(2)))).alias("end_ms"), plain.alias("text"),
-    )
+    """``Dialogue:`` lines; style tags and line-break marks go, unreadable times are skipped.
+
+    Each step over the lines is its own array stage, so nothing is read twice.
+    """
+    lines = F.transform(F.split(_newlines(F.col("text")), "\n"), lambda s, i: F.struct(
+        i.alias("pos"), F.split(strip(s), ",", 10).alias("f")))
+    spoken = F.filter(lines, lambda r: (F.size(r.f) >= 10) & F.get(r.f, F.lit(0)).startswith("Dialogue:"))
+
+    def cue(r: Column) -> Column:
+        plain = F.regexp_replace(strip(F.get(r.f, F.lit(9))), r"\{[^\n]*?\}", "")
+        return F.struct(
+            r.pos.alias("pos"), _clock(strip(F.get(r.f, F.lit(1)))).alias("start_ms"),
+            _clock(strip(F.get(r.f, F.lit(2)))).alias("end_ms"), strip(F.regexp_replace(plain, r"\\[Nnh]", " ")).alias("text"),
+        )
+
+    cues = docs.select("doc_id", F.inline(F.transform(spoken, cue)))
     return drop_repeats(cues.filter((F.col("text") != "") & F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()))
 
 
