@@ -73,9 +73,13 @@ def motion_cuts(keyframes: DataFrame, *, threshold: float = MOTION_CUT) -> DataF
 
 
 def silence_cuts(cues: DataFrame, *, gap_ms: int = SILENCE_MS) -> DataFrame:
-    """The middle of each silence longer than ``gap_ms`` between neighbouring cues."""
-    slim = cues.select("video_id", "start_ms", "cue_id", "end_ms")
-    rows = lead(slim, ["video_id"], ["start_ms", "cue_id"], idiv(F.col("start_ms"), CHUNK_MS), ["start_ms"])
+    """The middle of each silence longer than ``gap_ms`` between neighbouring cues.
+
+    Of cues that start together only the last listed has a silence after it, so copies
+    are reduced to one row per start before anything is put in order.
+    """
+    slim = cues.groupBy("video_id", "start_ms").agg(F.max_by("end_ms", "cue_id").alias("end_ms"))
+    rows = lead(slim, ["video_id"], ["start_ms"], idiv(F.col("start_ms"), CHUNK_MS), ["start_ms"])
     gap = F.col("next.start_ms") - F.col("end_ms")
     return rows.filter(gap > gap_ms).select(
         "video_id", midpoint10(F.col("end_ms"), F.col("next.start_ms")).alias("cut_ms")
@@ -85,13 +89,13 @@ def silence_cuts(cues: DataFrame, *, gap_ms: int = SILENCE_MS) -> DataFrame:
 def silence_sessions(cues: DataFrame, *, gap_ms: int = SILENCE_MS) -> DataFrame:
     """Runs of speech: a session ends when nothing is said for more than ``gap_ms``."""
     chunk = idiv(F.col("start_ms"), CHUNK_MS)
-    order = ["start_ms", "cue_id"]
-    slim = cues.select("video_id", *order, "end_ms")
+    order = ["start_ms"]
+    slim = cues.groupBy("video_id", "start_ms").agg(F.max("end_ms").alias("end_ms"), F.count("*").alias("said"))
     rows = running(slim, ["video_id"], order, chunk, {"_reach": ("max", F.col("end_ms"))}, inclusive=False)
     opens = F.col("_reach").isNull() | (F.col("start_ms") - F.col("_reach") > gap_ms)
     rows = running(rows, ["video_id"], order, chunk, {"session_no": ("sum", opens.cast("bigint"))})
     return rows.groupBy("video_id", "session_no").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("cues")
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sum("said").alias("cues")
     )
 
 

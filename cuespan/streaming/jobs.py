@@ -39,8 +39,8 @@ def drop_repeated_cues(stream: DataFrame, *, lateness: str = LATENESS) -> DataFr
 
 
 def speech_sessions(stream: DataFrame, *, gap_ms: int = SILENCE_MS, lateness: str = LATENESS) -> DataFrame:
-    """Runs of speech per video. A session closes at its gap, the rule is "longer than", hence the extra ms."""
-    gap = F.concat((F.col("end_ms") - F.col("start_ms") + gap_ms + 1).cast("string"), F.lit(" milliseconds"))
+    """Runs of speech per video. Sessions that touch are one, so a silence of just ``gap_ms`` does not part them."""
+    gap = F.concat((F.col("end_ms") - F.col("start_ms") + gap_ms).cast("string"), F.lit(" milliseconds"))
     timed = event_time(stream, "start_ms").withWatermark("event_time", lateness)
     return timed.groupBy("video_id", F.session_window("event_time", gap)).agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("cues")
