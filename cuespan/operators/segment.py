@@ -13,6 +13,7 @@ from cuespan.functions import vectors as V
 from cuespan.functions.timecode import idiv, midpoint10
 from cuespan.operators.intervals import CHUNK_MS, overlapping, points_in_spans
 from cuespan.operators.scans import lead, numbered, running
+from cuespan.session import cut_lineage
 
 # Fixed values of the segmentation rule.
 MOTION_CUT = 6.0
@@ -120,6 +121,8 @@ def _accepted(cuts: DataFrame, least_ms: int, chunk_ms: int) -> tuple[DataFrame,
     chunks = cuts.groupBy("video_id", idiv(F.col("cut_ms"), chunk_ms).alias("chunk")).agg(
         F.array_sort(F.collect_set("cut_ms")).alias("cuts")
     )
+    # Read twice below; what went into it is every keyframe and cue.
+    chunks = cut_lineage(chunks)
     lows = f"filter(cuts, c -> c < chunk * {chunk_ms} + {least_ms})"
     highs = f"filter(cuts, c -> c >= chunk * {chunk_ms} + {least_ms})"
     leave = f"aggregate(cuts, e, (last, c) -> IF(c - last >= {least_ms}, c, last))"

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuespan.operators.scans import running
+from cuespan.session import checkpoint_dir
 
 SCENES = ["action", "emotional", "atmospheric", "dialogue", "transition"]
 
 
+_OPENED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Opening it reads its schema, so each is opened once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _OPENED[key]
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,7 +43,22 @@ def video_path(video_id: Column) -> Column:
     return F.concat(video_dir(video_id), F.lit("/Show - "), episode, F.lit(" [v"), video_id.cast("string"), F.lit("].mkv"))
 
 
+def written(spark, d, name: str, build) -> DataFrame:
+    """A domain table as the library holds it: Parquet, written once per session to the shared folder."""
+    key = (spark.sparkContext.applicationId, d, f"written {name}")
+    if key not in _OPENED:
+        path = f"{checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}/{name}"
+        rows = build(spark, d)
+        rows.write.parquet(path)
+        _OPENED[key] = spark.read.schema(rows.schema).parquet(path)
+    return _OPENED[key]
+
+
 def frames(spark, d) -> DataFrame:
+    return written(spark, d, "frames", _frames)
+
+
+def _frames(spark, d) -> DataFrame:
     """One keyframe per event: time within the user's history, scaled 10,000 times."""
     ev = table(spark, d, "events").select(
         F.col("user_id").alias("video_id"),
@@ -92,6 +117,10 @@ def seg(spark, d) -> DataFrame:
 
 
 def lyr(spark, d) -> DataFrame:
+    return written(spark, d, "lines", _lines)
+
+
+def _lines(spark, d) -> DataFrame:
     """Every non-blank line of every turn; 40 ms per character, back to back from 1 s."""
     turns = table(spark, d, "conversations").select(
         F.col("conv_id").alias("song_id"), "turn", "role",

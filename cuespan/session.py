@@ -27,16 +27,18 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is named."""
+    """The cluster's shared checkpoint folder; a scratch one is set only where none is named."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="spark-cuespan-")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-cuespan-"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation."""
+    """``df`` written to the shared checkpoint folder: used twice, it is computed once, and lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(df.sparkSession))
