@@ -87,7 +87,9 @@ def rank_blocks(
         score, f"prompt_id {prompt_kind}, {item_id} {kind}, score_micros bigint"
     )
     w = Window.partitionBy("prompt_id").orderBy(F.desc("score_micros"), item_id)
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    # Filtered on the bare row number, which lets Spark keep only k rows per prompt before the shuffle.
+    best = scored.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k)
+    return best.withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
 def _pack(batches):
