@@ -235,12 +235,12 @@ def cache_clear(spark, d):
 
 
 @query("cascade_delete", sql("""
-    SELECT 'keyframes' AS part, video_id, count(*) AS n FROM kf WHERE video_id NOT IN (SELECT video_id FROM vid WHERE duration_ms % 2 = 0) GROUP BY ALL
-    UNION ALL SELECT 'cues', video_id, count(*) FROM cue WHERE video_id NOT IN (SELECT video_id FROM vid WHERE duration_ms % 2 = 0) GROUP BY ALL
-    UNION ALL SELECT 'segments', video_id, count(*) FROM seg WHERE video_id NOT IN (SELECT video_id FROM vid WHERE duration_ms % 2 = 0) GROUP BY ALL"""))
+    SELECT 'keyframes' AS part, video_id, count(*) AS n FROM kf WHERE video_id NOT IN (SELECT video_id FROM vid WHERE duration_ms > 250000) GROUP BY ALL
+    UNION ALL SELECT 'cues', video_id, count(*) FROM cue WHERE video_id NOT IN (SELECT video_id FROM vid WHERE duration_ms > 250000) GROUP BY ALL
+    UNION ALL SELECT 'segments', video_id, count(*) FROM seg WHERE video_id NOT IN (SELECT video_id FROM vid WHERE duration_ms > 250000) GROUP BY ALL"""))
 def cascade_delete(spark, d):
-    """Videos whose duration is an even number of ms are deleted."""
-    gone = X.vid(spark, d).filter("duration_ms % 2 = 0")
+    """The longest videos are deleted."""
+    gone = X.vid(spark, d).filter("duration_ms > 250000")
     left = CA.cascade_delete(gone, keyframes=X.kf(spark, d), cues=X.cue(spark, d), segments=X.seg(spark, d))
     parts = [df.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, df in left.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -282,11 +282,11 @@ def progress_latest(spark, d):
 @query("stream_index", sql("""
     SELECT path, CASE WHEN r.path IS NULL THEN 'new' WHEN r.size_bytes <> f.size_bytes THEN 'changed' ELSE 'known' END AS state
     FROM (SELECT DISTINCT path, size_bytes FROM files WHERE regexp_matches(path, '\\.(mkv|MP4)$')) f
-    LEFT JOIN (SELECT path, size_bytes + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS size_bytes FROM files WHERE doc_id % 2 = 0) r USING (path)""".replace("\\\\", "\\")))
+    LEFT JOIN (SELECT path, size_bytes + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS size_bytes FROM files WHERE path LIKE '%.mkv') r USING (path)""".replace("\\\\", "\\")))
 def stream_index(spark, d):
-    """Half the files were indexed before; a third of those have changed since."""
+    """The .mkv files were indexed before; a third of them have changed since."""
     found = jobs.library_changes(
         X.files(spark, d).select("path", "size_bytes"),
-        X.files(spark, d).filter("doc_id % 2 = 0").select("path", (F.col("size_bytes") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("size_bytes")),
+        X.files(spark, d).filter(F.col("path").endswith(".mkv")).select("path", (F.col("size_bytes") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("size_bytes")),
     )
     return found.select("path", "state")

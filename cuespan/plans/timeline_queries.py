@@ -367,10 +367,10 @@ def duration_lookup(spark, d):
 @query("restore_slots", sql("""
     SELECT song_id, slot_no, coalesce(v.duration_ms, clip_duration_ms + 5000) AS video_duration_ms, coalesce(v.proxy_path,
            '/api/video_file?path=' || replace(replace(replace(replace(video_path, ' ', '%20'), '[', '%5B'), ']', '%5D'), '/', '%2F')) AS proxy_url
-    FROM slot LEFT JOIN (FROM vid WHERE video_id % 3 > 0) v ON v.original_path = video_path"""))
+    FROM slot LEFT JOIN (FROM vid WHERE duration_ms < 256000) v ON v.original_path = video_path"""))
 def restore_slots(spark, d):
-    """A library that has lost part of its videos."""
-    known = X.vid(spark, d).filter("video_id % 3 > 0").withColumn("proxy_url", F.col("proxy_path"))
+    """A library that has lost its longest videos."""
+    known = X.vid(spark, d).filter("duration_ms < 256000").withColumn("proxy_url", F.col("proxy_path"))
     return TL.restore_slots(X.slot(spark, d), known).select("song_id", "slot_no", "video_duration_ms", "proxy_url")
 
 
