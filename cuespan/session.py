@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders written by ``work_table``, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -27,16 +33,45 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one is set only where none is named."""
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or the one already set on the context.
+
+    Without either, a local master gets a scratch folder of its own; a cluster gets an error, as its nodes would not
+    see each other's files.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-cuespan-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("name a folder that all nodes share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="spark-cuespan-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def work_table(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read back.
+
+    What is used more than once is computed once and survives lost executors; the size of the files is then known to
+    the optimizer, which broadcasts such a table only below its own threshold. ``drop_work`` deletes these folders.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete what ``work_table`` has written in this application; results that still read it are lost."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: used twice, it is computed once, and lost executors cost no recomputation."""
     context = df.sparkSession.sparkContext
