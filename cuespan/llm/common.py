@@ -30,7 +30,7 @@ def only(docs: DataFrame, **columns: str) -> DataFrame:
 
 def text_hash(text: Column) -> Column:
     """128 bits that stand for a whole text, null as empty."""
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def held_out(doc_id: Column) -> Column:

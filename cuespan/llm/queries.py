@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cuespan.llm.bpe import bpe_decode, bpe_encode
 from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
+from cuespan.llm.winnow import decontamination_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,34 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
         F.sha2("content", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op7_winnow"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), item AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), sized AS (SELECT item, words, least(len(words), 10) AS span FROM item WHERE len(words) > 0),
+win AS (
+  SELECT DISTINCT item, span, array_to_string(words[i : i + span - 1], ' ') AS w
+  FROM (SELECT item, words, span, unnest(range(1, len(words) - span + 2)) AS i FROM sized)
+), spans AS (SELECT DISTINCT span FROM win),
+occ AS (
+  SELECT row, i, span, array_to_string(words[i : i + span - 1], ' ') AS w
+  FROM (SELECT row, words, span, unnest(range(1, len(words) - span + 2)) AS i FROM doc, spans WHERE len(words) >= span)
+), hit AS (SELECT row, i, span, item FROM occ JOIN win USING (span, w)),
+hits AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + span)) AS p FROM hit) GROUP BY row),
+items AS (SELECT row, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS listed FROM hit GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
+"""
