@@ -253,8 +253,14 @@ class Encoder:
 
 
 #: One per worker process: it lives on while Spark reuses the worker.
-encoder = lru_cache(maxsize=2)(Encoder)
-ranks_of = lru_cache(maxsize=2)(Ranks)
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str, words: bool) -> Encoder:
+    return Encoder(path, pattern, words)
+
+
+@lru_cache(maxsize=2)
+def ranks_of(path: str) -> Ranks:
+    return Ranks(path)
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, words: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
