@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cuespan.llm.bpe import bpe_decode, bpe_encode
 from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
+from cuespan.llm.simhash import simhash_components
 from cuespan.llm.winnow import decontamination_report
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,11 @@ def op1_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"])
 
 
+@query
+def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
