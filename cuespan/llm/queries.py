@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from cuespan.llm.bpe import bpe_decode, bpe_encode
 from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
+from cuespan.llm.quality import quality_report
 from cuespan.llm.simhash import simhash_components
 from cuespan.llm.winnow import decontamination_report
+from cuespan.llm.word_bpe import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +46,39 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents")).drop("host", "text_key")
+
+
+ORACLES["op5_line_frequency"] = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), win AS (
+  SELECT row, i, count(*) OVER (PARTITION BY row, words[i], words[i + 1], words[i + 2]) AS n
+  FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM doc)
+), rep AS (SELECT row, count(DISTINCT p) AS n_repeat_words FROM (SELECT row, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY row),
+line AS (
+  SELECT row, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words
+  FROM (SELECT row, host, text, unnest(string_split(text, chr(10))) AS line FROM doc)
+), norm AS (SELECT row, host, text, line, lower(array_to_string(words, ' ')) AS norm, len(words) AS n FROM line WHERE len(words) > 0),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM norm GROUP BY row),
+common AS (SELECT host, norm FROM norm GROUP BY host, norm HAVING count(DISTINCT text) > 100),
+gone AS (SELECT row, sum(n) AS n_removed FROM norm SEMI JOIN common USING (host, norm) GROUP BY row),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed, 0)::BIGINT AS n_removed
+  FROM doc LEFT JOIN rep USING (row) LEFT JOIN dup USING (row) LEFT JOIN gone USING (row)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_removed > n_words * 0.8 AS kept
+FROM counted
+"""
+
+
 @query
 def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -73,3 +108,8 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 """
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
