@@ -1,8 +1,8 @@
-"""Token ids and counts by a tokenizers-library file, each distinct pre-token worked on once per worker.
+"""Token ids and counts by a tokenizers-library file, each distinct pre-token worked on once.
 
 A text is cut at the six ASCII white space characters. No normaliser, pre-token or added token of the supported files
 reaches across those, so a text's ids are its words' ids in order, and words are looked up by their bytes in a table the
-worker keeps. A new word is normalised and cut by the library's rules; the library's model is asked once per distinct pre-token.
+worker keeps. New words are normalised and cut to pre-tokens together, and the library's model is asked once per new pre-token.
 """
 
 from __future__ import annotations
@@ -18,46 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cuespan.llm.bpe import Memory, rows_of
 from cuespan.llm.common import in_slices, only, utf8
 
 #: Words a worker remembers before it starts anew; bounds its memory only.
-REMEMBERED = 600_000
-
-
-class Words:
-    """The library's tokenizer, asked once per distinct pre-token."""
-
-    def __init__(self, path: str):
-        self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.marks = [token["content"] for token in spec["added_tokens"]]
-        # The fast way: split by a pattern, then bytes as characters. Any other file goes through the library word by word.
-        stages = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        plain = [s["type"] for s in stages] == ["Split", "ByteLevel"] and stages[0]["behavior"] == "Removed" and stages[0]["invert"]
-        plain = plain and not stages[1]["add_prefix_space"] and not stages[1]["use_regex"] and not spec.get("post_processor")
-        kinds = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.lower = kinds == ["NFC", "Replace", "Lowercase"]
-        self.cut = regex.compile(stages[0]["pattern"]["Regex"]).findall if plain and self.lower else None
-        self.characters = byte_characters()
-        self.of_piece: dict[str, list[int]] = {}
-
-    def ids(self, word: str) -> list[int]:
-        if self.cut is None or any(mark in word for mark in self.marks):
-            return self.library.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        # ASCII is cut here; beyond it, versions of Unicode differ, and the library's own rules decide.
-        pieces = self.cut(word.lower()) if word.isascii() else [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))]
-        for piece in pieces:
-            found = self.of_piece.get(piece)
-            if found is None:
-                shown = piece.translate(self.characters) if word.isascii() else piece
-                found = self.of_piece[piece] = [token.id for token in self.library.model.tokenize(shown)]
-            out += found
-        return out
-
-    def forget(self) -> None:
-        self.of_piece.clear()
+REMEMBERED = 800_000
 
 
 def byte_characters() -> dict[int, int]:
@@ -67,86 +32,112 @@ def byte_characters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
-class Counts(dict):
-    """Number of ids of each word."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = count = len(self.words.ids(word.decode()))
-        return count
-
-
-class Numbers(dict):
-    """Number of each word in the list of ids."""
-
-    def __init__(self, words: Words):
-        super().__init__()
-        self.words, self.news = words, []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        self.news.append(self.words.ids(word.decode()))
-        return number
-
+class Words:
+    """Words of texts by number, with the number of their ids and, unless ``count_only``, the ids."""
 
-class WordEncoder:
-    """Ids of whole texts."""
+    def __init__(self, path: str, count_only: bool):
+        self.library, self.count_only = Tokenizer.from_file(path), count_only
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.marks = [token["content"] for token in spec["added_tokens"]]
+        # The rules that are followed here: NFC, white space, lower case; a pattern; bytes as characters. The library does all else.
+        stages = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        normal = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        known = normal == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in stages] == ["Split", "ByteLevel"] and not spec.get("post_processor")
+        known = known and stages[0]["behavior"] == "Removed" and stages[0]["invert"] and not stages[1]["add_prefix_space"] and not stages[1]["use_regex"]
+        self.cut = regex.compile("\n|" + stages[0]["pattern"]["Regex"]).findall if known else None
+        self.characters = byte_characters()
+        self.forget()
 
-    def __init__(self, path: str):
-        self.words = Words(path)
-        self._forget()
+    def forget(self) -> None:
+        self.numbers, self.pieces = Memory(), Memory()
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.piece_lengths, self.piece_flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _forget(self) -> None:
-        self.words.forget()
-        self.numbers, self.flat, self.lengths = Numbers(self.words), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def rows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words one after another, and the number of words of each text; new words are learnt."""
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        rows = [np.fromiter(map(self.numbers.__getitem__, text.split()), np.int32) for text in texts]
+        if self.numbers.waiting:
+            self._learn([word.decode() for word in self.numbers.news()])
+        return np.concatenate([np.zeros(0, np.int32), *rows]), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def _learn(self, words: list[str]) -> None:
+        # Within Latin-1 all versions of Unicode agree, and composed is what every character is; beyond, the library decides.
+        own = [self.cut is not None and (w.isascii() or max(w) <= "\xff") and not any(m in w for m in self.marks) for w in words]
+        plain, other = [w for w, o in zip(words, own) if o], [w for w, o in zip(words, own) if not o]
+        lengths, parts = np.zeros(len(words), np.int64), []
+        own_at = np.array(own, bool)
+        which, counts = self._pieces(plain)
+        if self.count_only:
+            ends, at = np.concatenate([[0], np.cumsum(self.piece_lengths[which])]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+            lengths[own_at] = ends[at[1:]] - ends[at[:-1]]
+        else:
+            flat, lengths[own_at] = rows_of(self.piece_flat, self.piece_lengths, which, counts)
+            parts.append((np.flatnonzero(own_at), flat))
+        if other:
+            coded = self.library.encode(other, is_pretokenized=True, add_special_tokens=False)
+            lengths[~own_at] = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(other))
+            if not self.count_only:
+                parts.append((np.flatnonzero(~own_at), np.array(coded.ids, np.uint32)))
+        if not self.count_only:
+            starts, flat = np.cumsum(lengths) - lengths, np.zeros(int(lengths.sum()), np.uint32)
+            for members, ids in parts:
+                own_lengths = lengths[members]
+                ends = np.cumsum(own_lengths)
+                flat[np.repeat(starts[members] - (ends - own_lengths), own_lengths) + np.arange(len(ids))] = ids
+            self.flat = np.concatenate([self.flat, flat])
+        self.lengths = np.concatenate([self.lengths, lengths])
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words' pre-tokens one after another, and how many each word has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = self.cut("\n".join(words).lower())
+        numbers = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
+        news = self.pieces.news()
+        tokens = [self.library.model.tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.characters)) if p != "\n" else [] for p in news]
+        self.piece_lengths = np.concatenate([self.piece_lengths, np.fromiter(map(len, tokens), np.int64, len(tokens))])
+        if not self.count_only:
+            self.piece_flat = np.concatenate([self.piece_flat, np.fromiter((t.id for row in tokens for t in row), np.uint32)])
+        breaks = np.flatnonzero(numbers == self.pieces["\n"]) if len(words) > 1 else np.zeros(0, np.int64)
+        counts = np.diff(np.concatenate([[-1], breaks, [len(numbers)]])) - 1
+        return (np.delete(numbers, breaks), counts) if len(breaks) else (numbers, counts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each text."""
-        if len(self.numbers) > REMEMBERED:
-            self._forget()
-        rows = [np.fromiter(map(self.numbers.__getitem__, text.split()), np.int64) for text in texts]
-        news, self.numbers.news = self.numbers.news, []
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, news), np.int64, len(news))])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in news for i in ids), np.uint32)])
-        which = np.concatenate([np.zeros(0, np.int64), *rows])
-        own, starts = self.lengths[which], (np.cumsum(self.lengths) - self.lengths)[which]
-        ends = np.concatenate([[0], np.cumsum(own)])
-        at = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int64)
-        places = np.repeat(starts - ends[:-1], own) + np.arange(int(ends[-1]))
-        return self.flat[places], ends[at[1:]] - ends[at[:-1]]
+        which, counts = self.rows(texts)
+        return rows_of(self.flat, self.lengths, which, counts)
 
-
-@lru_cache(maxsize=2)
-def counts_of(path: str) -> Counts:
-    """One per worker process: it lives on while Spark reuses the worker."""
-    return Counts(Words(path))
+    def count(self, texts: list[bytes]) -> np.ndarray:
+        """The number of ids of each text."""
+        which, counts = self.rows(texts)
+        ends, at = np.concatenate([[0], np.cumsum(self.lengths[which])]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        return ends[at[1:]] - ends[at[:-1]]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def words_of(path: str, count_only: bool) -> Words:
+    """One per worker process: it lives on while Spark reuses the worker."""
+    return Words(path, count_only)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens, over_limit. No ids are materialised: words' counts are looked up and summed.
+    """Per document: doc_id, n_bytes, n_tokens, over_limit. No ids are materialised: pre-tokens' counts are looked up and summed.
 
-    The counts join the words of a document inside its task, as a table of word frequencies of all documents would be
+    The counts meet the words of a document inside its task, as a table of the word frequencies of all documents would be
     larger than the texts. Null texts have no bytes and no tokens; strings of added tokens count as the library takes them.
     The file must be at ``path`` on every node.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = counts_of(path)
+        words = words_of(path, True)
         for batch in in_slices(batches):
-            if len(counts) > REMEMBERED:
-                counts.clear()
-                counts.words.forget()
             texts = utf8(batch.column("text"))
-            totals = [sum(map(counts.__getitem__, text.split())) for text in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(words.count(texts))], ["doc_id", "n_bytes", "n_tokens"]
+            )
 
     source = only(docs, doc_id=id_col, text=text_col)
     counted = source.mapInArrow(task, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
