@@ -13,6 +13,7 @@ from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
 from cuespan.llm.quality import quality_report
 from cuespan.llm.simhash import simhash_components
+from cuespan.llm.token_files import read_token_files, token_folder, write_token_files
 from cuespan.llm.winnow import decontamination_report
 from cuespan.llm.word_bpe import token_counts
 
@@ -113,3 +114,10 @@ FROM doc LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_zstd_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, folder, ids=False)
