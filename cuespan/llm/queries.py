@@ -12,6 +12,7 @@ from cuespan.llm.bpe import bpe_decode, bpe_encode
 from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
 from cuespan.llm.quality import quality_report
+from cuespan.llm.secrets import secret_report
 from cuespan.llm.simhash import simhash_components
 from cuespan.llm.token_files import read_token_files, token_folder, write_token_files
 from cuespan.llm.winnow import decontamination_report
@@ -80,6 +81,11 @@ FROM counted
 """
 
 
+@query
+def op6_randomness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
