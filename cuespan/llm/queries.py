@@ -15,6 +15,7 @@ from cuespan.llm.quality import quality_report
 from cuespan.llm.secrets import secret_report
 from cuespan.llm.simhash import simhash_components
 from cuespan.llm.token_files import read_token_files, token_folder, write_token_files
+from cuespan.llm.toxicity import toxicity
 from cuespan.llm.winnow import decontamination_report
 from cuespan.llm.word_bpe import token_counts
 
@@ -37,6 +38,11 @@ def op2_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
