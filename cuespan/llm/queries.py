@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cuespan.llm.bpe import bpe_decode, bpe_encode
 from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
+from cuespan.llm.language import detect_language
 from cuespan.llm.quality import quality_report
 from cuespan.llm.secrets import secret_report
 from cuespan.llm.simhash import simhash_components
@@ -123,6 +124,11 @@ FROM doc LEFT JOIN hits USING (row) LEFT JOIN items USING (row)
 """
 
 
+@query
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_language(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
