@@ -2,14 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cuespan.llm.bpe import bpe_encode
 from cuespan.llm.common import table
+from cuespan.llm.quality import kept_documents
+from cuespan.llm.secrets import without_secrets
+from cuespan.llm.simhash import one_of_each
+from cuespan.llm.winnow import without_contaminated
 from cuespan.session import work_table
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Fingerprints and byte-pair merges have no SQL form; the stages are tested against brute force.
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither fail the base rules nor are depleted of their host's common lines."""
+    return kept_documents(docs).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies."""
+    return one_of_each(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced by a mark, and their new length."""
+    clean = without_secrets(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id``, the number of token ids and the ids of each whole text."""
+    ids = bpe_encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, words=True)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("encoding", encoding),
+]
+
+#: Fingerprints, the test battery and byte-pair merges have no SQL form; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 

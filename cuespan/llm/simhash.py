@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import in_slices, only, utf8
+from cuespan.llm.common import in_slices, named, only, text_hash, utf8
 from cuespan.session import work_table
 
 BITS = 64
@@ -48,15 +48,16 @@ def fingerprint(words: list[bytes], size: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (64 bits as a signed long) of every text; null and wordless texts have fingerprint 0."""
+    """``doc_id``, ``text_key`` and ``fp`` (64 bits as a signed long) of every text; null and wordless texts have fingerprint 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             values = [fingerprint(text.lower().split(), size, seed) for text in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(values, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "fp"])
 
-    source = only(docs, doc_id=id_col, text=text_col)
-    return source.mapInArrow(task, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    source = only(docs, doc_id=id_col, text=text_col).withColumn("text_key", text_hash(F.col("text")))
+    return source.mapInArrow(task, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key binary, fp bigint")
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,16 +237,42 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_components(docs: DataFrame, size: int = 3, budget: int = 3, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id linked to it, over any number of steps.
-
-    Texts without words have fingerprint zero and link with each other. Rows of one fingerprint are one node, so copies
-    cost nothing. Null ids stay null and are never the least; a component of null ids only has a null id. An empty table gives no rows.
-    """
+def simhash_nodes(
+    docs: DataFrame, size: int = 3, budget: int = 3, most: int = 20_000, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): doc_id, text_key and fp of every row; and fp, root (least fingerprint) and component_id (least doc_id) of each distinct one."""
     rows = work_table(fingerprints(docs, size, id_col=id_col, text_col=text_col))
     prints = work_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = work_table(components(trie_links(prints.select("fp"), budget, most)))
     ids = prints.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = work_table(ids.join(least, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows, work_table(ids.join(least, "root").select("fp", "root", "component_id"))
+
+
+def simhash_components(docs: DataFrame, **options: object) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id linked to it, over any number of steps.
+
+    Texts without words have fingerprint zero and link with each other. Rows of one fingerprint are one node, so copies
+    cost nothing. Null ids stay null and are never the least; a component of null ids only has a null id. An empty table gives no rows.
+    """
+    rows, nodes = simhash_nodes(docs, **options)
+    return rows.join(nodes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """``docs`` with one row of each component: the one of the least id (unknown ids last) and, where rows repeat it, any of these."""
+    rows, nodes = simhash_nodes(docs, id_col=id_col, text_col=text_col, **options)
+    rows = rows.join(nodes, "fp").groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    rows = work_table(rows)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    first = work_table(first.select("root", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")))
+    mine = (rows["root"] == first["root"]) & rows["doc_id"].eqNullSafe(first["_id"]) & (rows["text_key"] == first["_key"])
+    gone = work_table(rows.join(first, mine, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    again = work_table(rows.join(first, mine, "left_semi").where("times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    key = text_hash(named(text_col))
+    out = docs.join(gone, (key == gone["_key"]) & named(id_col).eqNullSafe(gone["_id"]), "left_anti")
+    if again.isEmpty():
+        return out
+    repeated = (key == again["_key"]) & named(id_col).eqNullSafe(again["_id"])
+    once = out.join(again, repeated, "left_semi").withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
+    return out.join(again, repeated, "left_anti").unionByName(once)
