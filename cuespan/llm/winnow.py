@@ -163,7 +163,8 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, **options: obj
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (``contamination`` has the rules)."""
     rows, hits = contamination(docs, benchmark, **options)
     items = hits.groupBy("text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = hit_words(hits).join(items, "text_key")
+    # Written first, so that the join below is of plain tables and a text with very many copies is split.
+    found = work_table(hit_words(hits).join(items, "text_key"))
     out = rows.join(found, "text_key", "left")
     listed = F.array_join(F.coalesce(F.col("items"), F.array().cast("array<string>")), ",")
     return out.select(
