@@ -15,7 +15,8 @@ from cuespan.session import work_table
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
+    bare = F.btrim(text, F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS))
 
 
 def repeated_words(windows: Column, last: int = 3) -> Column:
@@ -24,7 +25,7 @@ def repeated_words(windows: Column, last: int = 3) -> Column:
     Places of recurring windows in order; each covers ``last`` words, less what the next one covers as well.
     """
     recurring = F.filter(windows, lambda w, i: (w["h"] == F.get(windows, i - 1)["h"]) | (w["h"] == F.get(windows, i + 1)["h"]))
-    return F.array_sort(F.transform(recurring, lambda w: w["at"]))
+    return F.sort_array(F.transform(recurring, lambda w: w["at"]))
 
 
 def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
@@ -41,13 +42,14 @@ def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
         F.slice("words", 3, F.greatest(F.lit(0), F.size("words") - 2)),
         lambda w, i: F.struct(F.xxhash64(F.get(F.col("words"), i), F.get(F.col("words"), i + 1), w).alias("h"), i.alias("at")),
     )
-    rows = rows.withColumn("windows", F.array_sort(windows))
+    rows = rows.withColumn("windows", F.sort_array(windows))
     rows = rows.withColumn("places", repeated_words(F.col("windows")))
     covered = F.aggregate(
         F.transform("places", lambda at, i: F.least(F.lit(3), F.coalesce(F.get(F.col("places"), i + 1) - at, F.lit(3)))), F.lit(0), lambda total, n: total + n
     )
     bare = F.translate("text", SPACES, "")
-    normal = F.transform("filled", lambda line: F.struct(F.xxhash64(F.lower(F.array_join(words_of(line), " "))).alias("hash"), F.size(words_of(line)).alias("words")))
+    lines = F.transform("filled", lambda line: F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_CLASS, " ")))
+    normal = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words")))
     return rows.select(
         "doc_id", "host", "text_key", "n_words", F.length(bare).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
