@@ -105,7 +105,7 @@ def spellings(word: str) -> list[str]:
     if runs and len(runs[0]) < len(word):
         letters = sum(map(len, runs))
         whole = "".join(LETTERS(word.translate(LOOKALIKES)))
-        if letters * 2 >= len(whole) and whole not in runs:
+        if letters * 3 >= len(whole) and whole not in runs:
             runs.append(whole)
     return runs
 
