@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from cuespan.llm.common import SPACE_CLASS, SPACES, named, text_hash
 from cuespan.session import work_table
 
+# The symbols that count, and what a line with a word has.
+SYMBOLS = "[#*$%&|<>]"
+WORD_CHARACTER = "[^\\x20\\x09-\\x0D]"
+
 
 def words_of(text: Column) -> Column:
     bare = F.btrim(text, F.lit(SPACES))
@@ -36,23 +40,25 @@ def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     text = F.coalesce(named(text_col), F.lit(""))
     rows = docs.select(named(id_col).alias("doc_id"), named(host_col).cast("string").alias("host"), text.alias("text"))
     rows = rows.withColumn("text_key", text_hash(F.col("text"))).withColumn("words", words_of(F.col("text")))
-    rows = rows.withColumn("filled", F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0))
+    rows = rows.withColumn("filled", F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD_CHARACTER)))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    windows = F.transform(
-        F.slice("words", 3, F.greatest(F.lit(0), F.size("words") - 2)),
-        lambda w, i: F.struct(F.xxhash64(F.get(F.col("words"), i), F.get(F.col("words"), i + 1), w).alias("h"), i.alias("at")),
+    hashes = F.transform(
+        F.slice("words", 3, F.greatest(F.lit(0), F.size("words") - 2)), lambda w, i: F.xxhash64(F.get(F.col("words"), i), F.get(F.col("words"), i + 1), w)
     )
-    rows = rows.withColumn("windows", F.sort_array(windows))
+    rows = rows.withColumn("hashes", hashes)
+    # Most texts have no recurring window: only the others are sorted.
+    placed = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    rows = rows.withColumn("windows", F.when(F.size(F.array_distinct("hashes")) == F.size("hashes"), none).otherwise(placed))
     rows = rows.withColumn("places", repeated_words(F.col("windows")))
     covered = F.aggregate(
         F.transform("places", lambda at, i: F.least(F.lit(3), F.coalesce(F.get(F.col("places"), i + 1) - at, F.lit(3)))), F.lit(0), lambda total, n: total + n
     )
-    bare = F.translate("text", SPACES, "")
     lines = F.transform("filled", lambda line: F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_CLASS, " ")))
-    normal = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words")))
+    normal = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), F.size(F.split(line, " ")).alias("words")))
     return rows.select(
-        "doc_id", "host", "text_key", "n_words", F.length(bare).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        "doc_id", "host", "text_key", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"), normal.alias("lines"),
     )
 
