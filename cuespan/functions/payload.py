@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 ANNOTATION_SCHEMA = (
     "summary string, tags array<string>, visual_style string, motion_intensity string, "
-    "key_objects array<string>, emotion_flow string, mad_score int, scene_type string"
+    "key_objects array<string>, emotion_flow string, mad_score string, scene_type string"
 )
 
 # What a missing key means, and what stands in for a reply that cannot be read.
@@ -31,8 +31,10 @@ def parsed_annotation(reply: Column) -> Column:
     body = unfenced(reply)
     raw = F.from_json(body, ANNOTATION_SCHEMA)
     empty = F.array().cast("array<string>")
+    # A score may come as text or with decimals, which are cut off.
+    score = raw["mad_score"].try_cast("double").try_cast("int")
     fields = [
-        F.coalesce(raw[name], empty if name in ("tags", "key_objects") else F.lit(REPLY_DEFAULTS[name])).alias(name)
+        F.coalesce(score if name == "mad_score" else raw[name], empty if name in ("tags", "key_objects") else F.lit(REPLY_DEFAULTS[name])).alias(name)
         for name in ("summary", "tags", "visual_style", "motion_intensity", "key_objects", "emotion_flow", "mad_score", "scene_type")
     ]
     readable = F.is_valid_json(body) if hasattr(F, "is_valid_json") else F.json_object_keys(body).isNotNull()

@@ -107,9 +107,11 @@ def volumes(slots: DataFrame) -> DataFrame:
 
 
 def assigned_start(clip_start: Column, video_ms: Column, clip_ms: Column) -> Column:
-    """A hand-picked clip start, kept so that the clip fits its source."""
+    """A hand-picked clip start, kept so that the clip fits its source; as it is where the source's length is unknown."""
     given = F.greatest(_zero(), F.coalesce(clip_start, _zero()))
-    return F.least(F.greatest(_zero(), video_ms - clip_ms), given)
+    # Nulls do not count in the least of values.
+    latest = video_ms - clip_ms
+    return F.least(F.when(latest.isNotNull(), F.greatest(_zero(), latest)), given)
 
 
 def validate_slots(edits: DataFrame, text: str = "slot_json") -> DataFrame:

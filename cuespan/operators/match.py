@@ -72,20 +72,21 @@ def drop_opening_ids(ranks: DataFrame, segments: DataFrame, allowed: DataFrame,
     return ranks.select(*key).join(lists, list(key), "left").withColumn("segment_ids", F.coalesce("segment_ids", empty))
 
 
-def ranked_candidates(ranks: DataFrame, pool: DataFrame, key: Sequence[str], *, limit: int = CANDIDATES) -> DataFrame:
-    """One row per listed segment of the pool. Unknown ids vanish and keep their rank gap."""
-    listed = ranks.select(*key, F.posexplode("segment_ids").alias("rank", "segment_id")).filter(F.col("rank") < limit)
+def ranked_candidates(ranks: DataFrame, pool: DataFrame, key: Sequence[str], *, limit: int | None = None) -> DataFrame:
+    """One row per listed segment of the pool; with ``limit``, of the first so many of each list. Unknown ids vanish and keep their rank gap."""
+    listed = ranks.select(*key, F.posexplode("segment_ids").alias("rank", "segment_id"))
+    listed = listed if limit is None else listed.filter(F.col("rank") < limit)
     score = (100 - 10 * F.col("rank")).cast("int")
     return listed.join(pool, "segment_id").withColumn("score", score)
 
 
-def fallback_ids(segments: DataFrame, *, limit: int = CANDIDATES, batch: bool = False, allow_op: bool = False) -> DataFrame:
-    """Ranked stand-ins when no ranking came back.
+def fallback_ids(segments: DataFrame, *, limit: int = CANDIDATES, cut_first: bool = False, allow_op: bool = False) -> DataFrame:
+    """Ranked stand-ins when no ranking came back: the first ``limit`` eligible segments.
 
-    Single: the first ``limit`` eligible segments. Batch: the first ``limit`` of all good
-    segments, and only then endings (and openings) are taken out, so fewer may be left.
+    ``cut_first`` keeps an older order: the first ``limit`` of all good segments, and only then endings (and openings)
+    are taken out, so fewer may be left.
     """
-    if not batch:
+    if not cut_first:
         first = eligible_segments(segments, allow_op=allow_op).orderBy("segment_id").limit(limit)
     else:
         first = segments.filter(F.col("mad_score") >= MIN_SCORE).orderBy("segment_id").limit(limit)

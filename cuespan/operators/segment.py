@@ -22,14 +22,14 @@ MIN_SEGMENT_MS = 4000
 MAX_SEGMENT_MS = 15_000
 CHUNK_TARGET_MS = 10_000
 FRAME_STEP_MS = 500
-MAX_FRAMES = 3000
 PIXEL_SCALE = 25.5
 
 
-def frame_grid(frames: DataFrame, *, order: str, step_ms: int = FRAME_STEP_MS, limit: int = MAX_FRAMES) -> DataFrame:
-    """Fixed-rate timestamps: the i-th frame of a video is at i steps; at most ``limit`` frames."""
+def frame_grid(frames: DataFrame, *, order: str, step_ms: int = FRAME_STEP_MS, limit: int | None = None) -> DataFrame:
+    """Fixed-rate timestamps: the i-th frame of a video is at i steps; with ``limit``, only so many frames."""
     rows = numbered(frames, ["video_id"], [order], idiv(F.col(order), 65_536), "frame_no")
-    return rows.filter(F.col("frame_no") < limit).withColumn("grid_ms", F.col("frame_no") * step_ms)
+    rows = rows if limit is None else rows.filter(F.col("frame_no") < limit)
+    return rows.withColumn("grid_ms", F.col("frame_no") * step_ms)
 
 
 def motion_scores(frames: DataFrame, *, scale: float = PIXEL_SCALE) -> DataFrame:

@@ -186,8 +186,9 @@ def clip(spark, d) -> DataFrame:
 
 
 def ranks(spark, d) -> DataFrame:
-    """Per line, a ranked list of five segment ids; some are unknown."""
-    from_hash = lambda r: (F.col("song_id") * 7919 + F.col("line_no") * 104729 + r * 15485863) % 20000
+    """Per line, a ranked list of five segment ids from the whole range of them; some are unknown."""
+    ids = (table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] or 0) + 1000
+    from_hash = lambda r: (F.col("song_id") * 7919 + F.col("line_no") * 104729 + r * 15485863) % ids
     return lyr(spark, d).select(
         "song_id", "line_no", F.array(*[from_hash(r) for r in range(5)]).alias("segment_ids")
     )

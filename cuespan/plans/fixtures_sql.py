@@ -71,7 +71,8 @@ CTES: dict[str, str] = {
         FROM slot WHERE speaker = 'user'""",
     "ranks": """
         SELECT song_id, line_no,
-               [(song_id * 7919 + line_no * 104729 + r * 15485863) % 20000 FOR r IN range(5)] AS segment_ids FROM lyr""",
+               [(song_id * 7919 + line_no * 104729 + r * 15485863) % ids FOR r IN range(5)] AS segment_ids
+        FROM lyr, (SELECT max(o_orderkey) + 1000 AS ids FROM orders)""",
     "cand": """
         SELECT song_id, line_no, rank::INTEGER AS rank, song_id + (line_no * (rank + 2)) % 12 AS video_id,
                (line_no * 37 + rank * 101) % 120 * 500 AS t_ms

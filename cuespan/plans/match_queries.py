@@ -154,12 +154,12 @@ def op_filter(spark, d):
     SELECT 'single' AS mode, (row_number() OVER (ORDER BY segment_id) - 1)::INTEGER AS rank, segment_id
     FROM (SELECT segment_id FROM eligible ORDER BY segment_id LIMIT 5)
     UNION ALL
-    SELECT 'batch', (row_number() OVER (ORDER BY segment_id) - 1)::INTEGER, segment_id
+    SELECT 'cut first', (row_number() OVER (ORDER BY segment_id) - 1)::INTEGER, segment_id
     FROM (SELECT * FROM seg WHERE mad_score >= 6 ORDER BY segment_id LIMIT 5) WHERE NOT is_ed AND NOT is_op"""))
 def fallback_candidates(spark, d):
     seg = X.seg(spark, d)
     single = M.fallback_ids(seg).select(F.lit("single").alias("mode"), "rank", "segment_id")
-    return single.unionByName(M.fallback_ids(seg, batch=True).select(F.lit("batch").alias("mode"), "rank", "segment_id"))
+    return single.unionByName(M.fallback_ids(seg, cut_first=True).select(F.lit("cut first").alias("mode"), "rank", "segment_id"))
 
 
 @query("batches", sql("""

@@ -115,8 +115,7 @@ def silence_sessions(spark, d):
 
 @query("frame_grid", sql("""
     SELECT video_id, keyframe_id, frame_no, frame_no * 500 AS grid_ms
-    FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY keyframe_id) - 1 AS frame_no FROM kf)
-    WHERE frame_no < 3000"""))
+    FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY keyframe_id) - 1 AS frame_no FROM kf)"""))
 def frame_grid(spark, d):
     return S.frame_grid(X.kf(spark, d), order="keyframe_id").select("video_id", "keyframe_id", "frame_no", "grid_ms")
 

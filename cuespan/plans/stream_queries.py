@@ -46,11 +46,15 @@ def stream_cue_dedup(spark, d):
     return _finished(jobs.to_table(kept, f"{work}/out", f"{work}/state"), spark, f"{work}/out")
 
 
-@query("stream_sessions")
+@query("stream_sessions", with_tables("""
+    SELECT video_id, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS cues
+    FROM (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms - reach > 2500 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY start_ms, cue_id) AS session_no
+          FROM (SELECT *, max(end_ms) OVER (PARTITION BY video_id ORDER BY start_ms, cue_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM cue))
+    GROUP BY video_id, session_no"""))
 def stream_sessions(spark, d):
-    """Closed sessions only: those the watermark has passed."""
-    work = _work(spark)
-    found = jobs.speech_sessions(_as_stream(spark, X.cue(spark, d), work), lateness="5 seconds")
+    """All sessions: a closing row moves the watermark past the last ones."""
+    work, cues = _work(spark), X.cue(spark, d)
+    found = jobs.speech_sessions(_as_stream(spark, cues.union(jobs.closing_row(cues, lateness_ms=5000)), work), lateness="5 seconds")
     found = found.select("video_id", "start_ms", "end_ms", "cues")
     return _finished(jobs.to_table(found, f"{work}/out", f"{work}/state"), spark, f"{work}/out")
 

@@ -160,12 +160,13 @@ def scalars_keys(spark, d):
 
 @query("scalars_json", sql("""
     SELECT segment_id, CASE k WHEN 0 THEN summary WHEN 1 THEN '' WHEN 2 THEN NULL ELSE summary END AS label, CASE k WHEN 2 THEN NULL WHEN 3 THEN '' ELSE 'x|y' END AS tags,
-           CASE k WHEN 2 THEN NULL WHEN 0 THEN 8 ELSE 5 END::INTEGER AS mad_score, CASE WHEN k = 2 THEN NULL ELSE 'medium' END AS motion_intensity
+           CASE k WHEN 2 THEN NULL WHEN 0 THEN (ARRAY[8, 9, 8, 7])[(segment_id // 4) % 4 + 1] ELSE 5 END::INTEGER AS mad_score, CASE WHEN k = 2 THEN NULL ELSE 'medium' END AS motion_intensity
     FROM (SELECT *, segment_id % 4 AS k FROM seg)"""))
 def scalars_json(spark, d):
     k, text = F.col("segment_id") % 4, F.col("summary")
+    score = F.element_at(F.array(*map(F.lit, ("8", '"9"', "8.7", '"7.0"'))), (F.floor(F.col("segment_id") / 4) % 4 + 1).cast("int"))
     reply = (
-        F.when(k == 0, F.concat(F.lit('```json\n{"summary": "'), text, F.lit('", "tags": ["x", "y"], "mad_score": 8}\n```')))
+        F.when(k == 0, F.concat(F.lit('```json\n{"summary": "'), text, F.lit('", "tags": ["x", "y"], "mad_score": '), score, F.lit("}\n```")))
         .when(k == 1, '{"tags": ["x", "y"]}').when(k == 2, "none").otherwise(F.concat(F.lit('{"summary": "'), text, F.lit('"}')))
     )
     a = P.parsed_annotation(F.col("reply"))

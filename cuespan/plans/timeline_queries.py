@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cuespan.functions.timecode import idiv, seconds_to_ms
@@ -14,6 +16,7 @@ from cuespan.operators.scans import numbered
 from cuespan.plans import fixtures as X
 from cuespan.plans.fixtures_sql import with_tables
 from cuespan.plans.registry import query
+from cuespan.session import checkpoint_dir
 from cuespan.sources import render_plan as RP
 
 STEPS = {
@@ -451,9 +454,10 @@ def volumes(spark, d):
 
 
 @query("assign_clamp", sql("""
-    SELECT song_id, slot_no, least(greatest(0, video_duration_ms - clip_duration_ms), greatest(0, clip_start_ms - 9000)) AS clip_start_ms FROM known_slot WHERE video_duration_ms IS NOT NULL"""))
+    SELECT song_id, slot_no, CASE WHEN video_duration_ms - clip_duration_ms IS NULL THEN greatest(0, clip_start_ms - 9000)
+           ELSE least(greatest(0, video_duration_ms - clip_duration_ms), greatest(0, clip_start_ms - 9000)) END AS clip_start_ms FROM known_slot"""))
 def assign_clamp(spark, d):
-    rows = X.known_slot(spark, d).filter("video_duration_ms IS NOT NULL")
+    rows = X.known_slot(spark, d)
     start = DG.assigned_start(F.col("clip_start_ms") - 9000, F.col("video_duration_ms"), F.col("clip_duration_ms"))
     return rows.select("song_id", "slot_no", start.alias("clip_start_ms"))
 
@@ -477,19 +481,28 @@ def validate_slots(spark, d):
 
 def plans(spark, d):
     lines = SO.line_beats(X.lyr(spark, d), X.beat(spark, d))
-    return RP.as_documents(RP.render_plans(X.slot(spark, d), X.clip(spark, d), lines, dialogue=1.4))
+    return RP.render_plans(X.slot(spark, d), X.clip(spark, d), lines, dialogue=1.4)
 
 
 @query("render_plan", sql("""
-    SELECT l.song_id, 0::BIGINT AS page, l.lyrics, coalesce(s.slots, 0) AS slots, coalesce(c.clips, 0) AS clips, l.beats, coalesce(s.total, 0.0::DOUBLE) AS duration, 1.0::DOUBLE AS dialogue_volume
-    FROM (SELECT l.song_id, count(DISTINCT l.line_no) AS lyrics, count(b.beat_ms) AS beats FROM lyr l LEFT JOIN beat b ON b.song_id = l.song_id AND b.beat_ms BETWEEN l.start_ms AND l.end_ms GROUP BY 1) l
-    LEFT JOIN (SELECT song_id, count(*) AS slots, arg_max(end_ms, slot_no) / 1000.0::DOUBLE AS total FROM slot GROUP BY 1) s USING (song_id)
-    LEFT JOIN (SELECT song_id, count(*) AS clips FROM clip GROUP BY 1) c USING (song_id)"""))
+    SELECT l.song_id, l.lyrics, coalesce(s.slots, 0) AS slots, coalesce(c.clips, 0) AS clips, l.beats, coalesce(s.total, 0.0::DOUBLE) AS duration, 1.0::DOUBLE AS dialogue_volume,
+           l.line_starts, coalesce(s.clip_starts, '') AS clip_starts, coalesce(c.said, '') AS said
+    FROM (SELECT l.song_id, count(DISTINCT l.line_no) AS lyrics, count(b.beat_ms) AS beats, md5(string_agg(DISTINCT lpad(l.line_no::VARCHAR, 8, '0') || ':' || l.start_ms || ':' || l.end_ms, ',' ORDER BY lpad(l.line_no::VARCHAR, 8, '0') || ':' || l.start_ms || ':' || l.end_ms)) AS line_starts FROM lyr l LEFT JOIN beat b ON b.song_id = l.song_id AND b.beat_ms BETWEEN l.start_ms AND l.end_ms GROUP BY 1) l
+    LEFT JOIN (SELECT song_id, count(*) AS slots, arg_max(end_ms, slot_no) / 1000.0::DOUBLE AS total, md5(string_agg(clip_start_ms || ':' || clip_duration_ms || ':' || video_path || ':' || speaker, ',' ORDER BY slot_no)) AS clip_starts FROM slot GROUP BY 1) s USING (song_id)
+    LEFT JOIN (SELECT song_id, count(*) AS clips, md5(string_agg(start_ms || ':' || transcript, ',' ORDER BY clip_no)) AS said FROM clip GROUP BY 1) c USING (song_id)"""))
 def render_plan(spark, d):
     n = lambda path: F.size(F.col(path)).cast("bigint")
-    rows = RP.parse_documents(plans(spark, d))
+    ms = lambda seconds: F.round(seconds * 1000).cast("bigint").cast("string")
+    listed = lambda path, item: F.array_join(F.transform(path, item), ",")
+    hashed = lambda text: F.when(text == "", "").otherwise(F.md5(text))
+    rows = RP.parse_documents(RP.as_documents(plans(spark, d)))
+    # Lines are numbered from 0 without gaps, so their place is their number.
+    line = lambda x, i: F.concat_ws(":", F.lpad(i.cast("string"), 8, "0"), ms(x["start"]), ms(x["end"]))
+    shot = lambda x: F.concat_ws(":", ms(x["clipStart"]), ms(x["clipDuration"]), x["videoPath"], x["speaker"])
     return rows.select(
-        "song_id", "page", n("plan.lyrics").alias("lyrics"), n("plan.slots").alias("slots"), n("plan.dialogueClips").alias("clips"),
+        "song_id", hashed(listed("plan.lyrics", line)).alias("line_starts"), hashed(listed("plan.slots", shot)).alias("clip_starts"),
+        hashed(listed("plan.dialogueClips", lambda x: F.concat_ws(":", ms(x["startTime"]), x["transcript"]))).alias("said"),
+        n("plan.lyrics").alias("lyrics"), n("plan.slots").alias("slots"), n("plan.dialogueClips").alias("clips"),
         F.aggregate("plan.lyrics", F.lit(0).cast("bigint"), lambda a, x: a + F.size(x.beats)).alias("beats"),
         F.col("plan.duration").alias("duration"), F.col("plan.dialogueVolume").alias("dialogue_volume"),
     )
@@ -498,6 +511,9 @@ def render_plan(spark, d):
 @query("render_plan_roundtrip", sql("""
     SELECT song_id, start_ms, end_ms, video_path, clip_start_ms, clip_duration_ms, keep_audio, transcript, speaker, transition FROM slot"""))
 def render_plan_roundtrip(spark, d):
-    return RP.plan_slots(RP.parse_documents(plans(spark, d))).drop("page", "place")
+    """Written to files of several songs each, and read back."""
+    path = f"{checkpoint_dir(spark)}/plans-{uuid.uuid4().hex}"
+    RP.write_render_plans(plans(spark, d).coalesce(2), path)
+    return RP.plan_slots(RP.read_render_plans(spark, path)).drop("place")
 
 

@@ -47,6 +47,14 @@ def speech_sessions(stream: DataFrame, *, gap_ms: int = SILENCE_MS, lateness: st
     )
 
 
+def closing_row(cues: DataFrame, *, gap_ms: int = SILENCE_MS, lateness_ms: int) -> DataFrame:
+    """One cue of no video, so late that the watermark passes every session of ``cues``; it ends a finite stream."""
+    last = cues.agg(F.max("end_ms").alias("last")).filter("last IS NOT NULL")
+    at = (F.col("last") + gap_ms + lateness_ms + 60_000).alias("at")
+    typed = {"video_id": F.lit(-1), "start_ms": F.col("at"), "end_ms": F.col("at")}
+    return last.select(at).select(*(typed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cues.schema.fields))
+
+
 def motion_windows(frames: DataFrame, *, window: str = MOTION_WINDOW, lateness: str = LATENESS) -> DataFrame:
     """Count, mean and peak motion per video and window (``window_ms``); works on a stream and on a table."""
     timed = event_time(frames, "t_ms").withWatermark("event_time", lateness)

@@ -123,9 +123,11 @@ def test_render_plan_files(spark, tmp_path):
         '{"slots": [{"startTime": 0.0, "endTime": 6.5, "videoPath": "v", "clipStart": 1.25, "clipDuration": 6.5, "keepAudio": true}],\n'
         ' "dialogueClips": [], "lyrics": [{"start": 0.0, "end": 2.77, "text": "t", "beats": [1.5, 2.0]}, {"start": 3, "end": 4, "text": "u", "beats": []}]}'
     )
-    plans = render_plan.read_render_plans(spark, str(tmp_path))
+    plans = render_plan.read_plan_files(spark, str(tmp_path))
     assert rows(render_plan.plan_slots(plans).select("start_ms", "end_ms", "clip_start_ms", "keep_audio"), "start_ms") == [(0, 6500, 1250, True)]
     beats = render_plan.plan_beats(plans).select("text", "beat_ms")
     assert rows(beats, "text", "beat_ms") == [("t", 1500), ("t", 2000), ("u", None)]
-    render_plan.write_render_plans(plans, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 1
+    songs = [plans.select(F.lit(i).cast("bigint").alias("song_id"), "plan") for i in (1, 2, 3)]
+    render_plan.write_render_plans(songs[0].union(songs[1]).union(songs[2]).coalesce(1), str(tmp_path / "out"))
+    back = render_plan.read_render_plans(spark, str(tmp_path / "out"))
+    assert rows(render_plan.plan_slots(back).select("song_id", "end_ms"), "song_id") == [(i, 6500) for i in (1, 2, 3)]
