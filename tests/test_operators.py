@@ -91,34 +91,6 @@ def test_nearest(spark):
     assert {r.l: (r.hit.r if r.hit else None) for r in got.collect()} == want
 
 
-def plain_segments(keyframes, cues, duration):
-    """The segmentation rule in words of lists."""
-    if not keyframes:
-        return []
-    marks = {t for t, m in keyframes if m > 6}
-    cues = sorted(cues)
-    for (_, e, _), (s, _, _) in zip([(s, e, i) for s, i, e in cues], [(s, e, i) for s, i, e in cues[1:]]):
-        if s - e > 2500:
-            marks.add((s + e + 10) // 20 * 10)
-    start, out = 0, []
-    for b in sorted(marks | {0, duration}):
-        if b - start >= 4000 and duration - b >= 4000:
-            if b - start > 15000:
-                n = (b - start) // 10000 + 1
-                size_num, head = b - start, start
-                for _ in range(n - 1):
-                    cut = (n * head + size_num + 5 * n) // (10 * n) * 10
-                    out.append((head, cut))
-                    head = cut
-                out.append((head, b))
-            else:
-                out.append((start, b))
-            start = b
-    if start < duration:
-        out.append((start, duration))
-    return out
-
-
 def test_segments_of_random_videos(spark):
     rng = random.Random(11)
     kfs, cues, vids = [], [], []
@@ -133,13 +105,28 @@ def test_segments_of_random_videos(spark):
     k = table(spark, kfs, "video_id bigint, keyframe_id bigint, t_ms bigint, motion_score double, frame_path string")
     c = table(spark, cues, "video_id bigint, cue_id bigint, start_ms bigint, end_ms bigint, text string")
     v = table(spark, vids, "video_id bigint, duration_ms bigint")
-    got = segment.segment_videos(k, c, v, chunk_ms=6_000)
-    want = sorted((i, s, e) for i, d in vids for s, e in plain_segments(
-        [(t, m) for x, _, t, m, _ in kfs if x == i], [(s, n, e) for x, n, s, e, _ in cues if x == i], d))
-    assert rows(got, "video_id", "start_ms") == want
+    got = rows(segment.segment_videos(k, c, v, chunk_ms=6_000), "video_id", "start_ms")
+    marked = {(r[0], r[1]) for df in (segment.motion_cuts(k), segment.silence_cuts(c)) for r in df.select("video_id", "cut_ms").collect()}
+    seen = {x[0] for x in kfs}
     for i, d in vids:
-        own = [(s, e) for x, s, e in want if x == i]
-        assert not own or (own[0][0] == 0 and own[-1][1] == d and all(a[1] == b[0] for a, b in zip(own, own[1:])))
+        own = [(s, e) for x, s, e in got if x == i]
+        assert bool(own) == (i in seen)
+        if not own:
+            continue
+        # The segments tile the video.
+        assert own[0][0] == 0 and own[-1][1] == d and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        marks = sorted(m for x, m in marked if x == i and 0 < m < d)
+        kept = [0, *(s for s, _ in own if s in marks)]
+        # A cut is kept exactly when it lies far enough from the one kept before it and from the end.
+        assert all(b - a >= segment.MIN_SEGMENT_MS and d - b >= segment.MIN_SEGMENT_MS for a, b in zip(kept, kept[1:]))
+        for m in set(marks) - set(kept):
+            inside = any(s == m for s, _ in own)
+            assert inside or m - max(x for x in kept if x < m) < segment.MIN_SEGMENT_MS or d - m < segment.MIN_SEGMENT_MS
+        # What lies between two kept cuts is whole, or in even parts where it is too long; the rest is whole.
+        for a, b in zip(kept, kept[1:]):
+            parts = [e - s for s, e in own if a <= s < b]
+            assert len(parts) == (1 if b - a <= segment.MAX_SEGMENT_MS else (b - a) // segment.CHUNK_TARGET_MS + 1) and max(parts) - min(parts) <= 20
+        assert sum(s >= kept[-1] for s, _ in own) == 1
 
 
 def test_segments_golden(spark):
@@ -152,19 +139,6 @@ def test_segments_golden(spark):
     assert [len(r[3]) for r in rows(segment.representative_frames(s, k), "start_ms")] == [3, 3, 3]
 
 
-def plain_merge(slots):
-    out, cur = [], None
-    for s in slots:
-        s = dict(s, merged=1)
-        if cur and cur["video_id"] == s["video_id"] and abs(cur["end_ms"] - s["start_ms"]) < 10 and cur["keep"] == s["keep"] and s["transition"] in (None, "none", "None") \
-                and abs(cur["clip_start_ms"] + cur["clip_duration_ms"] - s["clip_start_ms"]) < 50:
-            cur.update(end_ms=s["end_ms"], clip_duration_ms=cur["clip_duration_ms"] + s["clip_duration_ms"], merged=cur["merged"] + 1)
-        else:
-            cur = s
-            out.append(cur)
-    return [(c["song_id"], c["slot_no"], c["end_ms"], c["clip_duration_ms"], c["merged"]) for c in out]
-
-
 def test_merge_with_drift(spark, monkeypatch):
     monkeypatch.setattr(timeline, "LINE_CHUNK", 7)
     rng = random.Random(2)
@@ -178,9 +152,28 @@ def test_merge_with_drift(spark, monkeypatch):
             t, clip = t + length, clip + length
     df = table(spark, [tuple(r.values()) for r in data], "song_id int, slot_no bigint, start_ms bigint, end_ms bigint, video_id bigint, clip_start_ms bigint, clip_duration_ms bigint, keep boolean, transition string")
     got = timeline.merge_slots(df, ["keep"]).select("song_id", "slot_no", "end_ms", "clip_duration_ms", "merged")
-    want = [x for s in range(25) for x in plain_merge([r for r in data if r["song_id"] == s])]
-    assert rows(got, "song_id", "slot_no") == want
-    assert any(x[4] > 3 for x in want)
+    by_song = {}
+    for r in data:
+        by_song.setdefault(r["song_id"], []).append(r)
+    longest = 0
+    for song_id, slots in by_song.items():
+        merged = [r for r in rows(got, "song_id", "slot_no") if r[0] == song_id]
+        assert sum(r[4] for r in merged) == len(slots) and sum(r[3] for r in merged) == sum(x["clip_duration_ms"] for x in slots)
+
+        def joins(head, length, last, x):
+            return (
+                head["video_id"] == x["video_id"] and head["keep"] == x["keep"] and x["transition"] in (None, "none")
+                and abs(last["end_ms"] - x["start_ms"]) < 10 and abs(head["clip_start_ms"] + length - x["clip_start_ms"]) < 50
+            )
+
+        for n, (_, first, end, length, count) in enumerate(merged):
+            run = slots[first : first + count]
+            longest = max(longest, count)
+            assert run[-1]["end_ms"] == end and sum(x["clip_duration_ms"] for x in run) == length
+            # Each member goes on where those before it end; the next row does not.
+            assert all(joins(run[0], sum(x["clip_duration_ms"] for x in run[:i]), run[i - 1], run[i]) for i in range(1, count))
+            assert n + 1 == len(merged) or not joins(run[0], length, run[-1], slots[first + count])
+    assert longest > 3
 
 
 LINES = "song_id bigint, line_no bigint, start_ms bigint, end_ms bigint, text string"
@@ -210,67 +203,50 @@ def test_every_line_is_covered(spark):
     assert {(r.song_id, r.line_no) for r in got.collect()} >= {(s, n) for s, n, *_ in lines if s in with_slots}
 
 
-def plain_assign(lines, own, offers):
-    n, filled, out = len(lines), dict(own), []
-
-    def shown(j):
-        if j in filled:
-            return filled[j][:3]
-        before = [i for i in filled if i < j]
-        length = lines[j][1] - lines[j][0]
-        if not filled:
-            return None
-        if not before:
-            base = filled[min(filled)]
-            return base[0], base[1], length
-        i = max(before)
-        video, clip, dur, limit = filled[i]
-        limit = limit or dur + 5000
-        at = clip + lines[j][0] - lines[i][0]
-        return video, (max(0, limit - 100) if at > limit - 100 else at), length
-
-    for i in range(n):
-        if i in own or not offers.get(i):
-            continue
-        recent = {shown(j)[0] for j in range(max(0, i - 4), i) if shown(j)}
-        length = lines[i][1] - lines[i][0]
-
-        def busy(c):
-            a = max(0, c[2])
-            return any(e and e[0] == c[1] and a < e[1] + e[2] and e[1] < a + length for e in (shown(j) for j in range(n) if j != i))
-
-        free = [c for c in offers[i] if not busy(c)]
-        fresh = [c for c in free if c[1] not in recent]
-        tier, pick = (1, fresh[0]) if fresh else (2, free[0]) if free else (3, offers[i][0])
-        filled[i] = (pick[1], pick[3], length, pick[4])
-        out.append((i, pick[0], pick[1], pick[3], tier))
-    return out
-
-
-def test_assignment_equals_the_rule(spark):
+def test_assignment_keeps_its_promises(spark):
     rng = random.Random(4)
-    lines, slots, cands, want = [], [], [], []
+    lines, slots, cands, kept, offered, spans = [], [], [], {}, {}, {}
     for s in range(40):
-        spans, t = [], 1000
-        for _ in range(14):
+        t = 1000
+        for i in range(14):
             length = rng.choice([1000, 3000])
-            spans.append((t, t + length))
-            t += length + rng.choice([0, 0, 500])
-        own, offers = {}, {}
-        for i, (a, b) in enumerate(spans):
-            lines.append((s, i, a, b, "x"))
+            lines.append((s, i, t, t + length, "x"))
+            spans[s, i] = length
             if rng.random() < 0.2:
-                own[i] = (rng.randint(0, 3), rng.randint(0, 20) * 500, b - a, rng.choice([0, 8000]))
-                slots.append((s, i, a, b, own[i][0], own[i][1], b - a, own[i][3] or None, "none"))
+                kept[s, i] = (rng.randint(0, 3), rng.randint(0, 20) * 500, length)
+                slots.append((s, i, t, t + length, *kept[s, i], rng.choice([None, 8000]), "none"))
             if rng.random() < 0.85:
-                offers[i] = [(r, rng.randint(0, 3), rng.randint(-2, 20) * 500, rng.randint(0, 20) * 500, rng.choice([0, 9000])) for r in range(3)]
-                cands += [(s, i, *c) for c in offers[i]]
-        want += [(s, *x) for x in plain_assign(spans, own, offers)]
-    got = assign.assign_candidates(
+                offered[s, i] = [(r, rng.randint(0, 3), rng.randint(-2, 20) * 500, rng.randint(0, 20) * 500, rng.choice([0, 9000])) for r in range(3)]
+                cands += [(s, i, *c) for c in offered[s, i]]
+            t += length + rng.choice([0, 0, 500])
+    got = rows(assign.assign_candidates(
         table(spark, lines, LINES), table(spark, slots, SLOTS),
-        table(spark, cands, "song_id bigint, line_no bigint, rank int, video_id bigint, t_ms bigint, clip_start_ms bigint, limit_ms bigint"))
-    assert rows(got, "song_id", "line_no") == want
-    assert {x[5] for x in want} == {1, 2, 3}
+        table(spark, cands, "song_id bigint, line_no bigint, rank int, video_id bigint, t_ms bigint, clip_start_ms bigint, limit_ms bigint")), "song_id", "line_no")
+    assert [(r[0], r[1]) for r in got] == sorted(set(offered) - set(kept))
+    filled, tiers = dict(kept), set()
+    for s, i, rank, video, clip, tier in got:
+        offer = {c[0]: c for c in offered[s, i]}
+        assert offer[rank][1] == video and offer[rank][3] == clip
+        tiers.add(tier)
+        at = max(0, offer[rank][2])
+        taken = [v for (x, j), v in filled.items() if x == s and j != i]
+        if tier < 3:
+            assert not any(v == video and at < c + n and c < at + spans[s, i] for v, c, n in taken)
+        else:
+            assert rank == 0
+        if tier == 1:
+            assert video not in {filled[s, j][0] for j in range(i - 4, i) if (s, j) in filled}
+        filled[s, i] = (video, clip, spans[s, i])
+    assert tiers == {1, 2, 3}
+
+
+def test_assignment_by_hand(spark):
+    lines = table(spark, [(1, i, i * 1000, i * 1000 + 1000, "x") for i in range(4)], LINES)
+    slots = table(spark, [(1, 0, 0, 1000, 7, 5000, 1000, None, "none")], SLOTS)
+    offers = [(1, 1, 0, 7, 9000, 9000, 0), (1, 1, 1, 8, 0, 0, 0), (1, 2, 0, 7, 5500, 5500, 0), (1, 2, 1, 8, 3000, 3000, 0), (1, 3, 0, 7, 5200, 5200, 0)]
+    got = assign.assign_candidates(lines, slots, table(spark, offers, "song_id bigint, line_no bigint, rank int, video_id bigint, t_ms bigint, clip_start_ms bigint, limit_ms bigint"))
+    # A new video first; then one used lately but free; then the first offer, though it is taken.
+    assert rows(got, "line_no") == [(1, 1, 1, 8, 0, 1), (1, 2, 1, 8, 3000, 2), (1, 3, 0, 7, 5200, 3)]
 
 
 def test_top_k_equals_full_scoring(spark):
