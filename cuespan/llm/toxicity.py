@@ -24,7 +24,9 @@ WINDOW = 8
 #: Most errors for words of so many letters.
 ERRORS = ((9, 2), (5, 1), (0, 0))
 #: Words a worker remembers before it starts anew; bounds its memory only.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
+#: Bytes of text that are scanned together.
+SLICE = 2 << 20
 OPENING, CLOSING = "“„«‹‘", "”“»›’"
 SPEECH = frozenset(
     "said says say called calls call wrote writes quote quoted quotes word words sagte sagt nannte nennt schrieb schreibt zitat zitiert wort "
@@ -207,7 +209,7 @@ def toxicity(
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, most=SLICE):
             x = scanner.features(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(4)), batch.column("toxic")], ["a", "b", "c", "d", "toxic"])
 
@@ -216,7 +218,7 @@ def toxicity(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexicon)
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, most=SLICE):
             x = scanner.features([text or "" for text in batch.column("text").to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(x @ weights[:4] + weights[4], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
