@@ -22,7 +22,7 @@ from cuespan.llm.bpe import Memory, rows_of
 from cuespan.llm.common import in_slices, only, utf8
 
 #: Words a worker remembers before it starts anew; bounds its memory only.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def byte_characters() -> dict[int, int]:
