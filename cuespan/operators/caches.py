@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuespan.session import work_table
+
 
 def cache_hits(prompts: DataFrame, cache: DataFrame, key: str = "query_hash") -> DataFrame:
     return prompts.join(cache, key)
@@ -48,6 +50,17 @@ def replace_children(table: DataFrame, fresh: DataFrame) -> DataFrame:
     return table.join(fresh.select("video_id").distinct(), "video_id", "left_anti").unionByName(fresh)
 
 
-def write_children(fresh: DataFrame, path: str) -> None:
-    """Replace only the partitions of the videos in ``fresh`` in a table partitioned by video."""
-    fresh.repartition("video_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
+def write_children(fresh: DataFrame, path: str, *, buckets: int = 256) -> None:
+    """Replace the rows of the videos in ``fresh`` in a table of ``buckets`` folders, by a hash of the video.
+
+    Only the folders that hold these videos are read and written again; the number of folders and files does not grow
+    with the videos. The rest of such a folder is set aside in the shared folder before it is replaced.
+    """
+    spark = fresh.sparkSession
+    fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)).cast("int"))
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        touched = fresh.select("bucket").distinct()
+        old = spark.read.schema(fresh.schema).parquet(path).join(touched, "bucket", "left_semi")
+        fresh = work_table(replace_children(old, fresh).select(*fresh.columns))
+    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

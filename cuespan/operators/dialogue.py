@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespan.functions.timecode import CLIP_MARGIN_MS, seconds_to_ms, unit_volume
 
-# Known speakers with the words that tell them, in order.
-SPEAKER_WORDS = {
-    "tayama": (("tayama", "田山"), ("田山",)),
-    "sasaki": (("sasaki", "佐佐木"), ("佐佐木",)),
-    "yamada": (("yamada", "山田"), ("山田",)),
-}
+#: Names in order, each with the words that tell it in a summary and in a transcript.
+Speakers = Mapping[str, tuple[Sequence[str], Sequence[str]]]
 UNKNOWN = "unknown"
 # Sections that count as a climax, and the scores that keep audio.
 CLIMAX_WORDS = ("chorus", "副歌", "intro", "outro")
@@ -82,13 +80,13 @@ def clip_choice(transcript: Column, segment_start: Column, candidate_time: Colum
     return F.greatest(_zero(), F.when(spoken, segment_start).otherwise(candidate_time))
 
 
-def resolve_speaker(summary: Column, transcript: Column, speaker: Column, manual: Column) -> Column:
-    """A manual or known speaker stands; else the first whose words occur in summary or transcript."""
+def resolve_speaker(summary: Column, transcript: Column, speaker: Column, manual: Column, *, speakers: Speakers) -> Column:
+    """A manual or known speaker stands; else the first of ``speakers`` whose words occur in summary or transcript."""
     named = F.lower(F.coalesce(speaker, F.lit(UNKNOWN)))
-    known = F.when(named.isin(*SPEAKER_WORDS, UNKNOWN), named).otherwise(UNKNOWN)
+    known = F.when(named.isin(*speakers, UNKNOWN), named).otherwise(UNKNOWN)
     about, said = F.lower(F.coalesce(summary, F.lit(""))), F.lower(F.coalesce(transcript, F.lit("")))
     found = F.when(about == "", UNKNOWN)
-    for name, (in_summary, in_transcript) in SPEAKER_WORDS.items():
+    for name, (in_summary, in_transcript) in speakers.items():
         hit = F.lit(False)
         for word in in_summary:
             hit = hit | about.contains(word)

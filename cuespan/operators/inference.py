@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,27 +57,32 @@ def embed_batch(df: DataFrame, column: str, load: Callable[[], Embedder], *, wid
 
 
 def call_with_retries(fn, row, attempts: int, pause: Callable[[float], None]):
-    """The reply, or None after the last attempt; waits 2^attempt seconds in between."""
-    for attempt in range(attempts):
+    """The reply, or None after the last attempt; waits 2, 4 ... seconds in between."""
+    for attempt in range(1, attempts + 1):
         try:
             return fn(row)
         except Exception:  # noqa: BLE001 - the remote side may fail in any way
-            if attempt + 1 < attempts:
+            if attempt < attempts:
                 pause(BACKOFF_BASE**attempt)
     return None
 
 
 def annotate_batch(
-    segments: DataFrame, annotator: Callable[[dict], str], *, attempts: int = ATTEMPTS, pause: Callable[[float], None] = time.sleep
+    segments: DataFrame, annotator: Callable[[dict], str], *, attempts: int = ATTEMPTS, pause: Callable[[float], None] = time.sleep,
+    workers: int = 4, done: Accumulator | None = None,
 ) -> DataFrame:
-    """Annotate every segment through ``annotator(row) -> reply``; the partitions bound the concurrency.
+    """Annotate every segment through ``annotator(row) -> reply``, ``workers`` calls at a time in each task.
 
-    Replies are parsed in Spark. ``answered`` is false where a placeholder stands in.
+    Replies are parsed in Spark. ``answered`` is false where a placeholder stands in. ``done``, an accumulator, counts
+    the rows that have been through, for progress.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            replies = [call_with_retries(annotator, row, attempts, pause) for row in batch.to_dict("records")]
+            with ThreadPoolExecutor(workers) as pool:
+                replies = list(pool.map(lambda row: call_with_retries(annotator, row, attempts, pause), batch.to_dict("records")))
+            if done is not None:
+                done.add(len(replies))
             yield pd.DataFrame({"segment_id": batch["segment_id"], "start_ms": batch["start_ms"], "end_ms": batch["end_ms"], "reply": replies})
 
     replied = segments.mapInPandas(call, "segment_id bigint, start_ms bigint, end_ms bigint, reply string")

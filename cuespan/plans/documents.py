@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.plans.fixtures import spread, table
+from cuespan.plans.fixtures import table
 
 STEP_MS = 2350
 
@@ -28,7 +28,7 @@ def _ms(t: Column) -> Column:
 
 
 def _lines(spark, d) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.split("text", "\n").alias("lines"))
+    return table(spark, d, "documents").select("doc_id", "lang", "text").select("doc_id", "lang", F.split("text", "\n").alias("lines"))
 
 
 def srt_docs(spark, d) -> DataFrame:

@@ -309,18 +309,21 @@ def reuse_annotations(spark, d):
            CASE WHEN r.donor_id IS NOT NULL THEN ds.summary WHEN left(s.summary, 1) = '1' THEN 'about ' || s.summary
                 WHEN left(s.summary, 1) = '2' THEN 'plain'
                 ELSE 'Segment ' || ((s.start_ms + 50) // 100) // 10 || '.' || ((s.start_ms + 50) // 100) % 10 || 's - '
-                  || ((s.end_ms + 50) // 100) // 10 || '.' || ((s.end_ms + 50) // 100) % 10 || 's' END AS label
+                  || ((s.end_ms + 50) // 100) // 10 || '.' || ((s.end_ms + 50) // 100) % 10 || 's' END AS label,
+           CASE WHEN r.donor_id IS NOT NULL THEN ds.mad_score WHEN left(s.summary, 1) = '1' THEN 9 ELSE 5 END::INTEGER AS mad_score,
+           CASE WHEN r.donor_id IS NOT NULL THEN ds.scene_type WHEN left(s.summary, 1) = '2' THEN 'action' ELSE 'dialogue' END AS scene_type
     FROM seg s LEFT JOIN (SELECT * FROM ({REUSE_SQL}) WHERE donor_id IS NOT NULL) r USING (segment_id)
     LEFT JOIN seg ds ON ds.segment_id = r.donor_id"""))
 def annotation_union(spark, d):
     seg = X.seg(spark, d)
-    donors = A.reuse_annotations(_marked_by_flag(spark, d), seg, ["summary"]).filter("donor_id IS NOT NULL")
-    fresh = J.annotate_batch(seg.select("segment_id", "start_ms", "end_ms", "summary"), fixture_annotator, pause=lambda s: None)
+    donors = A.reuse_annotations(_marked_by_flag(spark, d), seg, ["summary", "mad_score", "scene_type"]).filter("donor_id IS NOT NULL")
+    asked = seg.select("segment_id", "start_ms", "end_ms", "summary").join(donors.select("segment_id"), "segment_id", "left_anti")
+    fresh = J.annotate_batch(asked, fixture_annotator, pause=lambda s: None)
     fresh = fresh.filter("answered").select("segment_id", "annotation")
     empty = F.array().cast("array<string>")
     reused = donors.select("segment_id", F.struct(
         F.col("donor_summary").alias("summary"), empty.alias("tags"), F.lit("").alias("visual_style"),
         F.lit("").alias("motion_intensity"), empty.alias("key_objects"), F.lit("").alias("emotion_flow"),
-        F.lit(5).alias("mad_score"), F.lit("dialogue").alias("scene_type")).alias("annotation"))
+        F.col("donor_mad_score").alias("mad_score"), F.col("donor_scene_type").alias("scene_type")).alias("annotation"))
     rows = A.annotation_rows(seg.select("segment_id", "start_ms", "end_ms"), reused, fresh)
-    return rows.select("segment_id", "source", F.col("annotation.summary").alias("label"))
+    return rows.select("segment_id", "source", F.col("annotation.summary").alias("label"), "annotation.mad_score", "annotation.scene_type")

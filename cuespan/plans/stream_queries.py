@@ -34,11 +34,6 @@ def _finished(q, spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _last_snapshot(spark, path: str) -> DataFrame:
-    rows = spark.read.parquet(path)
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch").drop("batch")
-
-
 @query("stream_cue_dedup", with_tables("SELECT DISTINCT video_id, (start_ms + 50) // 100 AS tenth, text FROM cue"))
 def stream_cue_dedup(spark, d):
     work = _work(spark)
@@ -54,20 +49,21 @@ def stream_cue_dedup(spark, d):
 def stream_sessions(spark, d):
     """All sessions: a closing row moves the watermark past the last ones."""
     work, cues = _work(spark), X.cue(spark, d)
-    found = jobs.speech_sessions(_as_stream(spark, cues.union(jobs.closing_row(cues, lateness_ms=5000)), work), lateness="5 seconds")
+    found = jobs.speech_sessions(_as_stream(spark, cues.union(jobs.closing_row(cues, "start_ms", "end_ms", after_ms=120_000)), work), lateness="5 seconds")
     found = found.select("video_id", "start_ms", "end_ms", "cues")
     return _finished(jobs.to_table(found, f"{work}/out", f"{work}/state"), spark, f"{work}/out")
 
 
 @query("stream_motion_windows", with_tables("""
-    SELECT video_id, (t_ms // 10000) * 10000 AS window_ms, count(*) AS frames, max(motion_score) AS max_motion FROM kf GROUP BY ALL"""))
+    SELECT video_id, (t_ms // 10000) * 10000 AS window_ms, count(*) AS frames, round(avg(motion_score), 6) AS mean_motion, max(motion_score) AS max_motion
+    FROM kf GROUP BY video_id, t_ms // 10000"""))
 def stream_motion_windows(spark, d):
-    work = _work(spark)
-    counted = jobs.motion_windows(_as_stream(spark, X.kf(spark, d), work)).select(
-        "video_id", "window_ms", "frames", "max_motion"
+    """Appended as the watermark passes them, so that state is let go; a closing row ends the last ones."""
+    work, kf = _work(spark), X.kf(spark, d)
+    counted = jobs.motion_windows(_as_stream(spark, kf.union(jobs.closing_row(kf, "t_ms", after_ms=7_200_000)), work)).select(
+        "video_id", "window_ms", "frames", F.round("mean_motion", 6).alias("mean_motion"), "max_motion"
     )
-    jobs.to_snapshots(counted, f"{work}/out", f"{work}/state").awaitTermination()
-    return _last_snapshot(spark, f"{work}/out")
+    return _finished(jobs.to_table(counted, f"{work}/out", f"{work}/state"), spark, f"{work}/out")
 
 
 @query("stream_active_at", ORACLES["active_at"])
@@ -82,8 +78,8 @@ def stream_active_at(spark, d):
 def stream_progress(spark, d):
     work = _work(spark)
     latest = jobs.latest_progress(_as_stream(spark, table_queries.log_lines(spark, d), work)).select("job_id", "seq", "percent", "overall")
-    jobs.to_snapshots(latest, f"{work}/out", f"{work}/state").awaitTermination()
-    return _last_snapshot(spark, f"{work}/out")
+    jobs.to_snapshots(latest, f"{work}/out", f"{work}/state", "update").awaitTermination()
+    return jobs.newest_of(spark.read.parquet(f"{work}/out"), "job_id")
 
 
 @query("stream_assign")

@@ -425,6 +425,9 @@ def dialogue_mode(spark, d):
     return X.slot(spark, d).select("song_id", "slot_no", DG.dialogue_mode(F.col("dialogue_independent"), F.col("keep_audio")).alias("mode"))
 
 
+SPEAKERS = {"tayama": (("tayama", "田山"), ("田山",)), "sasaki": (("sasaki", "佐佐木"), ("佐佐木",)), "yamada": (("yamada", "山田"), ("山田",))}
+
+
 @query("resolve_speaker", sql("""
     SELECT segment_id, CASE WHEN manual OR sp IN ('tayama', 'sasaki', 'yamada') THEN CASE WHEN sp IN ('tayama', 'sasaki', 'yamada') THEN sp ELSE 'unknown' END
         WHEN about = '' THEN 'unknown' WHEN contains(about, 'tayama') OR contains(about, '田山') OR contains(said, '田山') THEN 'tayama'
@@ -438,7 +441,7 @@ def resolve_speaker(spark, d):
     pick = lambda words, by: F.element_at(F.array(*[F.lit(w) for w in words]), (n % by + 1).cast("int"))
     speaker = DG.resolve_speaker(
         pick(["", "Tayama walks", "with 佐佐木", "yamada and Sasaki", "a street"], 5), pick(["", "山田 is here", "田山"], 3),
-        pick(["Yamada", "somebody", "unknown", "SASAKI", "unknown", "unknown"], 6), n % 7 == 0,
+        pick(["Yamada", "somebody", "unknown", "SASAKI", "unknown", "unknown"], 6), n % 7 == 0, speakers=SPEAKERS,
     )
     return X.seg(spark, d).select("segment_id", speaker.alias("speaker"))
 

@@ -26,11 +26,11 @@ def _decoded(contents: pd.Series) -> pd.Series:
 
 
 def decode_corpus(docs: DataFrame) -> DataFrame:
-    """(doc_id, content) to (doc_id, text). Valid UTF-8 never leaves the JVM; the rest goes through one Arrow function."""
+    """(doc_id, content) to (doc_id, text). One pass; valid UTF-8 stays in the JVM, and the Arrow function gets null for it."""
     as_text = F.col("content").cast("string")
-    valid = docs.filter(F.is_valid_utf8(as_text)).select("doc_id", as_text.alias("text"))
-    other = docs.filter(~F.is_valid_utf8(as_text)).select("doc_id", _decoded("content").alias("text"))
-    return valid.unionByName(other)
+    valid = F.when(F.is_valid_utf8(as_text), as_text)
+    other = _decoded(F.when(~F.is_valid_utf8(as_text), F.col("content")))
+    return docs.select("doc_id", F.coalesce(valid, other).alias("text"))
 
 
 def read_raw(spark, path: str, glob: str = "*") -> DataFrame:

@@ -63,11 +63,12 @@ def match_episodes(videos: DataFrame, files: DataFrame) -> DataFrame:
     subtitles = usable.select(
         "path", episode_of_subtitle(base_name(path)).alias("episode"), script.alias("script"), F.inline(places)
     ).filter(F.col("episode").isNotNull())
+    # The best one per folder and episode before the join: one row a key.
+    best = subtitles.groupBy("folder", "episode").agg(F.min_by("path", F.struct("script", "place", "path")).alias("subtitle_path"))
     asked = videos.select(
         "video_id", folder_of(F.col("original_path")).alias("folder"), episode_of_video(base_name(F.col("original_path"))).alias("episode")
     )
-    found = asked.join(subtitles, ["folder", "episode"])
-    return found.groupBy("video_id").agg(F.min_by("path", F.struct("script", "place", "path")).alias("subtitle_path"))
+    return asked.join(best, ["folder", "episode"]).select("video_id", "subtitle_path")
 
 
 def resolve_subtitles(videos: DataFrame, files: DataFrame) -> DataFrame:

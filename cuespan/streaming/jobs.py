@@ -47,12 +47,11 @@ def speech_sessions(stream: DataFrame, *, gap_ms: int = SILENCE_MS, lateness: st
     )
 
 
-def closing_row(cues: DataFrame, *, gap_ms: int = SILENCE_MS, lateness_ms: int) -> DataFrame:
-    """One cue of no video, so late that the watermark passes every session of ``cues``; it ends a finite stream."""
-    last = cues.agg(F.max("end_ms").alias("last")).filter("last IS NOT NULL")
-    at = (F.col("last") + gap_ms + lateness_ms + 60_000).alias("at")
-    typed = {"video_id": F.lit(-1), "start_ms": F.col("at"), "end_ms": F.col("at")}
-    return last.select(at).select(*(typed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in cues.schema.fields))
+def closing_row(rows: DataFrame, *times: str, after_ms: int) -> DataFrame:
+    """One row of no video, ``after_ms`` after the last of ``times``, so that the watermark passes everything before it; it ends a finite stream."""
+    last = rows.agg(F.max(F.greatest(*times) if len(times) > 1 else F.col(times[0])).alias("last")).filter("last IS NOT NULL")
+    typed = {"video_id": F.lit(-1), **{t: F.col("last") + after_ms for t in times}}
+    return last.select(*(typed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
 
 
 def motion_windows(frames: DataFrame, *, window: str = MOTION_WINDOW, lateness: str = LATENESS) -> DataFrame:
@@ -70,6 +69,12 @@ def latest_progress(lines: DataFrame) -> DataFrame:
     return seen.groupBy("job_id").agg(F.max_by(F.struct("seq", "p.*"), "seq").alias("last")).select("job_id", "last.*")
 
 
+def newest_of(updates: DataFrame, key: str) -> DataFrame:
+    """The row of each key from its last batch, of what ``to_snapshots`` has written in update mode."""
+    others = [c for c in updates.columns if c not in (key, "batch")]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(key, "last.*")
+
+
 def library_changes(files: DataFrame, registry: DataFrame) -> DataFrame:
     """State of each found video file against the registry of (path, size_bytes): new, changed or known."""
     known = registry.select("path", F.col("size_bytes").alias("_size"))
@@ -119,7 +124,7 @@ def to_table(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def to_snapshots(stream: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """A full snapshot per batch under its batch id; the last one is current."""
+    """What each batch puts out, under its batch id: in complete mode the whole result, in update mode the keys that changed."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

@@ -93,7 +93,7 @@ def test_retries_and_placeholders(spark):
             raise RuntimeError
         return "ok"
 
-    assert inference.call_with_retries(flaky, 1, 3, waits.append) == "ok" and waits == [1.0, 2.0]
+    assert inference.call_with_retries(flaky, 1, 3, waits.append) == "ok" and waits == [2.0, 4.0]
     assert inference.call_with_retries(lambda r: 1 / 0, 1, 3, waits.append) is None
 
     segs = spark.createDataFrame([(1, 1040, 2250)], "segment_id bigint, start_ms bigint, end_ms bigint")
@@ -118,7 +118,9 @@ def test_speakers(spark):
     cases = [("Sasaki waits", "", None, False, "sasaki"), ("a street", "山田", "unknown", False, "yamada"), ("", "山田", None, False, "unknown"),
              ("Sasaki waits", "", "Tayama", False, "tayama"), ("Sasaki waits", "", "unknown", True, "unknown")]
     df = spark.createDataFrame(cases, "s string, t string, p string, m boolean, want string")
-    assert all(r.got == r.want for r in df.withColumn("got", dialogue.resolve_speaker(F.col("s"), F.col("t"), F.col("p"), F.col("m"))).collect())
+    words = {"tayama": (("tayama", "田山"), ("田山",)), "sasaki": (("sasaki",), ()), "yamada": (("yamada",), ("山田",))}
+    found = dialogue.resolve_speaker(F.col("s"), F.col("t"), F.col("p"), F.col("m"), speakers=words)
+    assert all(r.got == r.want for r in df.withColumn("got", found).collect())
 
 
 def test_playhead(spark):
