@@ -108,6 +108,10 @@ def numbered(df, keys, order, chunk, name: str, levels: int = 1) -> DataFrame:
     return running(df, keys, order, chunk, {name: ("sum", F.lit(1).cast("bigint"))}, inclusive=False, levels=levels)
 
 
+#: Bits that the digits of a whole number are shifted by, the highest first.
+DIGITS = (48, 32, 16, 0)
+
+
 def positions(rows: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame:
     """Zero-based position in a total order, without sorting everything in one task.
 
@@ -116,13 +120,17 @@ def positions(rows: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame
     """
     first = order[0]
     counts = rows.groupBy(first).agg(F.count("*").alias("_n"))
-    # One short row per distinct leading value; groups of them are summed before they are scanned.
-    span = counts.withColumn("_block", F.floor(F.col(first) / CHUNK_FAN))
-    blocks = span.groupBy("_block").agg(F.sum("_n").alias("_m"))
-    before = blocks.select("_block", (F.sum("_m").over(Window.orderBy("_block")) - F.col("_m")).alias("_blocks_before"))
-    inside = F.sum("_n").over(Window.partitionBy("_block").orderBy(first)) - F.col("_n")
-    offsets = span.select(first, "_block", inside.alias("_in_block")).join(before, "_block").select(
-        first, (F.col("_in_block") + F.col("_blocks_before")).alias("_offset")
-    )
+    # What lies before a value is found digit by digit, 16 bits each: no window holds more than 65,536 rows.
+    prefix = [F.shiftright(F.col(first).cast("bigint"), shift).alias(f"_p{shift}") for shift in DIGITS]
+    cells, before = counts.select(first, "_n", *prefix), None
+    for level, shift in enumerate(DIGITS):
+        above = [f"_p{DIGITS[level - 1]}"] if level else []
+        sums = cells.groupBy(*above, f"_p{shift}").agg(F.sum("_n").alias("_m"))
+        smaller = Window.partitionBy(*above).orderBy(f"_p{shift}")
+        sums = sums.select(*above, f"_p{shift}", (F.sum("_m").over(smaller) - F.col("_m")).alias("_before"))
+        if before is not None:
+            sums = sums.join(before, above).select(f"_p{shift}", (F.col("_before") + F.col("_offset")).alias("_before"))
+        before = sums.select(f"_p{shift}", F.col("_before").alias("_offset"))
+    offsets = before.select(F.col("_p0").cast(rows.schema[first].dataType).alias(first), "_offset")
     numbered_rows = numbered(rows, [first], list(order[1:]), chunk, "_at")
     return numbered_rows.join(offsets, first).withColumn("position", F.col("_at") + F.col("_offset")).drop("_at", "_offset")
