@@ -82,7 +82,28 @@ def stream_progress(spark, d):
     return jobs.newest_of(spark.read.parquet(f"{work}/out"), "job_id")
 
 
-@query("stream_assign")
+ASSIGN_STEPS = {
+    "asked": """
+        SELECT c.song_id, c.line_no, any_value(l.end_ms - l.start_ms) AS n, list({'r': c.rank, 'v': c.video_id, 't': c.t_ms} ORDER BY c.rank) AS os
+        FROM cand c JOIN lyr l ON l.song_id = c.song_id AND l.line_no = c.line_no GROUP BY c.song_id, c.line_no""",
+    "pass": """
+        SELECT song_id, -1::BIGINT AS i, []::BIGINT[] AS recent, []::STRUCT(v BIGINT, s BIGINT, e BIGINT)[] AS used,
+               NULL::STRUCT(r INTEGER, v BIGINT, t BIGINT) AS o, NULL::INTEGER AS tier
+        FROM (SELECT DISTINCT song_id FROM asked)
+        UNION ALL
+        SELECT song_id, i, list_append(recent, o.v)[-4:], list_append(used, {'v': o.v, 's': greatest(0, o.t), 'e': greatest(0, o.t) + n}), o, tier
+        FROM (
+          SELECT *, CASE WHEN len(fresh) > 0 THEN fresh[1] WHEN len(clear) > 0 THEN clear[1] ELSE os[1] END AS o,
+                 CASE WHEN len(fresh) > 0 THEN 1 WHEN len(clear) > 0 THEN 2 ELSE 3 END AS tier
+          FROM (SELECT *, list_filter(clear, lambda c: NOT list_contains(recent, c.v)) AS fresh
+            FROM (SELECT p.song_id, p.i + 1 AS i, p.recent, p.used, q.n, q.os,
+                         list_filter(q.os, lambda c: len(list_filter(p.used, lambda u: u.v = c.v AND greatest(0, c.t) < u.e AND u.s < greatest(0, c.t) + q.n)) = 0) AS clear
+                  FROM pass p JOIN asked q ON q.song_id = p.song_id AND q.line_no = p.i + 1)))""",
+}
+
+
+@query("stream_assign", with_tables(
+    "SELECT song_id, i AS line_no, o.r AS rank, o.v AS video_id, greatest(0, o.t) AS clip_start_ms, tier FROM pass WHERE o IS NOT NULL", recursive=True, extra=ASSIGN_STEPS))
 def stream_assign(spark, d):
     """Every line's candidates as prompts, chosen in line order with state per song."""
     work = _work(spark)

@@ -347,7 +347,41 @@ def clip_overlaps(spark, d):
     return TL.overlapping_candidates(X.cand(spark, d), lines, shown).select("song_id", "line_no", "rank", "overlaps")
 
 
-@query("assign_candidates")
+# One row per song and line, carrying the list of slots filled so far; what a line shows follows from that list.
+ASSIGN_STEPS = {
+    "sheet": "SELECT song_id, list({'s': start_ms, 'n': end_ms - start_ms} ORDER BY line_no) AS ls FROM lyr GROUP BY song_id",
+    "held": """
+        SELECT song_id, list({'i': slot_no, 'v': video_id, 'c': clip_start_ms, 'd': clip_duration_ms,
+                              'm': CASE WHEN coalesce(video_duration_ms, 0) > 0 THEN video_duration_ms ELSE clip_duration_ms + 5000 END} ORDER BY slot_no) AS f
+        FROM known_slot GROUP BY song_id""",
+    "offer": """
+        SELECT c.song_id, c.line_no, list({'r': c.rank, 'v': c.video_id, 't': c.t_ms, 'm': coalesce(v.duration_ms, 0)} ORDER BY c.rank) AS os
+        FROM cand c LEFT JOIN vid v USING (video_id) GROUP BY c.song_id, c.line_no""",
+    "pass": """
+        SELECT song_id, -1::BIGINT AS i, f, NULL::STRUCT(r INTEGER, v BIGINT, t BIGINT, m BIGINT) AS o, NULL::INTEGER AS tier
+        FROM (SELECT s.song_id, coalesce(h.f, []) AS f FROM sheet s LEFT JOIN held h USING (song_id))
+        UNION ALL
+        SELECT song_id, i, CASE WHEN o IS NULL THEN f
+                 ELSE list_sort(list_append(f, {'i': i, 'v': o.v, 'c': o.t, 'd': n, 'm': CASE WHEN o.m > 0 THEN o.m ELSE n + 5000 END})) END AS f, o, tier
+        FROM (
+          SELECT song_id, i, f, n, CASE WHEN len(fresh) > 0 THEN fresh[1] WHEN len(clear) > 0 THEN clear[1] ELSE os[1] END AS o,
+                 CASE WHEN os IS NULL THEN NULL WHEN len(fresh) > 0 THEN 1 WHEN len(clear) > 0 THEN 2 ELSE 3 END AS tier
+          FROM (SELECT *, list_filter(clear, lambda c: NOT list_contains([x.v FOR x IN shown IF x.j >= i - 4 AND x.j < i], c.v)) AS fresh
+            FROM (SELECT *, list_filter(os, lambda c: len(list_filter(shown, lambda x: x.j <> i AND x.v = c.v AND greatest(0, c.t) < x.c + x.n AND x.c < greatest(0, c.t) + n)) = 0) AS clear
+              FROM (
+                SELECT song_id, i, f, n, os, list_filter(list_transform(range(len(ls)), lambda j: list_transform([list_filter(f, lambda x: x.i <= j)[-1]], lambda l: CASE
+                         WHEN len(f) = 0 THEN NULL
+                         WHEN l IS NULL THEN {'j': j, 'v': f[1].v, 'c': f[1].c, 'n': ls[j + 1].n}
+                         WHEN l.i = j THEN {'j': j, 'v': l.v, 'c': l.c, 'n': l.d}
+                         ELSE {'j': j, 'v': l.v, 'c': CASE WHEN l.c + ls[j + 1].s - ls[l.i + 1].s > l.m - 100 THEN greatest(0, l.m - 100) ELSE l.c + ls[j + 1].s - ls[l.i + 1].s END, 'n': ls[j + 1].n}
+                         END)[1]), lambda x: x IS NOT NULL) AS shown
+                FROM (SELECT p.song_id, p.i + 1 AS i, p.f, s.ls, s.ls[p.i + 2].n AS n, CASE WHEN len(list_filter(p.f, lambda x: x.i = p.i + 1)) = 0 THEN q.os END AS os
+                      FROM pass p JOIN sheet s USING (song_id) LEFT JOIN offer q ON q.song_id = p.song_id AND q.line_no = p.i + 1 WHERE p.i + 1 < len(s.ls))))))""",
+}
+
+
+@query("assign_candidates", with_tables(
+    "SELECT song_id, i AS line_no, o.r AS rank, o.v AS video_id, o.t AS clip_start_ms, tier FROM pass WHERE o IS NOT NULL", recursive=True, extra=ASSIGN_STEPS))
 def assign_candidates(spark, d):
     cands = X.cand(spark, d).withColumn("clip_start_ms", F.col("t_ms")).join(
         X.vid(spark, d).select("video_id", F.col("duration_ms").alias("limit_ms")), "video_id", "left"
