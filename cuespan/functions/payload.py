@@ -68,8 +68,8 @@ def text_list(text: Column) -> Column:
 
 
 def ranked_ids(reply: Column) -> Column:
-    """A reply that should be a JSON list of ids; anything else is null."""
-    return F.from_json(unfenced(reply), "array<bigint>")
+    """A reply that should be a JSON object from a prompt's place in the call to its list of ids; anything else is null."""
+    return F.from_json(unfenced(reply), "map<string, array<bigint>>")
 
 
 def rate(text: Column) -> Column:

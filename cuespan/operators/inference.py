@@ -13,8 +13,11 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.functions.payload import parsed_annotation, placeholder_annotation
+from cuespan.functions.payload import parsed_annotation, placeholder_annotation, ranked_ids
+from cuespan.functions.timecode import idiv
+from cuespan.operators.match import BATCH_LINES, drop_opening_ids, fallback_ids
 from cuespan.operators.ranking import Scorer, rank_blocks
+from cuespan.operators.scans import numbered
 
 # Fixed values of the remote calls.
 ATTEMPTS = 3
@@ -97,3 +100,39 @@ def annotate_batch(
 def rank_batch(prompts: DataFrame, pool: DataFrame, scorer: Scorer, *, limit: int = 5, prompts_per_call: int = 1024) -> DataFrame:
     """Ranked segment ids per prompt. The scorer sees a block of prompts against a block of the pool."""
     return rank_blocks(prompts, pool, scorer, item_id="segment_id", k=limit, prompts_per_block=prompts_per_call)
+
+
+def rank_calls(
+    prompts: DataFrame, shortlist: DataFrame, segments: DataFrame, allowed: DataFrame, ranker: Callable[[list[dict]], str], *,
+    size: int = BATCH_LINES, attempts: int = ATTEMPTS, pause: Callable[[float], None] = time.sleep, workers: int = 4,
+) -> DataFrame:
+    """Segment ids per line as a model ranks them: (song_id, line_no, segment_ids, answered).
+
+    Lines go to ``ranker`` in calls of ``size``, each with the ids of its shortlist (the exact best of ``rank_batch``, so a
+    call is bounded), and the reply maps the place in the call to ids. A line without a list of its own gets the stand-ins. Openings
+    are then taken out of the lists of lines that are not ``allowed`` them.
+    """
+    key = ["song_id", "line_no"]
+    placed = numbered(prompts.join(shortlist, key, "left"), ["song_id"], ["line_no"], idiv(F.col("line_no"), 4096), "_n")
+    placed = placed.withColumn("batch_no", idiv(F.col("_n"), size))
+    asked = F.struct("line_no", "prompt", F.coalesce("segment_ids", F.array().cast("array<bigint>")).alias("segment_ids"))
+    calls = placed.groupBy("song_id", "batch_no").agg(F.array_sort(F.collect_list(asked)).alias("asked"))
+
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [[{"line_no": int(x["line_no"]), "prompt": x["prompt"], "segment_ids": [int(i) for i in x["segment_ids"]]} for x in lines] for lines in batch["asked"]]
+            with ThreadPoolExecutor(workers) as pool:
+                replies = list(pool.map(lambda lines: call_with_retries(ranker, lines, attempts, pause), rows))
+            numbers = [[x["line_no"] for x in lines] for lines in rows]
+            yield pd.DataFrame({"song_id": batch["song_id"], "lines": numbers, "reply": replies})
+
+    kind = prompts.schema["song_id"].dataType.simpleString()
+    replied = calls.mapInPandas(call, f"song_id {kind}, lines array<bigint>, reply string")
+    lists = replied.select("song_id", ranked_ids(F.col("reply")).alias("_lists"), F.posexplode("lines").alias("_at", "line_no"))
+    own = F.try_element_at("_lists", F.col("_at").cast("string"))
+    # The stand-ins are a handful of ids.
+    stand_ins = [row["segment_id"] for row in fallback_ids(segments).orderBy("rank").collect()]
+    other = F.array(*map(F.lit, stand_ins)).cast("array<bigint>")
+    found = lists.select("song_id", "line_no", F.coalesce(own, other).alias("segment_ids"), own.isNotNull().alias("answered"))
+    kept = drop_opening_ids(found.select(*key, "segment_ids"), segments, allowed, key)
+    return kept.join(found.select(*key, "answered"), key)

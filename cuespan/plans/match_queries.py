@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from cuespan.functions import keys as K
@@ -227,6 +229,29 @@ def rank_batch(spark, d):
     return J.rank_batch(embed(prompts, "prompt_id"), embed(pool, "segment_id"), R.dot_scorer)
 
 
+def fixture_ranker(lines: list[dict]) -> str:
+    """Replies for the check: each line's ids backwards, but not for the sixth; every third call of a song is no JSON."""
+    if lines[0]["line_no"] // 20 % 3 == 1:
+        return "sorry, no JSON"
+    return "```json\n" + json.dumps({str(i): x["segment_ids"][::-1] for i, x in enumerate(lines) if i != 5}) + "\n```"
+
+
+@query("rank_calls", sql("""
+    SELECT song_id, line_no, (row_number() OVER (PARTITION BY song_id, line_no ORDER BY pos) - 1)::INTEGER AS rank, segment_id, answered
+    FROM (SELECT song_id, line_no, answered, unnest(ids) AS segment_id, generate_subscripts(ids, 1) AS pos
+          FROM (SELECT *, CASE WHEN answered THEN list_reverse(segment_ids) ELSE others END AS ids
+                FROM (SELECT song_id, line_no, segment_ids, NOT (line_no // 20 % 3 = 1 OR line_no % 20 = 5) AS answered FROM ranks),
+                     (SELECT list(segment_id ORDER BY segment_id) AS others FROM (SELECT segment_id FROM eligible ORDER BY segment_id LIMIT 5))))
+    LEFT JOIN (SELECT segment_id, true AS opening FROM seg WHERE is_op) o USING (segment_id)
+    LEFT JOIN (SELECT song_id, line_no, true AS may FROM opened) a USING (song_id, line_no)
+    WHERE opening IS NULL OR may"""))
+def rank_calls(spark, d):
+    lines, seg = X.lyr(spark, d), X.seg(spark, d)
+    prompts = M.build_prompts(lines, X.plan_line(spark, d)).select("song_id", "line_no", "prompt")
+    found = J.rank_calls(prompts, X.ranks(spark, d), seg, lines.filter("line_no = 0"), fixture_ranker, pause=lambda s: None)
+    return found.select("song_id", "line_no", F.posexplode("segment_ids").alias("rank", "segment_id"), "answered")
+
+
 @query("embed_batch", sql("""
     SELECT doc_id, ('0x' || left(md5(word), 2))::INTEGER % 64 AS dim, sum(n)::BIGINT AS n FROM word GROUP BY ALL"""))
 def embed_batch(spark, d):
