@@ -38,6 +38,8 @@ ENCODINGS = [
 ]
 #: Equal pairs in writing, as a multiple of those of even letters.
 TEXT_RATE = 1.7
+#: Matches that are added up at a time.
+PART = 256
 #: Standard errors beyond which runs, serial correlation or chi-squared speak against chance.
 LIMIT = 3.3
 
@@ -50,7 +52,7 @@ def spans(text: Column, pattern: str, kind: int, value_group: int | None = None,
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
     values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda x: F.length(x)) if value_group else found
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
     def step(state: Column, x: Column) -> Column:
         first = state["at"] + x["gap"]
@@ -58,10 +60,19 @@ def spans(text: Column, pattern: str, kind: int, value_group: int | None = None,
         one = F.array(F.struct(first.alias("start"), F.lit(kind).alias("kind"), last.alias("end")))
         return F.struct(last.alias("at"), F.when(x["value"] >= least, F.concat(state["out"], one)).otherwise(state["out"]).alias("out"))
 
-    matches = F.transform(F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value")), lambda x: x)
-    matches = F.filter(matches, lambda x: x["found"].isNotNull())
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.when(text.rlike(pattern), F.aggregate(matches, start, step, lambda state: state["out"])).otherwise(none)
+    def part(state: Column, number: Column, matches: Column) -> Column:
+        return F.aggregate(
+            F.slice(matches, number * PART + 1, F.lit(PART)), F.struct(state["at"].alias("at"), none.alias("out")), step,
+            lambda inner: F.struct(inner["at"].alias("at"), F.concat(state["out"], inner["out"]).alias("out")),
+        )
+
+    def placed(matches: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.size(matches) / PART).cast("int"))
+        return F.aggregate(numbers, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda s, n: part(s, n, matches), lambda s: s["out"])
+
+    matches = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value")), lambda x: x["found"].isNotNull())
+    # The list of matches is bound once; it is added up part by part, as lists grow by copying.
+    return F.when(text.rlike(pattern), F.get(F.transform(F.array(matches), placed), F.lit(0))).otherwise(none)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
