@@ -33,6 +33,14 @@ def text_hash(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def by_shuffle(keys: DataFrame) -> DataFrame:
+    """``keys`` as the side that a join of whole documents builds on: both sides are dealt by key, at every size alike.
+
+    The number of keys grows with the corpus, so it is never broadcast; hash tables spare sorting the texts.
+    """
+    return keys.hint("shuffle_hash")
+
+
 def held_out(doc_id: Column) -> Column:
     """The fold no label is learnt from: crc32 of the id as text is 1 modulo 3; an unknown id is held out as well."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))

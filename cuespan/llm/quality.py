@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import SPACE_CLASS, SPACES, named, text_hash
+from cuespan.llm.common import SPACE_CLASS, SPACES, by_shuffle, named, text_hash
 from cuespan.session import work_table
 
 # The symbols that count, and what a line with a word has.
@@ -94,4 +94,4 @@ def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     report = quality_report(docs, text_col=text_col, host_col=host_col, **options)
     out = work_table(report.where(~F.col("kept")).select(F.col("host").alias("_host"), F.col("text_key").alias("_text_key")).distinct())
     same = (F.coalesce(named(host_col).cast("string"), F.lit("")) == F.col("_host")) & (text_hash(named(text_col)) == F.col("_text_key"))
-    return docs.join(out, same, "left_anti")
+    return docs.join(by_shuffle(out), same, "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import named, only, text_hash
+from cuespan.llm.common import by_shuffle, named, only, text_hash
 from cuespan.session import work_table
 
 # The shapes of secrets, which must match as they stand.
@@ -171,7 +171,7 @@ def without_secrets(docs: DataFrame, mark: str = "[secret]", text_col: str = "te
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     base = rows.where(F.size("base") > 0).select("text_key", "base").dropDuplicates(["text_key"])
     every = base.join(found, "text_key", "full").select(F.col("text_key").alias("_text_key"), F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("random", none))).alias("_spans"))
-    out = docs.join(work_table(every), text_hash(named(text_col)) == F.col("_text_key"), "left")
+    out = docs.join(by_shuffle(work_table(every)), text_hash(named(text_col)) == F.col("_text_key"), "left")
     text = named(text_col)
 
     def step(state: Column, s: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import in_slices, named, only, text_hash, utf8
+from cuespan.llm.common import by_shuffle, in_slices, named, only, text_hash, utf8
 from cuespan.session import work_table
 
 BITS = 64
@@ -270,7 +270,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = work_table(rows.join(first, mine, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
     again = work_table(rows.join(first, mine, "left_semi").where("times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
     key = text_hash(named(text_col))
-    out = docs.join(gone, (key == gone["_key"]) & named(id_col).eqNullSafe(gone["_id"]), "left_anti")
+    out = docs.join(by_shuffle(gone), (key == gone["_key"]) & named(id_col).eqNullSafe(gone["_id"]), "left_anti")
     if again.isEmpty():
         return out
     repeated = (key == again["_key"]) & named(id_col).eqNullSafe(again["_id"])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import in_slices, only, text_hash, utf8
+from cuespan.llm.common import by_shuffle, in_slices, only, text_hash, utf8
 from cuespan.session import work_table
 
 #: Bytes of words: digits, letters in lower case, and all of other scripts; the rest is white space.
@@ -178,4 +178,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """``docs`` without the documents that share ``span`` words in a row with a benchmark item."""
     _, hits = contamination(docs, benchmark, text_col=text_col, **options)
     keys = work_table(hits.select(F.col("text_key").alias("_text_key")).distinct())
-    return docs.join(keys, text_hash(F.col(f"`{text_col}`")) == F.col("_text_key"), "left_anti")
+    return docs.join(by_shuffle(keys), text_hash(F.col(f"`{text_col}`")) == F.col("_text_key"), "left_anti")
