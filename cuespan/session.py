@@ -51,7 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def work_table(df: DataFrame, *partition_by: str) -> DataFrame:
+def work_table(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet below the shared checkpoint folder and read back.
 
     What is used more than once is computed once and survives lost executors; the size of the files is then known to
@@ -59,7 +59,7 @@ def work_table(df: DataFrame, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/work-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
