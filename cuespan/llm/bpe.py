@@ -25,7 +25,7 @@ NONE = np.int32(2**31 - 1)
 #: Rows of a matrix are at most this wide; a longer piece goes through a heap, which needs no quadratic time.
 WIDEST = 512
 #: Pieces a worker remembers before it starts anew; bounds its memory only.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Cells of a matrix that are worked on at a time.
 CELLS = 1 << 21
 

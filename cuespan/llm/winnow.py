@@ -69,7 +69,7 @@ class Winnower:
 
     def run(self, texts: list[bytes], spans: list[int] | None, bits: np.ndarray | None) -> tuple[list[int], list[list[dict]]]:
         """Number of words and kept k-grams of each text. ``spans`` None: each text as a benchmark item, else the spans to look for."""
-        if len(self.hashes) > 1_000_000:
+        if len(self.hashes) > 250_000:
             self.hashes.clear()
         rows = [text.translate(WORD_BYTES).split() for text in texts]
         counts = np.array([len(row) for row in rows], np.int64)
