@@ -1,10 +1,11 @@
 """Secret scans with built-in functions: fixed shapes, and a battery of randomness tests on other long tokens.
 
-A token of the encodings' characters is given the smallest alphabet it fits. Ordinary writing repeats its characters
-more than chance does: the rate of equal pairs among its characters, as a multiple of the alphabet's, has mean ``TEXT_RATE``. From
-the rate, which is the chi-squared statistic of uniformity in another scale, comes the probability that a text of this length looks so uniform. Per class of
-length, tokens are taken as secrets at a controlled rate of false discoveries (Benjamini and Hochberg), over all distinct tokens of the corpus;
-a short token has little power and needs the more evidence. Chi-squared, runs and serial correlation must not speak against chance.
+A token of the encodings' characters is given the smallest alphabet it fits. All three tests give evidence against writing, each in
+standard errors from what writing has: chi-squared by the rate of equal pairs, as a multiple of the alphabet's (mean ``TEXT_RATE``), and by
+how rare the letters are; runs by the changes between small letters, capitals and digits; serial correlation by pairs of neighbouring
+letters that writing seldom has. From their sum comes the probability that writing looks so. Per class of length, tokens are taken as
+secrets at a controlled rate of false discoveries (Benjamini and Hochberg), over all distinct tokens of the corpus. Chi-squared, runs and
+serial correlation must not speak against chance either.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ HEX = r"[0-9a-f]{16,}"
 #: Tokens that the battery looks at.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
-#: Name, pattern, characters in the order of their values; the first that fits holds. Letters alone are writing.
+#: Name, pattern, characters in the order of their values; the first that fits holds. Digits alone are writing.
 ENCODINGS = [
-    ("letters", "^[A-Za-z/_-]+$", ""),
     ("digits", "^[0-9/_+-]+$", ""),
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("hex upper", "^[0-9A-F]+$", "0123456789ABCDEF"),
@@ -36,6 +36,22 @@ ENCODINGS = [
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64 url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
+#: Tenths of nats that each letter from a to z tells in writing (mean of English, German, French and Spanish), and their mean and deviation there.
+SURPRISES = [24, 41, 34, 31, 19, 43, 40, 35, 26, 56, 53, 31, 36, 26, 28, 39, 51, 27, 26, 27, 31, 45, 45, 62, 49, 53]
+SURPRISE, SURPRISE_DEVIATION = 28.7, 7.4
+#: Common pairs of letters in the same languages, and the share of pairs in writing that are others, at most.
+PAIRS = (
+    "aa ab ac ad ae ai al am an ap ar as at au be bl bo ca ce ch ci ck cl co ct da de di do ea eb ec ed ee ef ei el em en eo ep eq er es et "
+    "eu ev ex ez fa fi fo ga ge ha he hh hi ho hs ht ia ic ie if ig il im in io ip ir is it ja ke la le lf li ll lo ls ly ma me mi mo mp na "
+    "nb nc nd ne ng nh ni nl nn no nr ns nt nu oa oc od of oi ol om on oo op or os ot ou pa pe pf pi pl po pr pt qu ra rb rc re rg ri rm rn "
+    "ro rr rs rt ru sa sc se sh si sm so sr ss st su ta te th ti to tr ts tt tu ty tz ua ue ui ul un uo up ur us ut ux va ve vi wh wi xt zu"
+)
+ODD_PAIRS = 0.25
+#: Changes of kind (a capital after a small letter, a letter beside a digit) per neighbouring characters in writing, at most.
+CHANGE = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+CHANGES = 0.15
+#: Standard deviation of the sum of the four standard scores in writing, where they go together by 0.35 on average.
+SUM_DEVIATION = 2.86
 #: Equal pairs in writing, as a multiple of those of even letters.
 TEXT_RATE = 1.7
 #: Matches that are added up at a time.
@@ -106,7 +122,19 @@ def battery(tokens: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.size("codes").cast("double")).withColumn("k", F.length("alphabet").cast("double"))
     rows = rows.withColumn("pairs", F.expr("aggregate(array_distinct(codes), 0D, (s, c) -> s + size(filter(codes, x -> x = c)) * (size(filter(codes, x -> x = c)) - 1D))"))
     rows = rows.withColumn("rate", F.expr("k * pairs / (n * (n - 1))"))
-    rows = rows.withColumn("p_text", normal_tail(F.expr(f"(rate - {TEXT_RATE}) / sqrt(2 * {TEXT_RATE} * (k - 1) / (n * (n - 1)))")))
+    rows = rows.withColumn("w_pairs", F.expr(f"({TEXT_RATE} - rate) / sqrt(2 * {TEXT_RATE} * (k - 1) / (n * (n - 1)))"))
+    rows = rows.withColumn("low", F.lower("token")).withColumn("bare", F.regexp_replace("token", "[^A-Za-z0-9]", ""))
+    told = F.transform(F.split(F.regexp_replace("low", "[^a-z]", ""), ""), lambda c: F.get(F.array(*map(F.lit, SURPRISES)), F.ascii(c) - 97))
+    rows = rows.withColumn("told", F.filter(told, lambda x: x.isNotNull()))
+    rows = rows.withColumn("w_letters", F.expr(f"IF(size(told) = 0, 0D, (aggregate(told, 0, (s, x) -> s + x) - {SURPRISE} * size(told)) / ({SURPRISE_DEVIATION} * sqrt(size(told))))"))
+    spread = f"sqrt(greatest(1, length(bare) - 1) * {CHANGES * (1 - CHANGES)})"
+    rows = rows.withColumn("changes", F.regexp_count("bare", F.lit(CHANGE)))
+    rows = rows.withColumn("w_changes", F.expr(f"(changes - (length(bare) - 1) * {CHANGES}) / {spread}"))
+    neighbours = F.transform(F.sequence(F.lit(1), F.length("low") - 1), lambda i: F.substring(F.col("low"), i, F.lit(2)))
+    rows = rows.withColumn("couples", F.filter(neighbours, lambda x: x.rlike("^[a-z]{2}$")))
+    rows = rows.withColumn("odd", F.size(F.filter("couples", lambda x: F.instr(F.lit(PAIRS), x) == 0)))
+    rows = rows.withColumn("w_couples", F.expr(f"(odd - size(couples) * {ODD_PAIRS}) / sqrt(greatest(1, size(couples)) * {ODD_PAIRS * (1 - ODD_PAIRS)})"))
+    rows = rows.withColumn("p_text", normal_tail(F.expr(f"-(w_pairs + w_letters + w_changes + w_couples) / {SUM_DEVIATION}")))
     # Chi-squared is k / n * sum of squared counts - n, with k - 1 degrees of freedom: Wilson and Hilferty's cube root makes it normal.
     rows = rows.withColumn("chi", F.expr("k * (pairs + n) / n - n"))
     rows = rows.withColumn("z_chi", F.expr("(pow(chi / (k - 1), 1D / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1)))"))

@@ -281,6 +281,28 @@ def test_battery_tells_chance_from_writing(spark):
     assert not any("random" in got[i]["spans"] for i in range(30, 62))
 
 
+@pytest.fixture(scope="module")
+def written():
+    """Distinct tokens of writing: names, paths and words with numbers."""
+    words = "reset password user account river valley window payment monitor garden history letter number project station quality".split()
+    rng = np.random.default_rng(8)
+    forms = [lambda i, w: "_".join(w) + f"_{i}", lambda i, w: "".join(map(str.title, w)) + str(i), lambda i, w: f"{2000 + i % 25}/{i % 12 + 1}/" + "-".join(w), lambda i, w: "".join(w)]
+    return sorted({forms[i % 4](i, [str(w) for w in rng.choice(words, 4, replace=False)]) for i in range(4000)})
+
+
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1])
+@pytest.mark.parametrize("length,least", [(20, 0.6), (32, 0.85), (40, 0.9), (63, 0.9)])
+def test_recall_of_the_battery_by_length(spark, written, share, length, least):
+    rng = np.random.default_rng(length)
+    alphabets = [BASE62, BASE62[:10] + BASE62[36:], BASE62 + "+/", BASE62[10:36] + "234567"]
+    chance = {"".join(rng.choice(list(chars), length)) for chars in alphabets for _ in range(int(share * len(written) / 4))}
+    found = {r["token"] for r in secrets.discoveries(spark.createDataFrame([(t,) for t in [*chance, *written]], "token string")).collect()}
+    assert len(found & chance) >= least * len(chance) and len(found - chance) <= 0.05 * len(found)
+
+
 def test_secrets_are_replaced(spark, odd):
     clean = by_id(secrets.without_secrets(spark.createDataFrame([(i, t, 5) for i, t in SECRETS], "doc_id bigint, text string, _spans int").drop("_spans")))
     assert clean[1]["text"] == "é🎉 [secret]' and token:short secret=token: abcdefghijklmnop" and clean[2]["text"] == "[secret] [secret] AKIAX"
