@@ -23,18 +23,24 @@ HEX = r"[0-9a-f]{16,}"
 
 #: Tokens that the battery looks at.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+#: Pieces of tokens that are tested as well, as a key may stand behind a path or a name.
+PIECES = [r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9+]{20,}"]
 KINDS = ["assign", "access", "hex", "random"]
 #: Name, pattern, characters in the order of their values; the first that fits holds. Digits alone are writing.
 ENCODINGS = [
     ("digits", "^[0-9/_+-]+$", ""),
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
     ("hex upper", "^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("small letters", "^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("capitals", "^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("base32", "^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("base36", "^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("base36 upper", "^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base62", "^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64 url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("all signs", "^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
 #: Tenths of nats that each letter from a to z tells in writing (mean of English, German, French and Spanish), and their mean and deviation there.
 SURPRISES = [24, 41, 34, 31, 19, 43, 40, 35, 26, 56, 53, 31, 36, 26, 28, 39, 51, 27, 26, 27, 31, 45, 45, 62, 49, 53]
@@ -100,7 +106,8 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         spans(text, HEX, 2).alias("hex"), spans(text, TOKEN, 3).alias("token"),
     )
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    rows = rows.select("doc_id", "text_key", "text", base.alias("base"), "token")
+    pieces = F.array_distinct(F.concat("token", *(spans(text, pattern, 3) for pattern in PIECES)))
+    rows = rows.select("doc_id", "text_key", "text", base.alias("base"), F.when(F.size("token") > 0, pieces).otherwise(F.col("token")).alias("token"))
     apart = F.filter("token", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
     tokens = F.transform(apart, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.substring(F.col("text"), t["start"] + 1, t["end"] - t["start"]).alias("token")))
     return rows.select("doc_id", "text_key", "base", tokens.alias("tokens"))
@@ -175,7 +182,17 @@ def secret_spans(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", te
     near = work_table(near)
     secret = work_table(discoveries(near, rate))
     span = F.struct("start", F.lit(3).alias("kind"), "end")
-    found = near.join(secret, "token").groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("random"))
+    found = near.join(secret, "token").groupBy("text_key").agg(F.array_sort(F.collect_set(span)).alias("random"))
+    # Of pieces and wholes the largest stand: what an earlier span holds, or one of the same start, is left out.
+    def largest(state: Column, s: Column) -> Column:
+        last = F.element_at(state, -1)
+        return (
+            F.when((F.size(state) > 0) & (s["end"] <= last["end"]), state)
+            .when((F.size(state) > 0) & (s["start"] == last["start"]), F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(s))).otherwise(F.concat(state, F.array(s)))
+        )
+
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    found = found.withColumn("random", F.aggregate("random", none, largest))
     return rows.select("doc_id", "text_key", "base"), found
 
 

@@ -303,6 +303,20 @@ def test_recall_of_the_battery_by_length(spark, written, share, length, least):
     assert len(found & chance) >= least * len(chance) and len(found - chance) <= 0.05 * len(found)
 
 
+def test_pieces_letters_and_mixed_signs(spark):
+    rng = np.random.default_rng(4)
+    made = lambda chars, n: "".join(rng.choice(list(chars), n))
+    letters = BASE62[10:]
+    keys = [("com/reset-password/", made(BASE62, 32)), ("key_id/", made(BASE62, 30) + "+/" + made(BASE62, 30)), ("", made(letters, 40)), ("", made(letters[26:], 48)), ("user-", made(BASE62, 40))]
+    keys.append(("", made(BASE62, 20) + "+" + made(BASE62, 19) + "/" + made(BASE62, 15) + "-" + made(BASE62, 18) + "_" + made(BASE62, 9)))
+    plain = ["Donaudampfschifffahrtsgesellschaft", "com/reset-password/how-to-choose-a-good-one", "internationalization", "the_river/bank-of+valley_town"]
+    docs = spark.createDataFrame([(i, f"see {a}{b} end") for i, (a, b) in enumerate(keys)] + [(100 + i, f"see {t} end") for i, t in enumerate(plain)], "doc_id bigint, text string")
+    report, clean = by_id(secrets.secret_report(docs)), by_id(secrets.without_secrets(docs))
+    for i, (a, b) in enumerate(keys):
+        assert report[i]["spans"].count("random:") == 1 and b not in clean[i]["text"] and clean[i]["text"].endswith("[secret] end")
+    assert not any(report[100 + i]["spans"] for i in range(len(plain)))
+
+
 def test_secrets_are_replaced(spark, odd):
     clean = by_id(secrets.without_secrets(spark.createDataFrame([(i, t, 5) for i, t in SECRETS], "doc_id bigint, text string, _spans int").drop("_spans")))
     assert clean[1]["text"] == "é🎉 [secret]' and token:short secret=token: abcdefghijklmnop" and clean[2]["text"] == "[secret] [secret] AKIAX"
