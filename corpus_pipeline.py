@@ -18,8 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither fail the base rules nor are depleted of their host's common lines."""
-    return kept_documents(docs).select(*COLUMNS)
+    """Documents that neither fail the base rules nor are depleted of their host's common lines, without those lines; their new length."""
+    kept = kept_documents(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,11 @@ def repeated_words(windows: Column, last: int = 3) -> Column:
     return F.sort_array(F.transform(recurring, lambda w: w["at"]))
 
 
+def normal_line(line: Column) -> Column:
+    """Lower case, single spaces at word gaps."""
+    return F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_CLASS, " "))
+
+
 def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """Per row: doc_id, host, text_key, the counts of the text, and ``lines``: (hash, words) of each distinct normalised line.
 
@@ -54,7 +59,7 @@ def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     covered = F.aggregate(
         F.transform("places", lambda at, i: F.least(F.lit(3), F.coalesce(F.get(F.col("places"), i + 1) - at, F.lit(3)))), F.lit(0), lambda total, n: total + n
     )
-    lines = F.transform("filled", lambda line: F.lower(F.regexp_replace(F.btrim(line, F.lit(SPACES)), SPACE_CLASS, " ")))
+    lines = F.transform("filled", normal_line)
     normal = F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), F.size(F.split(line, " ")).alias("words")))
     return rows.select(
         "doc_id", "host", "text_key", "n_words", F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -63,14 +68,8 @@ def text_rules(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     )
 
 
-def quality_report(
-    docs: DataFrame, most: int = 100, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
-) -> DataFrame:
-    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed, and its keys host and text_key.
-
-    ``base_failed``: fewer than 50 words, or more than half of the words in recurring windows of three. ``kept``: not that, and not
-    depleted. Null text counts as empty (and fails); documents of null hosts share one host. An empty table gives no rows.
-    """
+def judged(docs: DataFrame, most: int, share: float, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+    """(report, common): the rows of ``quality_report``; and host, text_key and hash of each boilerplate line of each distinct text."""
     rows = work_table(text_rules(docs, id_col, text_col, host_col).withColumn("host", F.coalesce("host", F.lit(""))))
     lines = rows.select("host", "text_key", F.explode("lines").alias("line"))
     lines = lines.groupBy("host", "text_key", F.col("line.hash").alias("hash")).agg(F.max("line.words").alias("words"), F.count(F.lit(1)).alias("times"))
@@ -78,20 +77,46 @@ def quality_report(
     copies = rows.where(F.size("lines") > 0).groupBy("host", "text_key").agg(F.count(F.lit(1)).alias("copies"))
     lines = work_table(lines)
     common = lines.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("host", "hash")
-    removed = lines.join(work_table(common), ["host", "hash"], "left_semi").groupBy("host", "text_key").agg(F.sum(F.col("words") * F.col("times")).alias("all_words"))
+    common = work_table(lines.join(work_table(common), ["host", "hash"], "left_semi"))
+    removed = common.groupBy("host", "text_key").agg(F.sum(F.col("words") * F.col("times")).alias("all_words"))
     removed = work_table(removed.join(copies, ["host", "text_key"]).select("host", "text_key", F.expr("all_words div copies").alias("n_removed")))
     out = rows.drop("lines").join(removed, ["host", "text_key"], "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     depleted = F.col("n_removed") > F.col("n_words") * share
-    return out.select(
+    report = out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
         "n_removed", "host", "text_key",
     )
+    return report, common.select("host", "text_key", "hash")
+
+
+def quality_report(
+    docs: DataFrame, most: int = 100, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+) -> DataFrame:
+    """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed, and its keys host and text_key.
+
+    ``base_failed``: fewer than 50 words, or more than half of the words in recurring windows of three. ``kept``: not that, and not
+    depleted. Null text counts as empty (and fails); documents of null hosts share one host. An empty table gives no rows.
+    """
+    return judged(docs, most, share, id_col, text_col, host_col)[0]
+
 
+def kept_documents(
+    docs: DataFrame, most: int = 100, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
+) -> DataFrame:
+    """``docs`` without the rejected documents, and without boilerplate lines in the others; both depend on host and text only.
 
-def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", **options: object) -> DataFrame:
-    """``docs`` without the rejected documents; what is rejected depends on host and text only."""
-    report = quality_report(docs, text_col=text_col, host_col=host_col, **options)
-    out = work_table(report.where(~F.col("kept")).select(F.col("host").alias("_host"), F.col("text_key").alias("_text_key")).distinct())
+    A text without boilerplate stays as it is; lines are those between line feeds, and lines without a word are never boilerplate.
+    """
+    report, common = judged(docs, most, share, id_col, text_col, host_col)
+    rejected = report.where(~F.col("kept")).select("host", "text_key").distinct().withColumn("_rejected", F.lit(True))
+    # A text's list holds no more than its own lines; that of a rejected text is not needed.
+    lists = common.join(by_shuffle(rejected), ["host", "text_key"], "left_anti").groupBy("host", "text_key").agg(F.collect_list("hash").alias("_common"))
+    changes = rejected.withColumn("_common", F.lit(None).cast("array<bigint>")).unionByName(lists.withColumn("_rejected", F.lit(False)))
+    changes = work_table(changes.withColumnsRenamed({"host": "_host", "text_key": "_text_key"}))
     same = (F.coalesce(named(host_col).cast("string"), F.lit("")) == F.col("_host")) & (text_hash(named(text_col)) == F.col("_text_key"))
-    return docs.join(by_shuffle(out), same, "left_anti")
+    out = docs.join(by_shuffle(changes), same, "left").where(F.col("_rejected").isNull() | ~F.col("_rejected"))
+    gone = lambda line: line.rlike(WORD_CHARACTER) & F.array_contains(F.col("_common"), F.xxhash64(normal_line(line)))
+    rest = F.array_join(F.filter(F.split(named(text_col), "\n"), lambda line: ~gone(line)), "\n")
+    text = F.when(F.col("_common").isNull(), named(text_col)).otherwise(rest).alias(text_col)
+    return out.select(*(text if c == text_col else named(c) for c in docs.columns))
