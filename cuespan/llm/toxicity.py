@@ -23,6 +23,10 @@ from cuespan.session import work_table
 WINDOW = 8
 #: Most errors for words of so many letters.
 ERRORS = ((9, 2), (5, 1), (0, 0))
+#: Most errors for terms of so many letters.
+TERM_ERRORS = ((9, 2), (4, 1), (0, 0))
+#: Stands for one unknown letter in a word, as signs between letters do that mask some.
+UNKNOWN = "*"
 #: Words a worker remembers before it starts anew; bounds its memory only.
 REMEMBERED = 250_000
 #: Bytes of text that are scanned together.
@@ -35,22 +39,31 @@ SPEECH = frozenset(
 ADDRESS = frozenset("you your you're youre u ur du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted eres sois vosotros".split())
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 LETTERS = regex.compile(r"\p{L}+").findall
+MASKED = regex.compile(r"\p{L}+(?:[*#_•]+\p{L}+)+").findall
+ENDINGS = "!?.,;:)\"'"
+MASKING = regex.compile(r"[*#_•]").sub
+
+
+def granted(length: int) -> int:
+    return next(n for least, n in TERM_ERRORS if length >= least)
 
 
 class Trie:
-    """Terms as nested dictionaries; the empty key marks an end."""
+    """Terms as nested dictionaries; the empty key marks an end. ``most`` has, by node, the most errors granted to a term below it."""
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
+        self.most: dict[int, int] = {}
         self.longest = max(map(len, terms), default=0)
         for term in terms:
             node = self.root
             for character in term:
                 node = node.setdefault(character, {})
+                self.most[id(node)] = max(self.most.get(id(node), 0), granted(len(term)))
             node[""] = {}
 
-    def errors(self, words: list[str]) -> np.ndarray:
-        """Least number of errors by which each word is some term; 9 where there is none within its allowance."""
+    def errors(self, words: list[str], by_term: bool = False) -> np.ndarray:
+        """Least number of errors by which each word is some term; 9 where there is none within its allowance, or within the term's if ``by_term``."""
         out = np.full(len(words), 9, np.int8)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         some = np.flatnonzero((lengths > 0) & (lengths <= min(60, self.longest + 2)))
@@ -61,31 +74,34 @@ class Trie:
         one = np.uint64(1)
         end = one << lengths[some].astype(np.uint64)
         inside = (end << one) - one
-        allowed = np.select([lengths[some] >= least for least, _ in ERRORS], [n for _, n in ERRORS])
+        allowed = np.full(len(some), 2) if by_term else np.select([lengths[some] >= least for least, _ in ERRORS], [n for _, n in ERRORS])
         grants = [np.where(allowed >= d, inside, np.uint64(0)) for d in range(3)]
         places = one << np.arange(1, width + 1, dtype=np.uint64)
         masks: dict[str, np.ndarray] = {}
         found = np.full(len(some), 9, np.int8)
         start = [np.full(len(some), (2 << d) - 1, np.uint64) & grants[d] for d in range(3)]
-        stack = [(self.root, np.arange(len(some)), start)]
+        stack = [(self.root, 0, np.arange(len(some)), start)]
         while stack:
-            node, alive, state = stack.pop()
+            node, depth, alive, state = stack.pop()
             for character, child in node.items():
                 if character == "":
-                    for d in (2, 1, 0):
+                    for d in range(granted(depth) if by_term else 2, -1, -1):
                         ends = (state[d] & end[alive]) != 0
                         found[alive[ends]] = np.minimum(found[alive[ends]], d)
                     continue
                 if character not in masks:
-                    masks[character] = (np.where(codes == ord(character), places, np.uint64(0))).sum(axis=1, dtype=np.uint64)
+                    masks[character] = (np.where((codes == ord(character)) | (codes == ord(UNKNOWN)), places, np.uint64(0))).sum(axis=1, dtype=np.uint64)
                 mask = masks[character][alive]
                 # The character is the word's next one; or, with an error, it is missing in the word, stands for another, or comes after an odd one.
                 new = [(state[0] << one) & mask & grants[0][alive]]
                 for d in (1, 2):
+                    if by_term and d > self.most[id(child)]:
+                        new.append(np.zeros(len(alive), np.uint64))
+                        continue
                     new.append((((state[d] << one) & mask) | state[d - 1] | (state[d - 1] << one) | (new[d - 1] << one)) & grants[d][alive])
                 on = (new[0] | new[1] | new[2]) != 0
                 if on.any():
-                    stack.append((child, alive[on], [s[on] for s in new]))
+                    stack.append((child, depth + 1, alive[on], [s[on] for s in new]))
         out[some] = found
         return out
 
@@ -102,13 +118,17 @@ class Memory(dict):
 
 
 def spellings(word: str) -> list[str]:
-    """Runs of letters in a word, and the whole of it with look-alike signs read as letters."""
+    """Runs of letters in a word, the whole of it with look-alike signs read as letters, and with masked letters unknown."""
     runs = LETTERS(word)
     if runs and len(runs[0]) < len(word):
         letters = sum(map(len, runs))
         whole = "".join(LETTERS(word.translate(LOOKALIKES)))
         if letters * 3 >= len(whole) and whole not in runs:
             runs.append(whole)
+        for masked in MASKED(word.rstrip(ENDINGS).translate(LOOKALIKES)):
+            masked = MASKING(UNKNOWN, masked)
+            if 2 * masked.count(UNKNOWN) <= len(masked):
+                runs.append(masked)
     return runs
 
 
@@ -140,7 +160,10 @@ class Scanner:
         news, self.memory.waiting = self.memory.waiting, []
         parts = [spellings(word) for word in news]
         flat = [s for row in parts for s in row]
-        errors = self.trie.errors(flat)
+        errors = self.trie.errors(flat, by_term=True)
+        # A masked word is a term of as many letters, with an error, or none.
+        masked = np.fromiter((UNKNOWN in s for s in flat), bool, len(flat))
+        errors = np.where(masked, np.where(errors == 0, 1, 9), errors).astype(np.int8)
         at = 0
         for word, row in zip(news, parts):
             if row:

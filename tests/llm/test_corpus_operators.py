@@ -161,6 +161,23 @@ def test_automaton_is_edit_distance(terms, words):
         assert found == (least if word and least <= allowed else 9)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=12), min_size=1, max_size=8), st.lists(st.text("abcd", max_size=14), max_size=20))
+def test_allowance_is_that_of_the_term(terms, words):
+    for word, found in zip(words, toxicity.Trie(terms).errors(words, by_term=True)):
+        within = [distance(word, term) for term in terms if distance(word, term) <= (2 if len(term) >= 9 else int(len(term) >= 4))]
+        assert found == (min(within, default=9) if word else 9)
+
+
+def test_misspellings_of_short_terms():
+    scanner = toxicity.Scanner(["idiot", "trash", "scum", "moron", "wonderful", "oaf"])
+    once = ["idot", "trsh", "mron", "scm", "idiat", "trush", "scim", "idi*t", "m*ron", "m**on", "s#um", "tr_sh", "wonderul", "1d*ot"]
+    for word, row in zip(once, scanner.features([f"you {word}!" for word in once])):
+        assert row.tolist() == [0, np.log(2), 0, 0], word
+    assert scanner.features(["wondrfu", "wonderfully"])[:, 2].all()
+    assert not scanner.features(["of", "m***n", "i*i", "*** ok", "trsch", "sm", "a*b_c", "idxt*s"]).any()
+
+
 def test_quotation_and_misspelling():
     scanner = toxicity.Scanner(["idiot"])
     x = scanner.features(["you are an idiot", "you are an idioot!", "you are an 1d10t", 'he said "what an idiot" again', "an ideal spot", ""])
