@@ -12,7 +12,10 @@ from cuespan.llm.bpe import bpe_decode, bpe_encode
 from cuespan.llm.common import table
 from cuespan.llm.hilbert import hilbert_shards
 from cuespan.llm.language import detect_language
+from cuespan.llm.manifest import postorder_proofs
+from cuespan.llm.pii import pii_report
 from cuespan.llm.quality import quality_report
+from cuespan.llm.repeats import periodic_runs
 from cuespan.llm.secrets import secret_report
 from cuespan.llm.simhash import simhash_components
 from cuespan.llm.token_files import read_token_files, token_folder, write_token_files
@@ -139,3 +142,67 @@ def op10_zstd_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_folder(spark)
     write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(spark, folder, ids=False)
+
+
+@query
+def op11_postorder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postorder_proofs(table(spark, sf_dir, "documents"), tamper=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+
+
+# Levels of all trees, then of the tree over their roots; each row climbs them with its own digest put in.
+ORACLES["op11_postorder_log"] = r"""
+WITH RECURSIVE field AS (
+  SELECT row_number() OVER () AS row, doc_id, source, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)) AS crc
+  FROM documents
+), leaf AS (
+  SELECT row, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295::UBIGINT) % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS other
+  FROM field
+), trees AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM leaf)),
+placed AS (
+  SELECT row, doc_id, tree, leaf, coalesce(other, leaf) AS now, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS idx
+  FROM leaf JOIN trees ON leaf.source IS NOT DISTINCT FROM trees.source
+), node AS (
+  SELECT tree, 0 AS level, idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM node WHERE n > 1 GROUP BY tree, level, idx // 16, n
+), subroot AS (SELECT tree, digest AS subroot FROM node WHERE n = 1),
+top AS (
+  SELECT 0 AS level, tree AS idx, subroot AS digest, count(*) OVER () AS n FROM subroot
+  UNION ALL
+  SELECT level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY level, idx // 16, n
+), run AS (SELECT tree, level, idx // 16 AS k, list(digest ORDER BY idx) AS run FROM node WHERE n > 1 GROUP BY ALL),
+top_run AS (SELECT level, idx // 16 AS k, list(digest ORDER BY idx) AS run FROM top WHERE n > 1 GROUP BY ALL),
+climb AS (
+  SELECT row, tree, 0 AS level, idx, now AS digest, '' AS proof FROM placed
+  UNION ALL
+  SELECT c.row, c.tree, c.level + 1, c.idx // 16, sha256(array_to_string(run[: c.idx % 16], '') || c.digest || array_to_string(run[c.idx % 16 + 2 :], '')),
+         c.proof || array_to_string(run[: c.idx % 16], '') || array_to_string(run[c.idx % 16 + 2 :], '')
+  FROM climb c JOIN run r ON c.tree = r.tree AND c.level = r.level AND c.idx // 16 = r.k
+), below AS (SELECT row, tree, digest, proof FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY level DESC) AS last FROM climb) WHERE last = 1),
+above AS (
+  SELECT row, 0 AS level, tree AS idx, digest, proof FROM below
+  UNION ALL
+  SELECT c.row, c.level + 1, c.idx // 16, sha256(array_to_string(run[: c.idx % 16], '') || c.digest || array_to_string(run[c.idx % 16 + 2 :], '')),
+         c.proof || array_to_string(run[: c.idx % 16], '') || array_to_string(run[c.idx % 16 + 2 :], '')
+  FROM above c JOIN top_run r ON c.level = r.level AND c.idx // 16 = r.k
+), proof AS (SELECT row, digest AS folded_root, sha256(proof) AS proof_sha256 FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY level DESC) AS last FROM above) WHERE last = 1)
+SELECT doc_id, leaf, subroot, digest AS root, proof_sha256, folded_root, folded_root = digest AS verified
+FROM placed JOIN subroot USING (tree) JOIN proof USING (row) JOIN top ON top.n = 1
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), planted=True, full=False)
+
+
+@query
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(table(spark, sf_dir, "documents"))
