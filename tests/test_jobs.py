@@ -1,7 +1,9 @@
 """Streaming jobs, model calls and the registry."""
 
 import os
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from cuespan.functions import timecode as C
 from cuespan.operators import caches, dialogue, inference, timeline
 from cuespan.session import checkpoint_dir, cut_lineage
 from cuespan.streaming import jobs
-from cuespan.streaming.assign import Song
+from cuespan.streaming.assign import AssignInOrder, Song
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -84,6 +86,90 @@ def test_song_state_waits_for_missing_lines():
     assert again.next_line == 3 and again.recent == [7, 7, 8] and not again.early
 
 
+class Store:
+    """A map, value or timer handle in memory that counts what is read."""
+
+    def __init__(self):
+        self.held, self.value, self.reads = {}, None, 0
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        self.reads += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def clear(self):
+        self.held, self.value = {}, None
+
+
+class Handle(Store):
+    """What a stateful operator asks of Spark, with one timer."""
+
+    def __init__(self):
+        self.states, self.timers, self.now = {}, set(), 0
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, Store())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_stored_songs_choose_as_songs_in_memory():
+    rng = random.Random(3)
+    lines = {i: (rng.choice([0, 1000, 70_000]), [(r, rng.randrange(3), rng.randrange(-500, 200_000)) for r in range(rng.randrange(4))]) for i in range(120)}
+    song = Song(None)
+    song.early = dict(lines)
+    want = list(song.advance())
+    handle, logic, got, left = Handle(), AssignInOrder(6_000, 100), [], list(lines)
+    logic.init(handle)
+    while left:
+        # Batches in disorder: each holds some of the next lines.
+        batch = [left.pop(rng.randrange(min(8, len(left)))) for _ in range(min(5, len(left)))]
+        frame = pd.DataFrame({"line_no": batch, "length_ms": [lines[i][0] for i in batch],
+                              "candidates": [[dict(zip(("rank", "video_id", "t_ms"), o)) for o in lines[i][1]] for i in batch]})
+        for part in logic.handleInputRows((1,), iter([frame]), handle):
+            got += part.itertuples(index=False, name=None)
+        handle.now += 10
+        assert len(handle.timers) == 1
+    assert [row[1:] for row in got] == want
+    assert not handle.states["early"].held and len(handle.states["used"].held) > 3
+    # The timer of a song without missing lines forgets it; one that waits goes on without the missing line.
+    handle.now += 10_000
+    handle.timers.clear()
+    list(logic.handleExpiredTimer((1,), handle, None))
+    assert handle.states["progress"].value is None and not handle.states["used"].held
+    late = pd.DataFrame({"line_no": [4], "length_ms": [10], "candidates": [[{"rank": 0, "video_id": 5, "t_ms": 7}]]})
+    assert [len(part) for part in logic.handleInputRows((1,), iter([late]), handle)] == [0] and handle.timers == {handle.now + 100}
+    handle.timers.clear()
+    (part,) = logic.handleExpiredTimer((1,), handle, None)
+    assert list(part.itertuples(index=False, name=None)) == [(1, 4, 0, 5, 7, 1)] and handle.timers == {handle.now + 6_000}
+
+
 def test_retries_and_placeholders(spark):
     waits, calls = [], []
 

@@ -2,13 +2,15 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuespan.operators import annotate, assign, match, ranking, scans, segment, song, timeline
+from cuespan.functions import timecode
+from cuespan.operators import annotate, assign, match, ranges, ranking, scans, segment, song, timeline
 from cuespan.operators import dialogue as dg
 from cuespan.operators.intervals import asof, nearest, overlapping, points_in_spans
 
@@ -249,6 +251,75 @@ def test_assignment_by_hand(spark):
     assert rows(got, "line_no") == [(1, 1, 1, 8, 0, 1), (1, 2, 1, 8, 3000, 2), (1, 3, 0, 7, 5200, 3)]
 
 
+def plain_assignment(starts, ends, own, offers):
+    """What every line shows, worked out anew for each question."""
+    own, out = dict(own), []
+
+    def shown(k):
+        before = [j for j in own if j <= k]
+        if k in own:
+            return own[k][0], own[k][1], own[k][2]
+        if not before:
+            return (own[min(own)][0], own[min(own)][1], ends[k] - starts[k]) if own else None
+        video, clip, length, limit = own[max(before)]
+        last = (limit if limit > 0 else length + 5000) - timecode.CLIP_MARGIN_MS
+        moved = clip + starts[k] - starts[max(before)]
+        return video, max(0, last) if moved > last else moved, ends[k] - starts[k]
+
+    for i in sorted(set(offers) - set(own)):
+        views = [shown(k) for k in range(len(starts)) if k != i]
+        near = {shown(k)[0] for k in range(max(0, i - 4), i) if shown(k)}
+        length = ends[i] - starts[i]
+        free = [o for o in offers[i] if not any(v and v[0] == o[1] and max(0, o[2]) < v[1] + v[2] and v[1] < max(0, o[2]) + length for v in views)]
+        fresh = [o for o in free if o[1] not in near]
+        tier, chosen = (1, fresh[0]) if fresh else (2, free[0]) if free else (3, offers[i][0])
+        own[i] = (chosen[1], chosen[3], length, chosen[4])
+        out.append((i, tier, chosen))
+    return out
+
+
+def test_assignment_against_what_every_line_shows():
+    rng = random.Random(11)
+    for _ in range(400):
+        n = rng.randrange(1, 22)
+        starts = np.cumsum([rng.choice([0, 100, 500, 1000, 2000]) for _ in range(n)]) if rng.random() < 0.8 else np.array([rng.randrange(5000) for _ in range(n)])
+        ends = starts + np.array([rng.choice([0, 1, 400, 1000, 3000]) for _ in range(n)])
+        videos, share = rng.choice([1, 2, 5]), rng.choice([0, 0.1, 0.4])
+        own = {i: (rng.randrange(videos), rng.randrange(0, 6000, 250), rng.choice([0, 500, 4000]), rng.choice([0, 3000, 8000])) for i in range(n) if rng.random() < share}
+        offers = {i: [(r, rng.randrange(videos), rng.randrange(-200, 8000, 100), rng.randrange(0, 8000, 100), rng.choice([0, 2000, 9000])) for r in range(rng.randrange(1, 5))] for i in range(n) if rng.random() < 0.7}
+        run = assign.Pass(starts, ends, [assign.slot(i, *own[i]) for i in sorted(own)])
+        got = [(i, *chosen) for i in sorted(offers) if (chosen := run.decide(i, offers[i])) is not None]
+        assert got == plain_assignment(starts.tolist(), ends.tolist(), own, offers)
+
+
+def test_assignment_of_a_long_song(spark):
+    """Fifty thousand lines of one song in one pass, beside short songs; the choices asked of each line stay few."""
+    count = 50_000
+    lines = spark.range(count + 40).select(
+        F.when(F.col("id") < count, 1).otherwise(F.col("id") % 4 + 2).cast("bigint").alias("song_id"), F.col("id").alias("line_no"),
+        (F.col("id") * 3000).alias("start_ms"), (F.col("id") * 3000 + 3000).alias("end_ms"), F.lit("x").alias("text"),
+    )
+    offers = lines.select("song_id", "line_no", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("rank")).select(
+        "song_id", "line_no", F.col("rank").cast("int").alias("rank"), F.pmod(F.xxhash64("line_no", "rank"), F.lit(300)).alias("video_id"),
+        F.pmod(F.xxhash64("rank", "line_no"), F.lit(7_000_000)).alias("t_ms"),
+    ).withColumn("clip_start_ms", F.col("t_ms")).withColumn("limit_ms", F.lit(7_200_000).cast("bigint"))
+    slots = table(spark, [(1, n, n * 3000, n * 3000 + 3000, n % 300, n, 3000, 7_200_000, "none") for n in range(0, count, 50)], SLOTS)
+    got = assign.assign_candidates(lines, slots, offers)
+    tiers = {r["tier"]: r["count"] for r in got.groupBy("tier").count().collect()}
+    assert sum(tiers.values()) == count + 40 - count // 50 and tiers[1] > 0.9 * count
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 6)), max_size=20), st.lists(st.tuples(st.integers(0, 32), st.integers(0, 5)), max_size=10))
+def test_used_ranges(added, asked):
+    kept = ranges.Ranges()
+    for start, length in added:
+        kept.add(start, start + length)
+    for a, length in asked:
+        assert kept.hits(a, a + length) == any(s < a + length and s + n > a for s, n in added)
+    assert all(e <= s for e, s in zip(kept.ends, kept.starts[1:]))
+
+
 def test_top_k_equals_full_scoring(spark):
     rng = random.Random(8)
     vecs = [[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)] for _ in range(300)]
