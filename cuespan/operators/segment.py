@@ -13,6 +13,7 @@ from cuespan.functions import vectors as V
 from cuespan.functions.timecode import idiv, midpoint10
 from cuespan.operators.intervals import CHUNK_MS, overlapping, points_in_spans
 from cuespan.operators.scans import lead, numbered, running
+from cuespan.operators.transitions import FAN, handed_down
 from cuespan.session import cut_lineage
 
 # Fixed values of the segmentation rule.
@@ -110,41 +111,44 @@ def boundaries(keyframes: DataFrame, cues: DataFrame, videos: DataFrame) -> Data
     return motion_cuts(keyframes).unionByName(heard).unionByName(ends).distinct()
 
 
-def _accepted(cuts: DataFrame, least_ms: int, chunk_ms: int) -> tuple[DataFrame, DataFrame]:
+def _accepted(cuts: DataFrame, least_ms: int, chunk_ms: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """Greedy choice of cuts at least ``least_ms`` apart, in parallel over time chunks.
 
     Only the last accepted cut matters to what follows. So each chunk first tells, for
-    every cut through which it can be entered (those in its first ``least_ms`` and the
-    next one), at which cut it is left. One short row per chunk is then followed in
-    order per video, and each chunk replays its own cuts from its known start.
+    the cuts through which it can be entered (those in its first ``least_ms`` and the
+    next one), at which cut it is left. Cuts that lead to the same end are one step, up
+    to the last of them; a chunk without a step is passed over. Steps are composed over
+    the tree of chunks, and each chunk replays its own cuts from its known start.
     """
     chunks = cuts.groupBy("video_id", idiv(F.col("cut_ms"), chunk_ms).alias("chunk")).agg(
         F.array_sort(F.collect_set("cut_ms")).alias("cuts")
     )
-    # Read twice below; what went into it is every keyframe and cue.
-    chunks = cut_lineage(chunks)
-    lows = f"filter(cuts, c -> c < chunk * {chunk_ms} + {least_ms})"
-    highs = f"filter(cuts, c -> c >= chunk * {chunk_ms} + {least_ms})"
+    first_ms = f"chunk * {chunk_ms}L"
+    doors = f"concat(filter(cuts, c -> c < {first_ms} + {least_ms}), slice(filter(cuts, c -> c >= {first_ms} + {least_ms}), 1, 1))"
     leave = f"aggregate(cuts, e, (last, c) -> IF(c - last >= {least_ms}, c, last))"
-    doors = chunks.selectExpr(
-        "video_id", "chunk",
-        f"transform(concat({lows}, slice({highs}, 1, 1)), e -> struct(e AS enter, {leave} AS leave)) AS doors",
-    )
-    walk = f"""aggregate(
-        array_sort(collect_list(struct(chunk, doors))),
-        struct(0L AS last, CAST(array() AS array<struct<chunk: bigint, start: bigint>>) AS starts),
-        (a, c) -> struct(
-            coalesce(get(filter(c.doors, d -> d.enter - a.last >= {least_ms}), 0).leave, a.last) AS last,
-            concat(a.starts, array(struct(c.chunk AS chunk, a.last AS start))) AS starts))"""
-    walked = doors.groupBy("video_id").agg(F.expr(walk).alias("walk"))
-    starts = walked.select("video_id", F.inline("walk.starts"))
+    ends_apart = "filter({0}, (s, i) -> i + 1 = size({0}) OR {0}[i + 1].leave <> s.leave)"
+    chunks = chunks.withColumn("steps", F.expr(f"transform({doors}, e -> struct(e AS upto, {leave} AS leave))"))
+    # Read several times below; what went into it is every keyframe and cue.
+    chunks = cut_lineage(chunks.withColumn("steps", F.expr(ends_apart.format("steps"))))
+
+    def apply(steps: str, last: str) -> str:
+        return f"coalesce(get(filter({steps}, w -> w.upto >= {last} + {least_ms}), 0).leave, {last})"
+
+    def compose(f: str, g: str, first: str) -> str:
+        # What no step of f takes goes on to g; a group cannot be entered beyond the first step that lies ``least_ms`` behind its first one.
+        both = f"""concat(transform({f}, s -> struct(s.upto AS upto, {apply(g, 's.leave')} AS leave)),
+            filter({g}, t -> t.upto > element_at({f}, -1).upto))"""
+        entered = f"filter(x, (s, i) -> i = 0 OR x[i - 1].upto < {first}[0].upto + {least_ms})"
+        return f"transform(transform(array({both}), x -> {entered}), y -> {ends_apart.format('y')})[0]"
+
+    starts, last = handed_down(chunks, ["video_id"], "start", apply, compose, "0L", fan=fan)
     replay = f"""aggregate(
         cuts, struct(start AS last, CAST(array() AS array<struct<start_ms: bigint, end_ms: bigint>>) AS kept),
         (a, c) -> IF(c - a.last >= {least_ms},
                      struct(c AS last, concat(a.kept, array(struct(a.last AS start_ms, c AS end_ms))) AS kept), a),
         a -> a.kept)"""
     pieces = chunks.join(starts, ["video_id", "chunk"]).select("video_id", F.inline(F.expr(replay)))
-    return pieces, walked.select("video_id", F.col("walk.last").alias("last_cut_ms"))
+    return pieces, last.withColumnRenamed("start", "last_cut_ms")
 
 
 def segment_videos(
@@ -156,6 +160,7 @@ def segment_videos(
     most_ms: int = MAX_SEGMENT_MS,
     target_ms: int = CHUNK_TARGET_MS,
     chunk_ms: int = CHUNK_MS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Segments (video_id, start_ms, end_ms) that tile each video that has keyframes.
 
@@ -167,7 +172,7 @@ def segment_videos(
     usable = cuts.join(videos.select("video_id", "duration_ms"), "video_id").filter(
         F.col("cut_ms").between(least_ms, F.col("duration_ms") - least_ms)
     )
-    pieces, last = _accepted(usable, least_ms, chunk_ms)
+    pieces, last = _accepted(usable, least_ms, chunk_ms, fan)
     length = F.col("end_ms") - F.col("start_ms")
     parts = F.when(length > most_ms, idiv(length, target_ms) + 1).otherwise(1).cast("bigint")
     pieces = pieces.withColumn("parts", parts)

@@ -131,6 +131,32 @@ def test_segments_of_random_videos(spark):
         assert sum(s >= kept[-1] for s, _ in own) == 1
 
 
+@pytest.mark.parametrize("fan,step", [(2, 700), (3, 1300), (2, 4100)])
+def test_cuts_followed_over_many_levels(spark, fan, step):
+    rng = random.Random(step)
+    cuts = {v: sorted(rng.sample(range(0, 900_000, 10), 900_000 // step)) for v in range(3)}
+    cuts[3] = [t for t in range(0, 900_000, 3990) if not 200_000 < t < 600_000]
+    df = table(spark, [(v, t) for v, ts in cuts.items() for t in ts], "video_id bigint, cut_ms bigint")
+    pieces, last = segment._accepted(df, 4000, 5000, fan)
+    want, ends = [], {}
+    for v, ts in cuts.items():
+        ends[v] = 0
+        for t in ts:
+            if t - ends[v] >= 4000:
+                want.append((v, ends[v], t))
+                ends[v] = t
+    assert rows(pieces.select("video_id", "start_ms", "end_ms"), "video_id", "start_ms") == want
+    assert dict(rows(last, "video_id")) == ends
+
+
+def test_a_video_of_sixteen_thousand_chunks(spark):
+    """One video's cuts in 16,000 chunks: three levels of at most 64 chunks a row, no list of all of them."""
+    df = spark.range(16_000 * 20).select(F.lit(1).cast("bigint").alias("video_id"), (F.col("id") * 500 + F.pmod(F.xxhash64("id"), F.lit(490))).alias("cut_ms"))
+    pieces, last = segment._accepted(df, 4000, 10_000, 64)
+    got = pieces.agg(F.count("*").alias("n"), F.min(F.col("end_ms") - F.col("start_ms")).alias("least"), F.max(F.col("end_ms") - F.col("start_ms")).alias("most"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("all")).first()
+    assert got["least"] >= 4000 and got["most"] < 4000 + 1000 and got["all"] == last.first()["last_cut_ms"] > 159_000_000
+
+
 def test_segments_golden(spark):
     k = table(spark, [(1, i, i * 1000, 8.0 if i == 10 else 1.0, "f") for i in range(30)], "video_id bigint, keyframe_id bigint, t_ms bigint, motion_score double, frame_path string")
     c = table(spark, [(1, 1, 5000, 20000, "a"), (1, 2, 25000, 28000, "b")], "video_id bigint, cue_id bigint, start_ms bigint, end_ms bigint, text string")
