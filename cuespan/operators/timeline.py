@@ -15,6 +15,8 @@ from cuespan.functions.keys import quoted_url
 from cuespan.functions.timecode import CLIP_MARGIN_MS, LINE_TOLERANCE_MS, idiv, midpoint10
 from cuespan.operators.intervals import CHUNK_MS, asof, overlapping, points_in_spans
 from cuespan.operators.scans import numbered, running
+from cuespan.operators.transitions import FAN, handed_down
+from cuespan.session import cut_lineage
 
 # Fixed values of the timeline rules.
 FALLBACK_TAIL_MS = 5000
@@ -26,6 +28,8 @@ GAP_TRANSITION = "flash-through-white"
 CHANGE_TRANSITIONS = ("whip-pan", "cross-fade")
 
 LINE_CHUNK = 4096
+#: Runs that are followed one by one.
+RUN_CHUNK = 256
 
 
 def _zero() -> Column:
@@ -199,15 +203,54 @@ def auto_transitions(segments: DataFrame) -> DataFrame:
     return rows.withColumn("transition", picked).select(*segments.columns)
 
 
-def merge_slots(slots: DataFrame, same: Sequence[str]) -> DataFrame:
+def _heads(runs: DataFrame, fan: int) -> DataFrame:
+    """song_id, _run and ``head``, the slot that begins the run's group.
+
+    A group's D is that of its head, so D and slot of the last head are all that a chunk of runs must know of what lies before it.
+    It can begin a group at a run that opens a stretch, or at one whose D is the highest or lowest so far: these are its steps,
+    each with the head that is left in the end. As D moves by less than twice the tolerance within a stretch, steps behind four
+    tolerances from the first D are never first, which bounds their number.
+    """
+    far = 4 * MERGE_DRIFT_MS
+    apart = "(r.opens OR {0}.d IS NULL OR abs(r._d - {0}.d) >= " + str(MERGE_DRIFT_MS) + ")"
+    chunks = runs.groupBy("song_id", idiv(F.col("_run"), RUN_CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_run", "_d", "head", "opens"))).alias("runs"))
+    follow = f"""aggregate(slice(runs, i + 1, size(runs)), struct(CAST(NULL AS bigint) AS d, 0L AS head),
+        (a, r) -> IF({apart.format('a')}, struct(r._d AS d, r.head AS head), a))"""
+    steps = f"""aggregate(
+        transform(runs, (r, i) -> struct(r._d AS d, r.opens AS opens, i AS i)),
+        struct(CAST(NULL AS bigint) AS low, CAST(NULL AS bigint) AS high, false AS done, CAST(array() AS array<struct<d: bigint, opens: boolean, i: int>>) AS found),
+        (a, r) -> struct(least(a.low, r.d) AS low, greatest(a.high, r.d) AS high, a.done OR r.opens OR abs(r.d - runs[0]._d) >= {far} AS done,
+            IF(NOT a.done AND (a.low IS NULL OR r.opens OR r.d < a.low OR r.d > a.high), concat(a.found, array(r)), a.found) AS found),
+        a -> a.found)"""
+    chunks = chunks.withColumn("found", F.expr(steps)).selectExpr("song_id", "chunk", "runs", f"transform(found, x -> struct(x.d AS d, x.opens AS opens, transform(array(x.i), i -> {follow})[0] AS leave)) AS steps")
+    chunks = cut_lineage(chunks)
+
+    def apply(steps: str, state: str) -> str:
+        return f"coalesce(get(filter({steps}, w -> w.opens OR {state}.d IS NULL OR abs(w.d - {state}.d) >= {MERGE_DRIFT_MS}), 0).leave, {state})"
+
+    def compose(f: str, g: str, first: str) -> str:
+        values = f"transform({f}, s -> s.d)"
+        passed = f"IF(element_at({f}, -1).opens, slice({g}, 1, 0), filter({g}, t -> t.opens OR t.d < array_min({values}) OR t.d > array_max({values})))"
+        both = f"concat(transform({f}, s -> struct(s.d AS d, s.opens AS opens, {apply(g, 's.leave')} AS leave)), {passed})"
+        return f"transform(array({both}), x -> filter(x, (s, i) -> NOT exists(slice(x, 1, i), e -> e.opens OR abs(e.d - {first}[0].d) >= {far})))[0]"
+
+    starts, _ = handed_down(chunks, ["song_id"], "state", apply, compose, "struct(CAST(NULL AS bigint) AS d, 0L AS head)", fan=fan)
+    replay = f"""aggregate(runs, struct(state AS last, CAST(array() AS array<struct<_run: bigint, head: bigint>>) AS heads),
+        (a, r) -> transform(array(IF({apart.format('a.last')}, struct(r._d AS d, r.head AS head), a.last)),
+            h -> struct(h AS last, concat(a.heads, array(struct(r._run AS _run, h.head AS head))) AS heads))[0],
+        a -> a.heads)"""
+    return chunks.join(starts, ["song_id", "chunk"]).select("song_id", F.inline(F.expr(replay)))
+
+
+def merge_slots(slots: DataFrame, same: Sequence[str], fan: int = FAN) -> DataFrame:
     """Join neighbouring slots that show one unbroken stretch of one source.
 
     ``same`` are the columns that must agree. What a slot would have to continue is the
     merged clip so far, so drift adds up: with D = clip start minus the clip time played
     before it, a slot joins while D stays within the tolerance of the D of the group's
     head. A step of twice the tolerance always breaks and equal D always joins. Breaks are
-    found by scans, equal runs are pre-aggregated, and only runs with small drift inside
-    one unbroken stretch (which the source length bounds) are folded in order.
+    found by scans, equal runs are pre-aggregated, and what runs with small drift join is
+    handed down a tree of chunks, so a stretch may be of any length.
     """
     order = ["slot_no"]
     chunk = idiv(F.col("slot_no"), LINE_CHUNK)
@@ -226,16 +269,9 @@ def merge_slots(slots: DataFrame, same: Sequence[str]) -> DataFrame:
     step = F.abs(F.col("_d") - F.col("_last_d"))
     island = (~F.col("_joins") | (step >= 2 * MERGE_DRIFT_MS)).cast("bigint")
     run = (~F.col("_joins") | (F.col("_d") != F.col("_last_d"))).cast("bigint")
-    rows = running(rows, ["song_id"], order, chunk, {"_island": ("sum", island), "_run": ("sum", run)})
-    runs = rows.groupBy("song_id", "_island", "_run", F.col("_d")).agg(F.min("slot_no").alias("head"))
-    fold = f"""aggregate(
-        array_sort(collect_list(struct(_run, _d, head))),
-        struct(CAST(NULL AS bigint) AS d, 0L AS head, CAST(array() AS array<struct<_run: bigint, head: bigint>>) AS runs),
-        (a, r) -> IF(a.d IS NULL OR abs(r._d - a.d) >= {MERGE_DRIFT_MS},
-            struct(r._d AS d, r.head AS head, concat(a.runs, array(struct(r._run AS _run, r.head AS head))) AS runs),
-            struct(a.d AS d, a.head AS head, concat(a.runs, array(struct(r._run AS _run, a.head AS head))) AS runs)),
-        a -> a.runs)"""
-    heads = runs.groupBy("song_id", "_island").agg(F.expr(fold).alias("_runs")).select("song_id", F.inline("_runs"))
+    rows = running(rows.withColumn("_opens", island), ["song_id"], order, chunk, {"_run": ("sum", run)})
+    runs = rows.groupBy("song_id", "_run", F.col("_d")).agg(F.min("slot_no").alias("head"), (F.max("_opens") > 0).alias("opens"))
+    heads = _heads(runs, fan)
     grouped = rows.join(heads, ["song_id", "_run"]).groupBy("song_id", "head").agg(
         F.max_by("end_ms", "slot_no").alias("_end"), F.sum("clip_duration_ms").alias("_length"), F.count("*").alias("merged")
     )

@@ -204,6 +204,45 @@ def test_merge_with_drift(spark, monkeypatch):
     assert longest > 3
 
 
+def plain_heads(runs):
+    heads, last = {}, None
+    for song_id, run, d, head, opens in sorted(runs):
+        if last is None or last[0] != song_id or opens or abs(d - last[1]) >= timeline.MERGE_DRIFT_MS:
+            last = (song_id, d, head)
+        heads[song_id, run] = last[2]
+    return heads
+
+
+RUNS = "song_id bigint, _run bigint, _d bigint, head bigint, opens boolean"
+
+
+@pytest.mark.parametrize("fan,chunk", [(2, 3), (3, 8), (64, 1)])
+def test_heads_over_many_levels(spark, monkeypatch, fan, chunk):
+    monkeypatch.setattr(timeline, "RUN_CHUNK", chunk)
+    rng = random.Random(fan + chunk)
+    runs = []
+    for song_id, step in enumerate([3, 20, 99, 40, 1]):
+        d = 0
+        for n in range(150):
+            d += rng.choice([-step, step, rng.randint(-step, step), step])
+            runs.append((song_id, n + 1, d, 10 * n, n == 0 or rng.random() < (0.05 if song_id % 2 else 0)))
+    got = {(r["song_id"], r["_run"]): r["head"] for r in timeline._heads(table(spark, runs, RUNS), fan).collect()}
+    assert got == plain_heads(runs)
+
+
+def test_a_stretch_of_a_million_runs(spark):
+    """One unbroken stretch with drift up and down and, in its second half, ever upwards: the number of groups follows from the rule."""
+    count = 1_000_000
+    i = F.col("id")
+    d = F.when(i < count // 2, F.pmod(i, F.lit(40))).otherwise(i - count // 2)
+    runs = spark.range(count).select(F.lit(1).cast("bigint").alias("song_id"), (i + 1).alias("_run"), d.alias("_d"), i.alias("head"), (i == 0).alias("opens"))
+    heads = timeline._heads(runs, 64).groupBy("head").count()
+    got = heads.agg(F.count("*").alias("groups"), F.sum("count").alias("runs"), F.max(F.when(F.col("head") > 0, F.col("count"))).alias("most")).first()
+    # The first group holds the first half and the runs up to 49 after it; then each group spans 50.
+    assert (got["runs"], got["groups"], got["most"]) == (count, 1 + -(-(count // 2 - 50) // 50), 50)
+
+
+
 LINES = "song_id bigint, line_no bigint, start_ms bigint, end_ms bigint, text string"
 SLOTS = "song_id bigint, slot_no bigint, start_ms bigint, end_ms bigint, video_id bigint, clip_start_ms bigint, clip_duration_ms bigint, video_duration_ms bigint, transition string"
 
