@@ -6,7 +6,7 @@ video or song spreads over as many tasks as it has buckets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,3 +167,64 @@ def nearest(
         *keys, t.alias(left_time), F.when(back.isNotNull() & use_back, back).otherwise(ahead).alias(name)
     )
     return left.join(found, [*keys, left_time], "left")
+
+
+#: Whole buckets in a row are taken together by this number, on each of so many levels: 10 s, 160 s, 43 min, 11 h.
+BLOCK_FAN, BLOCK_LEVELS = 16, 4
+
+#: Spans, the columns of their start and end, columns that order them, columns to return.
+Kind = tuple[DataFrame, str, str, Sequence[str], Sequence[str]]
+
+
+def _down(value: str, width: int) -> str:
+    return f"((({value}) - pmod({value}, {width}L)) div {width}L)"
+
+
+def _whole_blocks(first: str, stop: str) -> str:
+    """SQL array of (level, block) that make up the buckets [first, stop): on each level but the uppermost fewer than two times ``BLOCK_FAN``."""
+    out = []
+    for level in range(BLOCK_LEVELS):
+        size = BLOCK_FAN**level
+        a, b = _down(f"{first} + {size - 1}", size), _down(stop, size)
+        above_a, above_b = _down(f"{first} + {size * BLOCK_FAN - 1}", size * BLOCK_FAN), _down(stop, size * BLOCK_FAN)
+        run = lambda x, y: f"IF({x} < {y}, sequence({x}, {y} - 1), slice(array(0L), 1, 0))"
+        blocks = run(a, b)
+        if level + 1 < BLOCK_LEVELS:
+            blocks = f"IF({above_a} > {above_b}, {blocks}, concat({run(a, f'{BLOCK_FAN} * {above_a}')}, {run(f'{BLOCK_FAN} * {above_b}', b)}))"
+        out.append(f"transform({blocks}, b -> struct({level} AS level, b AS block))")
+    return f"concat({', '.join(out)})"
+
+
+def look_ups(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str], at: str, bucket_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(asked, spans) of :func:`first_at`: what each point looks up and what spans answer, both by ``keys``, ``level`` and ``block``."""
+    edges, whole = None, None
+    for number, (rows, low, stop, order, fields) in enumerate(kinds.values()):
+        rows = rows.select(*keys, F.col(low).cast("bigint").alias("_low"), F.col(stop).cast("bigint").alias("_stop"), F.struct(*order).alias(f"_order{number}"), F.struct(*fields).alias(f"_span{number}"))
+        rows = rows.where("_low < _stop").withColumns({"_first": F.expr(_down(f"_low + {bucket_ms - 1}", bucket_ms)), "_last": F.expr(_down("_stop", bucket_ms))})
+        # A bucket that is covered in part stands as level -1; a span within one bucket has one such part.
+        part = f"filter(array_distinct(array({_down('_low', bucket_ms)}, {_down('_stop - 1', bucket_ms)})), b -> b < _first OR b >= _last)"
+        kept = [*keys, "_at.*", "_low", "_stop", f"_order{number}", f"_span{number}"]
+        own = rows.withColumn("_at", F.explode(F.expr(f"transform({part}, b -> struct(-1 AS level, b AS block))"))).select(*kept)
+        long = rows.where("_first < _last").withColumn("_at", F.explode(F.expr(_whole_blocks("_first", "_last")))).select(*kept)
+        edges = own if edges is None else edges.unionByName(own, allowMissingColumns=True)
+        whole = long if whole is None else whole.unionByName(long, allowMissingColumns=True)
+    every = range(len(kinds))
+    best = [F.min_by(F.struct(f"_order{i}", f"_span{i}"), f"_order{i}").alias(f"_best{i}") for i in every]
+    whole = whole.groupBy(*keys, "level", "block").agg(*best).select(*keys, "level", "block", *(f"_best{i}.*" for i in every))
+    spans = edges.unionByName(whole, allowMissingColumns=True)
+    looks = [f"struct(-1 AS level, {_down('_t', bucket_ms)} AS block)", *(f"struct({level} AS level, {_down('_t', bucket_ms * BLOCK_FAN**level)} AS block)" for level in range(BLOCK_LEVELS))]
+    asked = points.select(*keys, F.col(at).cast("bigint").alias("_t")).distinct()
+    return asked.withColumn("_at", F.explode(F.expr(f"array({', '.join(looks)})"))).select(*keys, "_t", "_at.*"), spans
+
+
+def first_at(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str], at: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``points`` with a struct per kind: ``fields`` of its first span by ``order`` with start <= ``at`` < end (null without one).
+
+    A span is cut into its whole buckets, taken together in blocks, and the one or two buckets that it covers in part. Blocks keep
+    the first span of each kind, before anything is joined; a point looks at its block on each level and at the spans that begin or
+    end in its bucket. So long and nested spans are neither copied to every bucket nor paired with every point.
+    """
+    asked, spans = look_ups(points, kinds, keys, at, bucket_ms)
+    hits = asked.join(spans, [*keys, "level", "block"]).where("_low IS NULL OR _low <= _t AND _t < _stop")
+    found = hits.groupBy(*keys, F.col("_t").alias(at)).agg(*(F.min_by(f"_span{i}", f"_order{i}").alias(name) for i, name in enumerate(kinds)))
+    return points.join(found, [*keys, at], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuespan.functions.keys import match_key
 from cuespan.functions.timecode import idiv
-from cuespan.operators.intervals import nearest, points_in_spans
+from cuespan.operators.intervals import first_at, nearest
 from cuespan.operators.scans import numbered
 
 # Fixed values of the matching rules.
@@ -47,16 +47,9 @@ def nearest_keyframes(segments: DataFrame, keyframes: DataFrame) -> DataFrame:
 
 def containing_segments(candidates: DataFrame, segments: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Struct ``segment`` of the first segment (earliest start, lowest id) around each candidate's time."""
-    t = F.col("t_ms")
-    spans = segments.select("video_id", "segment_id", "start_ms", "end_ms", *fields)
-    hits = points_in_spans(
-        candidates.select("video_id", "t_ms").distinct(), spans, ["video_id"], t,
-        F.col("start_ms"), F.col("end_ms"), (F.col("start_ms") <= t) & (F.col("end_ms") >= t),
-    )
-    first = hits.groupBy("video_id", "t_ms").agg(
-        F.min_by(F.struct("segment_id", "start_ms", "end_ms", *fields), F.struct("start_ms", "segment_id")).alias("segment")
-    )
-    return candidates.join(first, ["video_id", "t_ms"], "left")
+    spans = segments.withColumn("_after", F.col("end_ms") + 1)
+    kind = (spans, "start_ms", "_after", ["start_ms", "segment_id"], ["segment_id", "start_ms", "end_ms", *fields])
+    return first_at(candidates, {"segment": kind}, ["video_id"], "t_ms")
 
 
 def drop_opening_ids(ranks: DataFrame, segments: DataFrame, allowed: DataFrame, key: Sequence[str]) -> DataFrame:

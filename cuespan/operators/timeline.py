@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuespan.functions.keys import quoted_url
 from cuespan.functions.timecode import CLIP_MARGIN_MS, LINE_TOLERANCE_MS, idiv, midpoint10
-from cuespan.operators.intervals import CHUNK_MS, asof, overlapping, points_in_spans
+from cuespan.operators.intervals import CHUNK_MS, asof, first_at, overlapping, points_in_spans
 from cuespan.operators.scans import numbered, running
 from cuespan.operators.transitions import FAN, handed_down
 from cuespan.session import cut_lineage
@@ -338,25 +338,13 @@ def slots_payload(lines: DataFrame, children: DataFrame, slots: DataFrame) -> Da
     return own.unionByName(shown)
 
 
-def first_active(ticks: DataFrame, items: DataFrame, order: Sequence[str], fields: Sequence[str], name: str) -> DataFrame:
-    """Struct ``name`` of the first item (by ``order``) with start <= tick < end, else null."""
-    low, high = F.col("_low"), F.col("_high")
-    spans = items.select(
-        "song_id", F.col("start_ms").alias("_low"), F.col("end_ms").alias("_high"),
-        F.struct(*order).alias("_order"), F.struct(*fields).alias("_item"),
-    )
-    t = F.col("t_ms")
-    hits = points_in_spans(ticks.select("song_id", "t_ms").distinct(), spans, ["song_id"], t, low, high, (t >= low) & (t < high))
-    first = hits.groupBy("song_id", "t_ms").agg(F.min_by("_item", "_order").alias(name))
-    return ticks.join(first, ["song_id", "t_ms"], "left")
-
-
 def active_at(ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataFrame) -> DataFrame:
     """Line, slot and dialogue at each tick. The intro shows no lyric; a dialogue clip beats the slot's own."""
-    rows = first_active(ticks, lines, ["line_no"], ["line_no"], "line")
-    rows = first_active(rows, lines.filter(~F.col("is_intro")), ["line_no"], ["text"], "sung")
-    rows = first_active(rows, slots, ["slot_no"], ["slot_no", "keep_audio", "transcript"], "slot")
-    rows = first_active(rows, clips, ["start_ms", "clip_no"], ["clip_no", "transcript"], "clip")
+    times = ("start_ms", "end_ms")
+    rows = first_at(ticks, {
+        "line": (lines, *times, ["line_no"], ["line_no"]), "sung": (lines.filter(~F.col("is_intro")), *times, ["line_no"], ["text"]),
+        "slot": (slots, *times, ["slot_no"], ["slot_no", "keep_audio", "transcript"]), "clip": (clips, *times, ["start_ms", "clip_no"], ["clip_no", "transcript"]),
+    }, ["song_id"], "t_ms")
     linked = F.when(F.col("slot.keep_audio") & (F.col("slot.transcript") != ""), F.col("slot.transcript"))
     return rows.select(
         "song_id", "t_ms", F.col("line.line_no").alias("line_no"),
@@ -368,7 +356,7 @@ def active_at(ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataF
 
 def look_ahead(ticks: DataFrame, lines: DataFrame, effective: DataFrame) -> DataFrame:
     """The next line's clip at each tick, where it shows another video than the current line."""
-    rows = first_active(ticks, lines, ["line_no"], ["line_no"], "line")
+    rows = first_at(ticks, {"line": (lines, "start_ms", "end_ms", ["line_no"], ["line_no"])}, ["song_id"], "t_ms")
     rows = asof(rows, lines, ["song_id"], "t_ms", "start_ms", ["line_no"], tie=F.col("line_no"), name="later", forward=True, strict=True)
     rows = rows.withColumn("next_line", F.coalesce(F.col("line.line_no") + 1, F.col("later.line_no")))
     shown = effective.select("song_id", F.col("line_no").alias("_at"), F.struct("video_id", "clip_start_ms").alias("_clip"))

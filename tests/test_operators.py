@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuespan.functions import timecode
-from cuespan.operators import annotate, assign, match, ranges, ranking, scans, segment, song, timeline
+from cuespan.operators import annotate, assign, intervals, match, ranges, ranking, scans, segment, song, timeline
 from cuespan.operators import dialogue as dg
 from cuespan.operators.intervals import asof, nearest, overlapping, points_in_spans
 
@@ -204,6 +204,42 @@ def test_merge_with_drift(spark, monkeypatch):
     assert longest > 3
 
 
+def test_blocks_make_up_their_buckets(spark):
+    rng = random.Random(5)
+    made = [(a, a + rng.choice([1, 2, 15, 16, 17, 200, 4096, 5000, 70_000])) for a in (rng.randrange(-600, 70_000) for _ in range(200))]
+    got = table(spark, made, "a bigint, b bigint").selectExpr("a", "b", f"{intervals._whole_blocks('a', 'b')} AS blocks").collect()
+    for r in got:
+        covered = [x for level, block in r["blocks"] for x in range(block * 16**level, (block + 1) * 16**level)]
+        assert sorted(covered) == list(range(r["a"], r["b"])) and len(r["blocks"]) <= 2 * 15 * 3 + (r["b"] - r["a"]) // 4096
+
+
+def test_first_of_nested_spans(spark):
+    rng = random.Random(9)
+    spans = [(rng.randrange(2), i, a, a + rng.choice([0, 1, 40, 900, 9_000, 800_000, 40_000_000]), rng.randrange(5), f"x{i}") for i in range(300) for a in [rng.randrange(-50_000, 900_000)]]
+    ticks = [(k, rng.choice([rng.randrange(-60_000, 1_000_000), rng.choice(spans)[2], rng.choice(spans)[3]])) for k in (0, 1, 2) for _ in range(150)]
+    first = table(spark, spans, "k int, id int, a bigint, b bigint, rank int, level string")
+    kinds = {"one": (first, "a", "b", ["rank", "id"], ["id", "level"]), "odd": (first.where("id % 2 = 1"), "a", "b", ["id"], ["rank"])}
+    got = intervals.first_at(table(spark, ticks, "k int, t bigint"), kinds, ["k"], "t", bucket_ms=1000).collect()
+    assert len(got) == len(ticks)
+    for r in got:
+        inside = [x for x in spans if x[0] == r["k"] and x[2] <= r["t"] < x[3]]
+        best = min(inside, key=lambda x: (x[4], x[1]), default=None)
+        odd = min((x for x in inside if x[1] % 2), key=lambda x: x[1], default=None)
+        assert (r["one"] and tuple(r["one"])) == (best and (best[1], best[5])) and (r["odd"] and tuple(r["odd"])) == (odd and (odd[4],))
+
+
+def test_nested_hours_are_not_paired(spark):
+    """A thousand spans of hours around a thousand ticks: a million pairs, of which a row per tick and level is looked at."""
+    i = F.col("id")
+    spans = spark.range(1000).select(F.lit(1).alias("k"), i, (i * 1000).alias("a"), (20_000_000 - i * 1000).alias("b"))
+    ticks = spark.range(1000).select(F.lit(1).alias("k"), (5_000_000 + i * 10_007).alias("t"))
+    asked, answers = intervals.look_ups(ticks, {"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"], "t", intervals.BUCKET_MS)
+    levels = 1 + intervals.BLOCK_LEVELS
+    assert asked.count() == 1000 * levels and asked.join(answers, ["k", "level", "block"]).count() <= 1000 * levels
+    assert answers.count() < 1000 * 2 + 2100
+    assert {r["hit"]["id"] for r in intervals.first_at(ticks, {"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"], "t").collect()} == {0}
+
+
 def plain_heads(runs):
     heads, last = {}, None
     for song_id, run, d, head, opens in sorted(runs):
