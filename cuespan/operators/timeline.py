@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuespan.functions.keys import quoted_url
 from cuespan.functions.timecode import CLIP_MARGIN_MS, LINE_TOLERANCE_MS, idiv, midpoint10
-from cuespan.operators.intervals import CHUNK_MS, asof, first_at, overlapping, points_in_spans
+from cuespan.operators.intervals import CHUNK_MS, asof, first_at, points_in_spans
 from cuespan.operators.scans import numbered, running
 from cuespan.operators.transitions import FAN, handed_down
 from cuespan.session import cut_lineage
@@ -371,20 +371,33 @@ def look_ahead(ticks: DataFrame, lines: DataFrame, effective: DataFrame) -> Data
 def overlapping_candidates(candidates: DataFrame, lines: DataFrame, effective: DataFrame) -> DataFrame:
     """Flag candidates whose clip is already shown, in part, on another line of the song.
 
-    candidates: (song_id, line_no, rank, video_id, t_ms).
+    candidates: (song_id, line_no, rank, video_id, t_ms). No clip is paired with another: those that meet [c0, c1) are those that
+    begin before c1 less those that end by c0, from counts per time that are summed up along each video; the line's own is taken off.
+    A candidate without length meets only clips that have one. Lengths are not negative, and a line shows one clip.
     """
+    key = ["song_id", "video_id"]
     length = (F.col("end_ms") - F.col("start_ms")).alias("_length")
-    asked = candidates.join(lines.select("song_id", "line_no", length), ["song_id", "line_no"])
-    asked = asked.select(
-        "song_id", "video_id", "line_no", "rank", F.greatest(_zero(), F.col("t_ms")).alias("_c0"), "_length"
-    ).withColumn("_c1", F.col("_c0") + F.col("_length"))
-    shown = effective.select(
-        "song_id", "video_id", F.col("line_no").alias("_other"), F.col("clip_start_ms").alias("_s0"),
-        (F.col("clip_start_ms") + F.col("clip_duration_ms")).alias("_s1"),
-    )
-    meets = (F.col("_c0") < F.col("_s1")) & (F.col("_s0") < F.col("_c1")) & (F.col("line_no") != F.col("_other"))
-    hits = overlapping(asked, shown, ["song_id", "video_id"], (F.col("_c0"), F.col("_c1")), (F.col("_s0"), F.col("_s1")), meets)
-    taken = hits.select("song_id", "line_no", "rank").distinct().withColumn("overlaps", F.lit(True))
+    shown = effective.select(*key, "line_no", F.col("clip_start_ms").alias("_s0"), (F.col("clip_start_ms") + F.col("clip_duration_ms")).alias("_s1"))
+    own = shown.select("song_id", "line_no", F.col("video_id").alias("_own"), "_s0", "_s1")
+    asked = candidates.select("song_id", "line_no", "rank", "video_id", "t_ms").join(lines.select("song_id", "line_no", length), ["song_id", "line_no"])
+    asked = asked.join(own, ["song_id", "line_no"], "left").withColumn("_c0", F.greatest(_zero(), F.col("t_ms"))).withColumn("_c1", F.col("_c0") + F.col("_length"))
+    meets_own = (F.col("video_id") == F.col("_own")) & (F.col("_c0") < F.col("_s1")) & (F.col("_s0") < F.col("_c1"))
+    asked = asked.select(*key, "line_no", "rank", "_c0", "_c1", F.coalesce(meets_own.cast("bigint"), _zero()).alias("_mine"))
+    none, one, long = _zero(), F.lit(1).cast("bigint"), (F.col("_s0") < F.col("_s1")).cast("bigint")
+    marks = shown.where(F.col("_s0").isNotNull() & F.col("_s1").isNotNull()).select(*key, F.inline(F.array(
+        F.struct(F.col("_s0").alias("t"), one.alias("begin"), long.alias("begin_long"), none.alias("end"), none.alias("end_long")),
+        F.struct(F.col("_s1").alias("t"), none.alias("begin"), none.alias("begin_long"), one.alias("end"), long.alias("end_long")),
+    )))
+    marks = marks.unionByName(asked.select(*key, F.explode(F.array("_c0", "_c1")).alias("t")).where("t IS NOT NULL").distinct(), allowMissingColumns=True)
+    sums = ["begin", "begin_long", "end", "end_long"]
+    times = marks.groupBy(*key, "t").agg(*(F.coalesce(F.sum(c), none).alias(c) for c in sums))
+    counted = running(times, key, ["t"], idiv(F.col("t"), CHUNK_MS), {f"_{c}": ("sum", F.col(c)) for c in sums})
+    before = counted.select(*key, F.col("t").alias("_c1"), (F.col("_begin") - F.col("begin")).alias("_all"), (F.col("_begin_long") - F.col("begin_long")).alias("_all_long"))
+    over = counted.select(*key, F.col("t").alias("_c0"), "_end", "_end_long")
+    rows = asked.join(before, [*key, "_c1"]).join(over, [*key, "_c0"])
+    met = F.when(F.col("_c0") < F.col("_c1"), F.col("_all") - F.col("_end")).otherwise(F.col("_all_long") - F.col("_end_long"))
+    flags = rows.select("song_id", "line_no", "rank", (met - F.col("_mine") > 0).alias("overlaps"))
+    taken = flags.groupBy("song_id", "line_no", "rank").agg(F.max("overlaps").alias("overlaps"))
     return candidates.join(taken, ["song_id", "line_no", "rank"], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
 
 

@@ -240,6 +240,27 @@ def test_nested_hours_are_not_paired(spark):
     assert {r["hit"]["id"] for r in intervals.first_at(ticks, {"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"], "t").collect()} == {0}
 
 
+def test_overlaps_without_pairs(spark):
+    rng = random.Random(21)
+    lines = [(s, n, n * 1000, n * 1000 + rng.choice([0, 500, 1000, 3000]), "x") for s in range(4) for n in range(25)]
+    shown = [(s, n, rng.randrange(3), rng.randrange(0, 20_000, 250), rng.choice([0, 250, 1000, 5000])) for s, n, *_ in lines if rng.random() < 0.6]
+    offers = [(s, n, r, rng.randrange(3), rng.randrange(-500, 20_000, 250)) for s, n, *_ in lines for r in range(3)] + [(9, 1, 0, 1, 0)]
+    got = timeline.overlapping_candidates(
+        table(spark, offers, "song_id bigint, line_no bigint, rank int, video_id bigint, t_ms bigint"), table(spark, lines, LINES),
+        table(spark, shown, "song_id bigint, line_no bigint, video_id bigint, clip_start_ms bigint, clip_duration_ms bigint"))
+    length = {(s, n): b - a for s, n, a, b, _ in lines}
+    want = []
+    for s, n, r, v, t in offers:
+        c0 = max(0, t)
+        c1 = c0 + length.get((s, n), -10**9)
+        want.append((s, n, r, any(x[0] == s and x[1] != n and x[2] == v and c0 < x[3] + x[4] and x[3] < c1 for x in shown)))
+    assert rows(got.select("song_id", "line_no", "rank", "overlaps"), "song_id", "line_no", "rank") == sorted(want)
+    assert {w[3] for w in want} == {True, False}
+    # The plan pairs no clips: every join is on a whole key, none has a further condition.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert all("<" not in line for line in plan.splitlines() if "Join" in line)
+
+
 def plain_heads(runs):
     heads, last = {}, None
     for song_id, run, d, head, opens in sorted(runs):
