@@ -197,21 +197,19 @@ def _whole_blocks(first: str, stop: str) -> str:
 
 def look_ups(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str], at: str, bucket_ms: int) -> tuple[DataFrame, DataFrame]:
     """(asked, spans) of :func:`first_at`: what each point looks up and what spans answer, both by ``keys``, ``level`` and ``block``."""
-    edges, whole = None, None
-    for number, (rows, low, stop, order, fields) in enumerate(kinds.values()):
-        rows = rows.select(*keys, F.col(low).cast("bigint").alias("_low"), F.col(stop).cast("bigint").alias("_stop"), F.struct(*order).alias(f"_order{number}"), F.struct(*fields).alias(f"_span{number}"))
-        rows = rows.where("_low < _stop").withColumns({"_first": F.expr(_down(f"_low + {bucket_ms - 1}", bucket_ms)), "_last": F.expr(_down("_stop", bucket_ms))})
-        # A bucket that is covered in part stands as level -1; a span within one bucket has one such part.
-        part = f"filter(array_distinct(array({_down('_low', bucket_ms)}, {_down('_stop - 1', bucket_ms)})), b -> b < _first OR b >= _last)"
-        kept = [*keys, "_at.*", "_low", "_stop", f"_order{number}", f"_span{number}"]
-        own = rows.withColumn("_at", F.explode(F.expr(f"transform({part}, b -> struct(-1 AS level, b AS block))"))).select(*kept)
-        long = rows.where("_first < _last").withColumn("_at", F.explode(F.expr(_whole_blocks("_first", "_last")))).select(*kept)
-        edges = own if edges is None else edges.unionByName(own, allowMissingColumns=True)
-        whole = long if whole is None else whole.unionByName(long, allowMissingColumns=True)
+    rows = None
+    for number, (spans, low, stop, order, fields) in enumerate(kinds.values()):
+        own = spans.select(*keys, F.col(low).cast("bigint").alias("_low"), F.col(stop).cast("bigint").alias("_stop"), F.struct(*order).alias(f"_order{number}"), F.struct(*fields).alias(f"_span{number}"))
+        rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
+    first, last = _down(f"_low + {bucket_ms - 1}", bucket_ms), _down("_stop", bucket_ms)
+    # A bucket that is covered in part stands as level -1, with the span's times; a span within one bucket has one such part.
+    part = f"filter(array_distinct(array({_down('_low', bucket_ms)}, {_down('_stop - 1', bucket_ms)})), b -> b < {first} OR b >= {last})"
+    cells = f"concat(transform({part}, b -> struct(-1 AS level, b AS block)), IF({first} < {last}, {_whole_blocks(first, last)}, array()))"
+    rows = rows.where("_low < _stop").withColumn("_at", F.explode(F.expr(cells)))
     every = range(len(kinds))
     best = [F.min_by(F.struct(f"_order{i}", f"_span{i}"), f"_order{i}").alias(f"_best{i}") for i in every]
-    whole = whole.groupBy(*keys, "level", "block").agg(*best).select(*keys, "level", "block", *(f"_best{i}.*" for i in every))
-    spans = edges.unionByName(whole, allowMissingColumns=True)
+    times = [F.when(F.col("_at.level") < 0, F.col(c)).alias(c) for c in ("_low", "_stop")]
+    spans = rows.groupBy(*keys, "_at.level", "_at.block", *times).agg(*best).select(*keys, "level", "block", "_low", "_stop", *(f"_best{i}.*" for i in every))
     looks = [f"struct(-1 AS level, {_down('_t', bucket_ms)} AS block)", *(f"struct({level} AS level, {_down('_t', bucket_ms * BLOCK_FAN**level)} AS block)" for level in range(BLOCK_LEVELS))]
     asked = points.select(*keys, F.col(at).cast("bigint").alias("_t")).distinct()
     return asked.withColumn("_at", F.explode(F.expr(f"array({', '.join(looks)})"))).select(*keys, "_t", "_at.*"), spans
@@ -220,8 +218,8 @@ def look_ups(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str],
 def first_at(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str], at: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``points`` with a struct per kind: ``fields`` of its first span by ``order`` with start <= ``at`` < end (null without one).
 
-    A span is cut into its whole buckets, taken together in blocks, and the one or two buckets that it covers in part. Blocks keep
-    the first span of each kind, before anything is joined; a point looks at its block on each level and at the spans that begin or
+    A span is cut into its whole buckets, taken together in blocks, and the one or two buckets that it covers in part. Blocks (and
+    parts of equal times) keep the first span of each kind, before anything is joined; a point looks at its block on each level and at the spans that begin or
     end in its bucket. So long and nested spans are neither copied to every bucket nor paired with every point.
     """
     asked, spans = look_ups(points, kinds, keys, at, bucket_ms)

@@ -16,7 +16,7 @@ from cuespan.functions.timecode import CLIP_MARGIN_MS, LINE_TOLERANCE_MS, idiv,
 from cuespan.operators.intervals import CHUNK_MS, asof, first_at, points_in_spans
 from cuespan.operators.scans import numbered, running
 from cuespan.operators.transitions import FAN, handed_down
-from cuespan.session import cut_lineage
+from cuespan.session import cut_lineage, work_table
 
 # Fixed values of the timeline rules.
 FALLBACK_TAIL_MS = 5000
@@ -269,7 +269,9 @@ def merge_slots(slots: DataFrame, same: Sequence[str], fan: int = FAN) -> DataFr
     step = F.abs(F.col("_d") - F.col("_last_d"))
     island = (~F.col("_joins") | (step >= 2 * MERGE_DRIFT_MS)).cast("bigint")
     run = (~F.col("_joins") | (F.col("_d") != F.col("_last_d"))).cast("bigint")
-    rows = running(rows.withColumn("_opens", island), ["song_id"], order, chunk, {"_run": ("sum", run)})
+    # Read several times below, behind two scans of the slots.
+    rows = work_table(rows.withColumn("_opens", island).withColumn("_breaks", run))
+    rows = running(rows, ["song_id"], order, chunk, {"_run": ("sum", F.col("_breaks"))})
     runs = rows.groupBy("song_id", "_run", F.col("_d")).agg(F.min("slot_no").alias("head"), (F.max("_opens") > 0).alias("opens"))
     heads = _heads(runs, fan)
     grouped = rows.join(heads, ["song_id", "_run"]).groupBy("song_id", "head").agg(
@@ -377,12 +379,13 @@ def overlapping_candidates(candidates: DataFrame, lines: DataFrame, effective: D
     """
     key = ["song_id", "video_id"]
     length = (F.col("end_ms") - F.col("start_ms")).alias("_length")
-    shown = effective.select(*key, "line_no", F.col("clip_start_ms").alias("_s0"), (F.col("clip_start_ms") + F.col("clip_duration_ms")).alias("_s1"))
+    # Both sides are read more than once, and stand at the end of longer plans.
+    shown = work_table(effective.select(*key, "line_no", F.col("clip_start_ms").alias("_s0"), (F.col("clip_start_ms") + F.col("clip_duration_ms")).alias("_s1")))
     own = shown.select("song_id", "line_no", F.col("video_id").alias("_own"), "_s0", "_s1")
     asked = candidates.select("song_id", "line_no", "rank", "video_id", "t_ms").join(lines.select("song_id", "line_no", length), ["song_id", "line_no"])
     asked = asked.join(own, ["song_id", "line_no"], "left").withColumn("_c0", F.greatest(_zero(), F.col("t_ms"))).withColumn("_c1", F.col("_c0") + F.col("_length"))
     meets_own = (F.col("video_id") == F.col("_own")) & (F.col("_c0") < F.col("_s1")) & (F.col("_s0") < F.col("_c1"))
-    asked = asked.select(*key, "line_no", "rank", "_c0", "_c1", F.coalesce(meets_own.cast("bigint"), _zero()).alias("_mine"))
+    asked = work_table(asked.select(*key, "line_no", "rank", "_c0", "_c1", F.coalesce(meets_own.cast("bigint"), _zero()).alias("_mine")))
     none, one, long = _zero(), F.lit(1).cast("bigint"), (F.col("_s0") < F.col("_s1")).cast("bigint")
     marks = shown.where(F.col("_s0").isNotNull() & F.col("_s1").isNotNull()).select(*key, F.inline(F.array(
         F.struct(F.col("_s0").alias("t"), one.alias("begin"), long.alias("begin_long"), none.alias("end"), none.alias("end_long")),
@@ -392,12 +395,14 @@ def overlapping_candidates(candidates: DataFrame, lines: DataFrame, effective: D
     sums = ["begin", "begin_long", "end", "end_long"]
     times = marks.groupBy(*key, "t").agg(*(F.coalesce(F.sum(c), none).alias(c) for c in sums))
     counted = running(times, key, ["t"], idiv(F.col("t"), CHUNK_MS), {f"_{c}": ("sum", F.col(c)) for c in sums})
-    before = counted.select(*key, F.col("t").alias("_c1"), (F.col("_begin") - F.col("begin")).alias("_all"), (F.col("_begin_long") - F.col("begin_long")).alias("_all_long"))
-    over = counted.select(*key, F.col("t").alias("_c0"), "_end", "_end_long")
-    rows = asked.join(before, [*key, "_c1"]).join(over, [*key, "_c0"])
-    met = F.when(F.col("_c0") < F.col("_c1"), F.col("_all") - F.col("_end")).otherwise(F.col("_all_long") - F.col("_end_long"))
-    flags = rows.select("song_id", "line_no", "rank", (met - F.col("_mine") > 0).alias("overlaps"))
-    taken = flags.groupBy("song_id", "line_no", "rank").agg(F.max("overlaps").alias("overlaps"))
+    empty = F.col("_c0") == F.col("_c1")
+    before = F.when(empty, F.col("_begin_long") - F.col("begin_long")).otherwise(F.col("_begin") - F.col("begin"))
+    over = F.when(empty, F.col("_end_long")).otherwise(F.col("_end"))
+    looks = asked.withColumn("_ask", F.explode(F.array(F.struct(F.col("_c1").alias("t"), F.lit(True).alias("is_end")), F.struct(F.col("_c0").alias("t"), F.lit(False).alias("is_end")))))
+    looks = looks.select("*", "_ask.*").join(counted, [*key, "t"])
+    met = F.sum(F.when(F.col("is_end"), before).otherwise(-over - F.col("_mine")))
+    taken = looks.groupBy("song_id", "line_no", "rank", "video_id", "_c0").agg((met > 0).alias("overlaps"))
+    taken = taken.groupBy("song_id", "line_no", "rank").agg(F.max("overlaps").alias("overlaps"))
     return candidates.join(taken, ["song_id", "line_no", "rank"], "left").withColumn("overlaps", F.coalesce("overlaps", F.lit(False)))
 
 
