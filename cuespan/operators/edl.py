@@ -63,3 +63,19 @@ def edl_rows(slots: DataFrame, clips: DataFrame) -> DataFrame:
         "start_f", "end_f", "in_f", "out_f", "source_f",
         F.when(F.col("_spoken"), CHANNELS_WITH_DIALOGUE).otherwise(CHANNELS).alias("channels"),
     )
+
+
+def music_rows(slots: DataFrame, clips: DataFrame, music: DataFrame) -> DataFrame:
+    """The music track as rows of :func:`edl_rows`: left and right from the start of the song to the end of its last slot.
+
+    music: (song_id, audio_path). The file is defined by the left row and has number 0; a song without slots has music of no length.
+    """
+    last = slots.groupBy("song_id").agg(F.max_by("end_ms", "slot_no").alias("_end"))
+    spoken = clips.select("song_id").distinct().withColumn("_spoken", F.lit(True))
+    rows = music.join(last, "song_id", "left").join(spoken, "song_id", "left")
+    whole, none = frames_of(F.coalesce("_end", F.lit(0).cast("bigint"))), F.lit(0).cast("bigint")
+    return rows.select("song_id", "audio_path", whole.alias("_whole"), "_spoken", F.explode(F.array(F.lit("music-l"), F.lit("music-r"))).alias("track")).select(
+        "song_id", "track", none.alias("item_no"), F.col("audio_path").alias("video_path"), none.alias("file_no"), (F.col("track") == "music-l").alias("defines_file"),
+        none.alias("start_f"), F.col("_whole").alias("end_f"), none.alias("in_f"), F.col("_whole").alias("out_f"), F.col("_whole").alias("source_f"),
+        F.when(F.col("_spoken"), CHANNELS_WITH_DIALOGUE).otherwise(CHANNELS).alias("channels"),
+    )

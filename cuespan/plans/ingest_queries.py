@@ -282,6 +282,26 @@ def resolve_subs(spark, d):
     return library.resolve_subtitles(X.vid(spark, d), X.files(spark, d))
 
 
+@query("subtitle_ingest", sql(f"""
+    SELECT video_id, start_ms, end_ms, text
+    FROM (SELECT video_id, coalesce(s.path, e.path) AS path FROM vid LEFT JOIN same_name s USING (video_id) LEFT JOIN episode_hit e USING (video_id))
+    JOIN (SELECT DISTINCT path, doc_id FROM files) USING (path)
+    JOIN (SELECT 'srt' AS kind, * FROM ({deduped('srt_cue')}) UNION ALL SELECT 'ass', * FROM ({deduped('ass_cue')})
+          UNION ALL SELECT 'lrc', * FROM ({deduped('lrc_cue')})) c USING (doc_id)
+    WHERE ends_with(path, '.' || kind)"""))
+def subtitle_ingest(spark, d):
+    """Each file holds its document as its suffix asks; every third one is UTF-16."""
+    docs = {"srt": D.srt_docs, "ass": D.ass_docs, "lrc": D.lrc_docs}
+
+    def contents(suffix: str):
+        raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16")).otherwise(F.encode("text", "UTF-8"))
+        paths = X.files(spark, d).where(F.col("path").endswith(f".{suffix}")).select("doc_id", "path").distinct()
+        return paths.join(docs[suffix](spark, d), "doc_id").select("path", raw.alias("content"))
+
+    found = library.resolve_subtitles(X.vid(spark, d), X.files(spark, d))
+    return subtitles.ingest_resolved(found, contents).drop("pos")
+
+
 def _library(spark, d):
     """The files, with renders and backup renders of part of the videos."""
     v = X.vid(spark, d).select("video_id", F.regexp_extract("original_path", r"([^/]*)\.mkv$", 1).alias("stem"))

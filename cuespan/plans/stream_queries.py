@@ -121,3 +121,26 @@ def stream_assign(spark, d):
         return _finished(q, spark, f"{work}/out")
     finally:
         spark.conf.set(store, before)
+
+
+LIBRARY_STEPS = {
+    "listed": r"SELECT path, min(doc_id) AS doc_id FROM files WHERE regexp_matches(path, '\.(mkv|MP4)$') GROUP BY path",
+}
+
+
+@query("stream_library", with_tables("""
+    SELECT 0 AS batch, path, 'new' AS state, 'full' AS todo FROM listed WHERE ends_with(path, '.mkv')
+    UNION ALL
+    SELECT 1, path, CASE WHEN ends_with(path, '.MP4') THEN 'new' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'known' END,
+           CASE WHEN ends_with(path, '.MP4') OR doc_id % 3 = 0 THEN 'full' ELSE coalesce((['skip', 'backfill', 'annotate'])[doc_id % 4 + 1], 'full') END
+    FROM listed""", extra=LIBRARY_STEPS))
+def stream_library(spark, d):
+    """The .mkv files are listed first; in the next listing a third of them are replaced at equal size, and .MP4 files have come."""
+    work = _work(spark)
+    files = X.files(spark, d).groupBy("path").agg(F.min("doc_id").alias("doc_id"), F.min("size_bytes").alias("size_bytes"))
+    at = lambda day: F.lit(f"2024-01-0{day}").cast("timestamp")
+    jobs.add_listing(files.where(F.col("path").endswith(".mkv")).withColumn("modified_at", at(1)), f"{work}/listings")
+    jobs.add_listing(files.withColumn("modified_at", F.when(F.col("path").endswith(".mkv") & (F.col("doc_id") % 3 == 0), at(2)).otherwise(at(1))), f"{work}/listings")
+    states = F.get(F.array(F.lit("skip"), F.lit("backfill"), F.lit("annotate")), (F.col("doc_id") % 4).cast("int"))
+    q = jobs.index_library(spark, f"{work}/listings", f"{work}/out", lambda: files.select("path", states.alias("state")))
+    return _finished(q, spark, f"{work}/out/found").select(F.col("batch").cast("int").alias("batch"), "path", "state", "todo")

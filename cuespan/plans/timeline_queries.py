@@ -436,6 +436,18 @@ def edl_rows(spark, d):
     return E.edl_rows(X.slot(spark, d), X.clip(spark, d))
 
 
+@query("edl_music", sql("""
+    SELECT song_id, track, 0::BIGINT AS item_no, '/lib/music/' || song_id || '.mp3' AS video_path, 0::BIGINT AS file_no, track = 'music-l' AS defines_file,
+           0::BIGINT AS start_f, n AS end_f, 0::BIGINT AS in_f, n AS out_f, n AS source_f, CASE WHEN EXISTS (SELECT 1 FROM clip c WHERE c.song_id = m.song_id) THEN 6 ELSE 4 END AS channels
+    FROM (SELECT l.song_id, coalesce((arg_max(s.end_ms, s.slot_no) * 24 + 500) // 1000, 0)::BIGINT AS n
+          FROM (SELECT DISTINCT song_id FROM lyr) l LEFT JOIN slot s ON s.song_id = l.song_id GROUP BY l.song_id) m
+    CROSS JOIN (SELECT unnest(['music-l', 'music-r']) AS track)"""))
+def edl_music(spark, d):
+    songs = X.lyr(spark, d).select("song_id").distinct()
+    music = songs.select("song_id", F.concat(F.lit("/lib/music/"), F.col("song_id").cast("string"), F.lit(".mp3")).alias("audio_path"))
+    return E.music_rows(X.slot(spark, d), X.clip(spark, d), music)
+
+
 @query("keep_audio", sql("""
     SELECT segment_id, coalesce(transcript, '') <> '' AND CASE WHEN section IN ('Intro', 'Final Chorus') THEN scene_type = 'emotional' OR score >= 8
            ELSE scene_type = 'emotional' AND score >= 9 END AS keep

@@ -7,11 +7,15 @@ start_ms, end_ms, text).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespan.functions.text import strip
 from cuespan.functions.timecode import idiv
+from cuespan.session import work_table
+from cuespan.sources.decode import decode_corpus, read_raw
 
 # How long the last timed line lasts, and how close two equal cues may start.
 LAST_LINE_MS = 4000
@@ -110,3 +114,34 @@ def ingest_lrc_cues(docs: DataFrame) -> DataFrame:
     return drop_repeats(flat.filter(F.col("text") != ""))
 
 
+
+
+def subtitle_files(spark, folder: str) -> Callable[[str], DataFrame]:
+    """(path, content) of the files of one suffix in ``folder``; files of other suffixes are not read."""
+
+    def of(suffix: str) -> DataFrame:
+        glob = "*." + "".join(f"[{c}{c.upper()}]" for c in suffix)
+        path = F.regexp_replace("doc_id", "^file:/+", "/")
+        return read_raw(spark, folder, glob).select(path.alias("path"), "content")
+
+    return of
+
+
+def ingest_resolved(resolved: DataFrame, contents: Callable[[str], DataFrame]) -> DataFrame:
+    """Cues of every video from the file that was resolved for it: (video_id, pos, start_ms, end_ms, text).
+
+    ``resolved``: (video_id, subtitle_path); ``contents(suffix)``: (path, content) of ``ass``, ``srt`` or ``lrc`` files. A file is
+    decoded and parsed once, however many videos use it, by the parser of its suffix; one whose suffix is ``ASS`` in capitals has none.
+    """
+    # One short row per video, asked for once per suffix and once at the end.
+    used = work_table(resolved.where(F.col("subtitle_path").isNotNull()).select("video_id", F.col("subtitle_path").alias("doc_id")))
+    wanted = used.select(F.col("doc_id").alias("path")).distinct()
+
+    def documents(suffix: str, here: Column) -> DataFrame:
+        raw = contents(suffix).where(here).join(wanted.where(here), "path")
+        return decode_corpus(raw.select(F.col("path").alias("doc_id"), "content"))
+
+    path, low = F.col("path"), F.lower("path")
+    cues = ingest_ass(documents("ass", path.endswith(".ass")))
+    cues = cues.unionByName(ingest_srt(documents("srt", low.endswith(".srt")))).unionByName(ingest_lrc_cues(documents("lrc", low.endswith(".lrc"))))
+    return used.join(cues, "doc_id").select("video_id", "pos", "start_ms", "end_ms", "text")

@@ -76,11 +76,18 @@ def newest_of(updates: DataFrame, key: str) -> DataFrame:
 
 
 def library_changes(files: DataFrame, registry: DataFrame) -> DataFrame:
-    """State of each found video file against the registry of (path, size_bytes): new, changed or known."""
-    known = registry.select("path", F.col("size_bytes").alias("_size"))
+    """State of each found video file against the registry: new, changed or known.
+
+    registry: (path, size_bytes) and, where it is kept, ``modified_at``; then a file replaced by one of equal size counts as changed.
+    """
+    timed = "modified_at" in registry.columns
+    known = registry.select("path", F.col("size_bytes").alias("_size"), *([F.col("modified_at").alias("_modified")] if timed else []))
     rows = discover_library(files).join(known, "path", "left")
-    state = F.when(F.col("_size").isNull(), "new").when(F.col("_size") != F.col("size_bytes"), "changed").otherwise("known")
-    return rows.withColumn("state", state).drop("_size")
+    other = F.col("_size") != F.col("size_bytes")
+    if timed:
+        other = other | ~F.col("_modified").eqNullSafe(F.col("modified_at"))
+    state = F.when(F.col("_size").isNull(), "new").when(other, "changed").otherwise("known")
+    return rows.withColumn("state", state).drop("_size", "_modified")
 
 
 def index_stream(
@@ -104,6 +111,58 @@ def index_stream(
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+LISTING = "path string, size_bytes bigint, modified_at timestamp"
+
+
+def add_listing(files: DataFrame, listings: str) -> None:
+    """Append one listing of the library: what ``index_library`` reads. A file source alone would not see that a known path has a new file."""
+    files.select("path", F.col("size_bytes").cast("bigint").alias("size_bytes"), F.col("modified_at").cast("timestamp").alias("modified_at")).coalesce(1).write.mode("append").parquet(listings)
+
+
+def registry_before(found: str, batch_id: int, spark) -> DataFrame:  # noqa: ANN001
+    """(path, size_bytes, modified_at) as the batches before ``batch_id`` have left them."""
+    folders = [f"{found}/batch={i}" for i in range(batch_id)]
+    if not folders:
+        return spark.createDataFrame([], LISTING)
+    seen = spark.read.option("basePath", found).parquet(*folders).where("state <> 'known'")
+    return newest_of(seen.select("path", "size_bytes", "modified_at", "batch"), "path")
+
+
+def index_library(
+    spark, listings: str, out: str, indexed: Callable[[], DataFrame], *, work: Callable[[DataFrame, int], None] | None = None,  # noqa: ANN001
+) -> StreamingQuery:
+    """Follow the listings of a library: which files are new, replaced or known, and what indexing has to do for each.
+
+    Every batch writes ``out/found/batch=n``: path, size_bytes, modified_at, state and ``todo`` (full for new and replaced files, else
+    what ``indexed()``, (path, state) of :func:`index_state`, says), and, if a file is new or replaced, ``out/cleared/batch=n``: from then
+    on matches that were cached before are void (``valid_matches``). A batch sees what earlier batches have written and replaces
+    its own output, so that one run again after a failure changes nothing. ``work`` gets what is to be done, with the batch id.
+    """
+    found = f"{out}/found"
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        newest = batch.groupBy("path").agg(F.max_by(F.struct("size_bytes", "modified_at"), "modified_at").alias("_f")).select("path", "_f.*")
+        rows = library_changes(newest, registry_before(found, batch_id, session))
+        todo = F.when(F.col("state") != "known", "full").otherwise(F.coalesce("_todo", F.lit("full")))
+        rows = rows.join(indexed().select("path", F.col("state").alias("_todo")), "path", "left").withColumn("todo", todo).drop("_todo")
+        rows.write.mode("overwrite").parquet(f"{found}/batch={batch_id}")
+        done = session.read.parquet(f"{found}/batch={batch_id}")
+        fresh = done.where("state <> 'known'").agg(F.count("*").alias("files")).where("files > 0")
+        fresh.write.mode("overwrite").parquet(f"{out}/cleared/batch={batch_id}")
+        if work is not None:
+            work(done.where("todo <> 'skip'"), batch_id)
+
+    source = spark.readStream.schema(LISTING).option("maxFilesPerTrigger", 1).parquet(listings)
+    return source.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+
+
+def valid_matches(cache: DataFrame, cleared: DataFrame) -> DataFrame:
+    """Cached matches (with the ``batch`` they were made after) that no change of the library has made void since."""
+    last = cleared.where("files > 0").agg(F.max("batch")).first()[0]
+    return cache if last is None else cache.where(F.col("batch") >= last)
+
+
 def active_stream(
     ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataFrame, out: str, checkpoint: str
 ) -> StreamingQuery:

@@ -75,6 +75,33 @@ def test_incremental_index(spark, tmp_path):
     assert rows(read(), "path") == [("/a.mp4", 1), ("/b.mp4", 2), ("/c.mkv", 3)]
 
 
+def test_library_is_followed_by_its_listings(spark, tmp_path):
+    """A file replaced at equal size is found, and a batch run twice leaves everything as it is."""
+    at = lambda day: f"2024-01-0{day} 00:00:00"
+    listing = lambda *rows: spark.createDataFrame(rows, "path string, size_bytes bigint, modified_at string")
+    out, listings, calls = str(tmp_path / "out"), str(tmp_path / "listings"), []
+    indexed = lambda: spark.createDataFrame([("/a.mp4", "skip"), ("/b.mkv", "annotate")], "path string, state string")
+    run = lambda: jobs.index_library(spark, listings, out, indexed, work=lambda todo, n: calls.append((n, sorted(r["path"] for r in todo.collect())))).awaitTermination()
+    jobs.add_listing(listing(("/a.mp4", 5, at(1)), ("/b.mkv", 5, at(1)), ("/b.txt", 5, at(1))), listings)
+    run()
+    jobs.add_listing(listing(("/a.mp4", 5, at(2)), ("/b.mkv", 5, at(1))), listings)
+    run()
+    jobs.add_listing(listing(("/a.mp4", 5, at(2)), ("/b.mkv", 5, at(1))), listings)
+    run()
+    found = lambda: rows(spark.read.parquet(f"{out}/found").select("batch", "path", "state", "todo"), "batch", "path")
+    want = [(0, "/a.mp4", "new", "full"), (0, "/b.mkv", "new", "full"), (1, "/a.mp4", "changed", "full"), (1, "/b.mkv", "known", "annotate"),
+            (2, "/a.mp4", "known", "skip"), (2, "/b.mkv", "known", "annotate")]
+    assert found() == want and calls == [(0, ["/a.mp4", "/b.mkv"]), (1, ["/a.mp4", "/b.mkv"]), (2, ["/b.mkv"])]
+    cache = spark.createDataFrame([("x", 0), ("y", 1), ("z", 2)], "query_hash string, batch int")
+    assert rows(jobs.valid_matches(cache, spark.read.parquet(f"{out}/cleared")), "query_hash") == [("y", 1), ("z", 2)]
+    # The last batch is not committed: it runs again, over the same listing.
+    for name in os.listdir(f"{out}/state/commits"):
+        if name.strip(".").startswith("2"):
+            os.remove(f"{out}/state/commits/{name}")
+    run()
+    assert found() == want and calls[-1] == (2, ["/b.mkv"]) and len(calls) == 4
+
+
 def test_song_state_waits_for_missing_lines():
     song = Song(None)
     song.early = {1: (1000, [(0, 7, 0)]), 2: (1000, [(0, 7, 500), (1, 8, 0)])}

@@ -131,3 +131,18 @@ def test_render_plan_files(spark, tmp_path):
     render_plan.write_render_plans(songs[0].union(songs[1]).union(songs[2]).coalesce(1), str(tmp_path / "out"))
     back = render_plan.read_render_plans(spark, str(tmp_path / "out"))
     assert rows(render_plan.plan_slots(back).select("song_id", "end_ms"), "song_id") == [(i, 6500) for i in (1, 2, 3)]
+
+
+def test_cues_of_resolved_files(spark, tmp_path):
+    files = {
+        "a.srt": "1\n00:00:01,200 --> 00:00:03,500\nhéllo\n".encode("utf-16"), "b.lrc": "[00:01.00]one\n[00:04.00]two".encode(),
+        "c.ass": "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,你好".encode("gb18030"), "d.ASS": "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,x".encode(),
+        "e.SRT": "1\n00:00:01,000 --> 00:00:02,000\nupper\n".encode(), "f.srt": b"1\n00:00:01,000 --> 00:00:02,000\nnot asked for\n",
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    used = [(1, "a.srt"), (2, "b.lrc"), (3, "c.ass"), (4, "d.ASS"), (5, "e.SRT"), (6, "a.srt"), (7, None), (8, "gone.srt")]
+    resolved = spark.createDataFrame([(v, n and f"{tmp_path}/{n}") for v, n in used], "video_id bigint, subtitle_path string")
+    got = subtitles.ingest_resolved(resolved, subtitles.subtitle_files(spark, str(tmp_path)))
+    assert [tuple(r) for r in got.orderBy("video_id", "start_ms").select("video_id", "start_ms", "end_ms", "text").collect()] == [
+        (1, 1200, 3500, "héllo"), (2, 1000, 4000, "one"), (2, 4000, 8000, "two"), (3, 1000, 2000, "你好"), (5, 1000, 2000, "upper"), (6, 1200, 3500, "héllo")]
