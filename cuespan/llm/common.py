@@ -28,6 +28,11 @@ def only(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(*(named(source).alias(target) for target, source in columns.items()))
 
 
+def plain_names(docs: DataFrame, *columns: str) -> tuple[DataFrame, ...]:
+    """``docs`` with its columns named by place, so that none clashes with an operator's own, and the new names of ``columns``."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), *(f"c{docs.columns.index(c)}" for c in columns)
+
+
 def text_hash(text: Column) -> Column:
     """128 bits that stand for a whole text, null as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

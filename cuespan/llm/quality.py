@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import SPACE_CLASS, SPACES, by_shuffle, named, text_hash
+from cuespan.llm.common import SPACE_CLASS, SPACES, by_shuffle, named, plain_names, text_hash
 from cuespan.session import work_table
 
 # The symbols that count, and what a line with a word has.
@@ -114,9 +114,10 @@ def kept_documents(
     lists = common.join(by_shuffle(rejected), ["host", "text_key"], "left_anti").groupBy("host", "text_key").agg(F.collect_list("hash").alias("_common"))
     changes = rejected.withColumn("_common", F.lit(None).cast("array<bigint>")).unionByName(lists.withColumn("_rejected", F.lit(False)))
     changes = work_table(changes.withColumnsRenamed({"host": "_host", "text_key": "_text_key"}))
-    same = (F.coalesce(named(host_col).cast("string"), F.lit("")) == F.col("_host")) & (text_hash(named(text_col)) == F.col("_text_key"))
-    out = docs.join(by_shuffle(changes), same, "left").where(F.col("_rejected").isNull() | ~F.col("_rejected"))
+    plain, text, host = plain_names(docs, text_col, host_col)
+    same = (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host")) & (text_hash(F.col(text)) == F.col("_text_key"))
+    out = plain.join(by_shuffle(changes), same, "left").where(F.col("_rejected").isNull() | ~F.col("_rejected"))
     gone = lambda line: line.rlike(WORD_CHARACTER) & F.array_contains(F.col("_common"), F.xxhash64(normal_line(line)))
-    rest = F.array_join(F.filter(F.split(named(text_col), "\n"), lambda line: ~gone(line)), "\n")
-    text = F.when(F.col("_common").isNull(), named(text_col)).otherwise(rest).alias(text_col)
-    return out.select(*(text if c == text_col else named(c) for c in docs.columns))
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~gone(line)), "\n")
+    kept = F.when(F.col("_common").isNull(), F.col(text)).otherwise(rest).alias(text)
+    return out.select(*(kept if c == text else c for c in plain.columns)).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import by_shuffle, named, only, text_hash
+from cuespan.llm.common import by_shuffle, only, plain_names, text_hash
 from cuespan.session import work_table
 
 # The shapes of secrets, which must match as they stand.
@@ -216,8 +216,9 @@ def without_secrets(docs: DataFrame, mark: str = "[secret]", text_col: str = "te
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     base = rows.where(F.size("base") > 0).select("text_key", "base").dropDuplicates(["text_key"])
     every = base.join(found, "text_key", "full").select(F.col("text_key").alias("_text_key"), F.array_sort(F.concat(F.coalesce("base", none), F.coalesce("random", none))).alias("_spans"))
-    out = docs.join(by_shuffle(work_table(every)), text_hash(named(text_col)) == F.col("_text_key"), "left")
-    text = named(text_col)
+    plain, name = plain_names(docs, text_col)
+    text = F.col(name)
+    out = plain.join(by_shuffle(work_table(every)), text_hash(text) == F.col("_text_key"), "left")
 
     def step(state: Column, s: Column) -> Column:
         fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark))
@@ -225,4 +226,4 @@ def without_secrets(docs: DataFrame, mark: str = "[secret]", text_col: str = "te
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_spans", start, step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*(named(c) for c in docs.columns))
+    return out.withColumn(name, F.when(F.col("_spans").isNull(), text).otherwise(clean)).select(*plain.columns).toDF(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import by_shuffle, in_slices, named, only, text_hash, utf8
+from cuespan.llm.common import by_shuffle, in_slices, only, plain_names, text_hash, utf8
 from cuespan.session import work_table
 
 BITS = 64
@@ -269,10 +269,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mine = (rows["root"] == first["root"]) & rows["doc_id"].eqNullSafe(first["_id"]) & (rows["text_key"] == first["_key"])
     gone = work_table(rows.join(first, mine, "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
     again = work_table(rows.join(first, mine, "left_semi").where("times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
-    key = text_hash(named(text_col))
-    out = docs.join(by_shuffle(gone), (key == gone["_key"]) & named(id_col).eqNullSafe(gone["_id"]), "left_anti")
-    if again.isEmpty():
-        return out
-    repeated = (key == again["_key"]) & named(id_col).eqNullSafe(again["_id"])
-    once = out.join(again, repeated, "left_semi").withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
-    return out.join(again, repeated, "left_anti").unionByName(once)
+    plain, text, doc_id = plain_names(docs, text_col, id_col)
+    key = text_hash(F.col(text))
+    out = plain.join(by_shuffle(gone), (key == gone["_key"]) & F.col(doc_id).eqNullSafe(gone["_id"]), "left_anti")
+    if not again.isEmpty():
+        repeated = (key == again["_key"]) & F.col(doc_id).eqNullSafe(again["_id"])
+        once = out.join(again, repeated, "left_semi").withColumn("_key", key).dropDuplicates([doc_id, "_key"]).drop("_key")
+        out = out.join(again, repeated, "left_anti").unionByName(once)
+    return out.toDF(*docs.columns)

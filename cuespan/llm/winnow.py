@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuespan.llm.common import by_shuffle, in_slices, only, text_hash, utf8
+from cuespan.llm.common import by_shuffle, in_slices, only, plain_names, text_hash, utf8
 from cuespan.session import work_table
 
 #: Bytes of words: digits, letters in lower case, and all of other scripts; the rest is white space.
 WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 #: Bits of the map of the benchmark's k-grams: one megabyte.
 MAP_BITS = 23
-KEPT = "array<struct<hash: bigint, span: int, at: int, left: int, words: array<string>>>"
+KEPT = "array<struct<hash: bigint, span: int, left: int, words: array<string>, runs: array<struct<first: int, step: int, count: int>>>>"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,8 +61,21 @@ def kept_grams(words: np.ndarray, room: np.ndarray, k: int, span: int) -> tuple[
     return np.flatnonzero(chosen), hashes
 
 
+def evenly_spaced(places: list[int]) -> list[dict]:
+    """Ascending places as runs of equal steps."""
+    out: list[dict] = []
+    for place in places:
+        last = out[-1] if out else None
+        if last and (last["count"] == 1 or place == last["first"] + last["step"] * last["count"]):
+            last["step"] = place - last["first"] if last["count"] == 1 else last["step"]
+            last["count"] += 1
+        else:
+            out.append({"first": place, "step": 0, "count": 1})
+    return out
+
+
 class Winnower:
-    """Kept k-grams of texts, with the words that a window through them can reach."""
+    """Kept k-grams of texts, with the words that a window through them can reach; equal ones of a text are one, with all their places."""
 
     def __init__(self, k: int, span: int):
         self.k, self.span, self.hashes = k, span, WordHashes()
@@ -78,7 +91,7 @@ class Winnower:
         ends = np.cumsum(counts)
         room = np.repeat(ends, counts) - np.arange(total)
         owner = np.repeat(np.arange(len(rows)), counts)
-        out: list[list[dict]] = [[] for _ in rows]
+        found_at: list[dict[tuple, list[int]]] = [{} for _ in rows]
         wanted = sorted({min(int(n), self.span) for n in counts if n} if spans is None else spans)
         for span in wanted:
             k = min(self.k, span) if span == self.span else span
@@ -94,15 +107,19 @@ class Winnower:
                 if spans is None and min(len(row), self.span) != span:
                     continue
                 first = max(0, at - (span - k))
-                near = [w.decode("utf-8", "replace") for w in row[first : at + span]]
-                out[text].append({"hash": value, "span": span, "at": at, "left": at - first, "words": near})
+                found_at[text].setdefault((value, span, at - first, tuple(row[first : at + span])), []).append(at)
+        out = [
+            [{"hash": value, "span": span, "left": left, "words": [w.decode("utf-8", "replace") for w in words], "runs": evenly_spaced(places)} for (value, span, left, words), places in own.items()]
+            for own in found_at
+        ]
         return counts.tolist(), out
 
 
 def fingerprints(texts: DataFrame, columns: list[str], k: int, span: int, spans: list[int] | None, bits: np.ndarray | None) -> DataFrame:
     """``texts`` (the named columns, then ``text``) as the named columns, ``n_words`` and ``kept``."""
     schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in columns)
-    kept_type = pa.list_(pa.struct([("hash", pa.int64()), ("span", pa.int32()), ("at", pa.int32()), ("left", pa.int32()), ("words", pa.list_(pa.string()))]))
+    run = pa.struct([("first", pa.int32()), ("step", pa.int32()), ("count", pa.int32())])
+    kept_type = pa.list_(pa.struct([("hash", pa.int64()), ("span", pa.int32()), ("left", pa.int32()), ("words", pa.list_(pa.string())), ("runs", pa.list_(run))]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Winnower(k, span)
@@ -122,7 +139,8 @@ def agreeing(step: str) -> Column:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, text_key, n_words) of all documents, and hits (text_key, item, lo, hi): words [lo, hi) agree with the item.
+    """Rows (doc_id, text_key, n_words) of all documents, and hits (text_key, item, lo, hi): every word of [lo, hi) lies in ``span`` words
+    that agree with the item. A text and an item that repeat a word are compared by their different k-grams, not place by place.
 
     Texts are compared as words: A-Z in lower case, digits, letters and everything beyond ASCII. Null and wordless texts
     hit nothing, on either side. An unknown item id counts as the empty one, and items of one id as one item.
@@ -130,7 +148,8 @@ def contamination(
     """
     items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text"))
     items = fingerprints(items, ["item"], k, span, None, None)
-    items = work_table(items.select("item", F.explode("kept").alias("b")).select("item", "b.*"))
+    items = items.select("item", F.explode("kept").alias("b")).select("item", "b.hash", "b.span", "b.left", "b.words")
+    items = work_table(items.distinct())
     spans = sorted(row[0] for row in items.select("span").distinct().collect())
     slot = F.col("hash").bitwiseAND((1 << MAP_BITS) - 1)
     words = items.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63 AS INT))")).alias("bits")).collect()
@@ -147,7 +166,11 @@ def contamination(
     pairs = pairs.where(F.expr("slice(d.words, d.left + 1, k) = slice(b.words, b.left + 1, k)"))
     pairs = pairs.withColumn("before", agreeing("(-i)")).withColumn("after", agreeing("(k + i - 1)"))
     hits = pairs.where(F.col("before") + F.col("k") + F.col("after") >= F.col("span"))
-    hits = hits.select("text_key", "item", (F.col("d.at") - F.col("before")).alias("lo"), (F.col("d.at") + F.col("k") + F.col("after")).alias("hi")).distinct()
+    hits = hits.select("text_key", "item", "before", (F.col("k") + F.col("after")).alias("reached"), F.explode("d.runs").alias("r")).select("text_key", "item", "before", "reached", "r.*")
+    # Places whose stretches meet are one stretch; others stand for themselves.
+    one = "array(struct(first - before AS lo, first + step * (count - 1) + reached AS hi))"
+    each = "transform(sequence(0, count - 1), i -> struct(first + step * i - before AS lo, first + step * i + reached AS hi))"
+    hits = hits.select("text_key", "item", F.inline(F.expr(f"IF(step <= before + reached, {one}, {each})"))).distinct()
     return rows.select("doc_id", "text_key", "n_words"), work_table(hits)
 
 
@@ -177,5 +200,6 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, **options: obj
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
     """``docs`` without the documents that share ``span`` words in a row with a benchmark item."""
     _, hits = contamination(docs, benchmark, text_col=text_col, **options)
-    keys = work_table(hits.select(F.col("text_key").alias("_text_key")).distinct())
-    return docs.join(by_shuffle(keys), text_hash(F.col(f"`{text_col}`")) == F.col("_text_key"), "left_anti")
+    plain, text = plain_names(docs, text_col)
+    keys = work_table(hits.select("text_key").distinct())
+    return plain.join(by_shuffle(keys), text_hash(F.col(text)) == F.col("text_key"), "left_anti").toDF(*docs.columns)
