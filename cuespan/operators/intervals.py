@@ -155,8 +155,8 @@ def nearest(
     times = left.select(*keys, F.col(left_time).alias("_t")).distinct().withColumn("_ask", F.lit(True))
     both = best.join(times, [*keys, "_t"], "full_outer")
     chunk = _bucket(F.col("_t"), chunk_ms)
-    scanned = running(both, keys, ["_t"], chunk, {"_back": ("last", F.col("_own"))})
-    scanned = running(scanned, keys, ["_t"], chunk, {"_ahead": ("last", F.col("_own"))}, reverse=True)
+    nearby = ("last", F.col("_own"))
+    scanned = running(both, keys, ["_t"], chunk, {"_back": nearby}, backward={"_ahead": nearby})
     back, ahead, t = F.col("_back"), F.col("_ahead"), F.col("_t")
     back_gap = t - back[right_time]
     ahead_gap = ahead[right_time] - t

@@ -54,40 +54,44 @@ def running(
     *,
     inclusive: bool = True,
     reverse: bool = False,
+    backward: Mapping[str, Scan] | None = None,
     levels: int = 1,
 ) -> DataFrame:
     """Running ``sum`` / ``max`` / ``last`` (last non-null) per key along ``order``.
 
     ``chunk`` must not decrease along ``order``; keys must not be null. ``reverse``
     scans from the end, so ``last`` with ``inclusive=False`` is lag, and lead in reverse.
+    ``backward`` are further scans, against the direction of ``scans``, over the same
+    exchange of rows and the same totals.
     """
     mark = f"_chunk{levels}"
     rows = df.withColumn(mark, chunk)
-    ordering = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    w = (
-        Window.partitionBy(*keys, mark)
-        .orderBy(*ordering)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    local = rows.select("*", *[_window_value(k, e, w).alias(f"_in_{n}") for n, (k, e) in scans.items()])
-    totals = rows.groupBy(*keys, mark).agg(
-        *[_chunk_total(k, e, order, reverse).alias(f"_tot_{n}") for n, (k, e) in scans.items()]
-    )
-    carried = {f"_pre_{n}": (k, F.col(f"_tot_{n}")) for n, (k, _) in scans.items()}
+    every = {n: (k, e, reverse) for n, (k, e) in scans.items()} | {n: (k, e, not reverse) for n, (k, e) in (backward or {}).items()}
+
+    def window(back: bool):  # noqa: ANN202
+        ordering = [F.col(c).desc() if back else F.col(c).asc() for c in order]
+        return Window.partitionBy(*keys, mark).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+
+    local = rows.select("*", *[_window_value(k, e, window(back)).alias(f"_in_{n}") for n, (k, e, back) in every.items()])
+    totals = rows.groupBy(*keys, mark).agg(*[_chunk_total(k, e, order, back).alias(f"_tot_{n}") for n, (k, e, back) in every.items()])
+    carried = {f"_pre_{n}": (k, F.col(f"_tot_{n}"), back) for n, (k, _, back) in every.items()}
     if levels > 1:
+        part = lambda way: {n: (k, e) for n, (k, e, back) in carried.items() if back == way}
         totals = running(
-            totals, keys, [mark], F.floor(F.col(mark) / CHUNK_FAN), carried,
+            totals, keys, [mark], F.floor(F.col(mark) / CHUNK_FAN), part(reverse), backward=part(not reverse),
             inclusive=False, reverse=reverse, levels=levels - 1,
         )
     else:
-        direction = F.col(mark).desc() if reverse else F.col(mark).asc()
-        before = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select("*", *[_window_value(k, e, before).alias(n) for n, (k, e) in carried.items()])
+        def before(back: bool):  # noqa: ANN202
+            direction = F.col(mark).desc() if back else F.col(mark).asc()
+            return Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+
+        totals = totals.select("*", *[_window_value(k, e, before(back)).alias(n) for n, (k, e, back) in carried.items()])
     totals = totals.select(*keys, mark, *carried)
     joined = local.join(totals, [*keys, mark], "left")
     return joined.select(
         *df.columns,
-        *[_combine(k, F.col(f"_in_{n}"), F.col(f"_pre_{n}")).alias(n) for n, (k, _) in scans.items()],
+        *[_combine(k, F.col(f"_in_{n}"), F.col(f"_pre_{n}")).alias(n) for n, (k, _, _) in every.items()],
     )
 
 

@@ -93,6 +93,23 @@ def test_nearest(spark):
     assert {r.l: (r.hit.r if r.hit else None) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_both_directions_over_one_exchange(spark, series, levels, monkeypatch):
+    monkeypatch.setattr(scans, "CHUNK_FAN", 3)
+    chunk, order = F.floor(F.col("t") / 20), ["t", "id"]
+    ways = {"up": ("sum", F.col("id")), "seen": ("last", F.col("v"))}, {"down": ("sum", F.col("id")), "coming": ("last", F.col("v")), "top": ("max", F.col("t"))}
+    got = scans.running(series, ["k"], order, chunk, ways[0], backward=ways[1], levels=levels)
+    one = scans.running(series, ["k"], order, chunk, ways[0], levels=levels)
+    other = scans.running(series, ["k"], order, chunk, ways[1], reverse=True, levels=levels)
+    want = one.join(other, ["k", "t", "id"]).select("k", "t", "id", "up", "seen", "down", "coming", "top")
+    assert rows(got.select(*want.columns), "k", "t", "id") == rows(want, "k", "t", "id")
+
+    def exchanges(df):
+        return df._jdf.queryExecution().sparkPlan().toString().count("Aggregate("), df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+    assert exchanges(got) == exchanges(one)
+
+
 def test_segments_of_random_videos(spark):
     rng = random.Random(11)
     kfs, cues, vids = [], [], []
