@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from cuespan.functions.payload import text_list
 from cuespan.functions import keys as K
 from cuespan.functions import vectors as V
 from cuespan.operators import annotate as A
@@ -329,6 +330,22 @@ def reuse_annotations(spark, d):
     return found.select("segment_id", "kind", "relative_ms", "donor_id", "donor_summary", "donor_mad_score")
 
 
+@query("reuse_all_fields", sql(f"""
+    SELECT r.segment_id, r.donor_id, s.summary AS donor_summary, replace(replace(replace(s.tags_json, '["', ''), '"]', ''), '", "', '|') AS donor_tags,
+           s.visual_style AS donor_visual_style, CASE WHEN s.segment_id % 2 = 0 THEN 'high' ELSE 'low' END AS donor_motion_intensity,
+           s.scene_type || '|' || s.segment_id AS donor_key_objects, 'from ' || s.scene_type AS donor_emotion_flow
+    FROM ({REUSE_SQL}) r JOIN seg s ON s.segment_id = r.donor_id"""))
+def reuse_all_fields(spark, d):
+    """All fields that an annotation copies, lists included."""
+    seg = X.seg(spark, d).withColumns({
+        "tags": text_list(F.col("tags_json")), "motion_intensity": F.when(F.col("segment_id") % 2 == 0, "high").otherwise("low"),
+        "key_objects": F.array("scene_type", F.col("segment_id").cast("string")), "emotion_flow": F.concat(F.lit("from "), F.col("scene_type")),
+    })
+    found = A.reuse_annotations(_marked_by_flag(spark, d), seg, A.COPIED).where("donor_id IS NOT NULL")
+    lists = {f"donor_{f}": F.array_join(f"donor_{f}", "|") for f in ("tags", "key_objects")}
+    return found.withColumns(lists).select("segment_id", "donor_id", *(f"donor_{f}" for f in A.COPIED))
+
+
 @query("annotation_union", sql(f"""
     SELECT s.segment_id, CASE WHEN r.donor_id IS NOT NULL THEN 'reused' WHEN left(s.summary, 1) IN ('1', '2') THEN 'fresh' ELSE 'placeholder' END AS source,
            CASE WHEN r.donor_id IS NOT NULL THEN ds.summary WHEN left(s.summary, 1) = '1' THEN 'about ' || s.summary
