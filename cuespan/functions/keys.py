@@ -25,10 +25,14 @@ def media_key(path: Column, start: Column, duration: Column, volume: Column) ->
     return F.md5(F.concat_ws("_", path, start.cast("string"), duration.cast("string"), volume.cast("string")))
 
 
+def json_text(text: Column) -> Column:
+    """A JSON string, non-ASCII kept."""
+    return F.concat(F.lit('"'), _json_escape(text), F.lit('"'))
+
+
 def json_text_list(texts: Column) -> Column:
-    """A JSON list of strings with a blank after each comma, non-ASCII kept."""
-    quoted = F.transform(texts, lambda t: F.concat(F.lit('"'), _json_escape(t), F.lit('"')))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """A JSON list of strings with a blank after each comma."""
+    return F.concat(F.lit("["), F.array_join(F.transform(texts, json_text), ", "), F.lit("]"))
 
 
 def _json_escape(text: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator, Mapping
+from hashlib import md5
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuespan.session import work_table
@@ -64,3 +68,51 @@ def write_children(fresh: DataFrame, path: str, *, buckets: int = 256) -> None:
         old = spark.read.schema(fresh.schema).parquet(path).join(touched, "bucket", "left_semi")
         fresh = work_table(replace_children(old, fresh).select(*fresh.columns))
     fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+#: Pieces, and what stands before, between and after them.
+Digest = tuple[Column, str, str, str]
+
+
+def streamed_md5(rows: DataFrame, key: str, order: str, digests: Mapping[str, Digest]) -> DataFrame:
+    """``key`` and, per name, the md5 of the key's pieces in order, run together; null pieces are left out.
+
+    The rows of a key come to one task sorted and are fed to the digest batch by batch: no list or text of a whole key is made.
+    """
+    names = list(digests)
+    frames = [(before.encode(), between.encode(), after.encode()) for _, before, between, after in digests.values()]
+
+    def feed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, current, open_ones, begun = None, None, [], []
+        done: list[tuple] = []
+
+        def close() -> None:
+            if open_ones:
+                for digest, (_, _, after) in zip(open_ones, frames):
+                    digest.update(after)
+                done.append((current, *(digest.hexdigest() for digest in open_ones)))
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*done)) or [()] * (1 + len(names))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.string()) for c in columns[1:])], [key, *names])
+
+        for batch in batches:
+            kind = batch.schema.field(key).type
+            for own, *pieces in zip(batch.column(key).to_pylist(), *(batch.column(n).to_pylist() for n in names)):
+                if not open_ones or own != current:
+                    close()
+                    current, open_ones, begun = own, [md5(before) for before, _, _ in frames], [False] * len(names)
+                for i, piece in enumerate(pieces):
+                    if piece is not None:
+                        open_ones[i].update((frames[i][1] if begun[i] else b"") + piece.encode())
+                        begun[i] = True
+            yield batch_of()
+        if kind is not None:
+            close()
+            yield batch_of()
+
+    pieces = [column.alias(name) for name, (column, *_) in digests.items()]
+    ordered = rows.select(key, F.col(order).alias("_order"), *pieces).repartition(key).sortWithinPartitions(key, "_order").drop("_order")
+    schema = ", ".join([f"{key} {rows.schema[key].dataType.simpleString()}", *(f"{n} string" for n in names)])
+    return ordered.mapInArrow(feed, schema)

@@ -195,8 +195,8 @@ def _whole_blocks(first: str, stop: str) -> str:
     return f"concat({', '.join(out)})"
 
 
-def look_ups(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str], at: str, bucket_ms: int) -> tuple[DataFrame, DataFrame]:
-    """(asked, spans) of :func:`first_at`: what each point looks up and what spans answer, both by ``keys``, ``level`` and ``block``."""
+def answers(kinds: Mapping[str, Kind], keys: Sequence[str], bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """What spans answer to points (:func:`first_at`), by ``keys``, ``level`` and ``block``: it does not depend on the points."""
     rows = None
     for number, (spans, low, stop, order, fields) in enumerate(kinds.values()):
         own = spans.select(*keys, F.col(low).cast("bigint").alias("_low"), F.col(stop).cast("bigint").alias("_stop"), F.struct(*order).alias(f"_order{number}"), F.struct(*fields).alias(f"_span{number}"))
@@ -209,20 +209,28 @@ def look_ups(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str],
     every = range(len(kinds))
     best = [F.min_by(F.struct(f"_order{i}", f"_span{i}"), f"_order{i}").alias(f"_best{i}") for i in every]
     times = [F.when(F.col("_at.level") < 0, F.col(c)).alias(c) for c in ("_low", "_stop")]
-    spans = rows.groupBy(*keys, "_at.level", "_at.block", *times).agg(*best).select(*keys, "level", "block", "_low", "_stop", *(f"_best{i}.*" for i in every))
+    return rows.groupBy(*keys, "_at.level", "_at.block", *times).agg(*best).select(*keys, "level", "block", "_low", "_stop", *(f"_best{i}.*" for i in every))
+
+
+def questions(points: DataFrame, keys: Sequence[str], at: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Where each distinct point looks: its bucket, and its block on every level."""
     looks = [f"struct(-1 AS level, {_down('_t', bucket_ms)} AS block)", *(f"struct({level} AS level, {_down('_t', bucket_ms * BLOCK_FAN**level)} AS block)" for level in range(BLOCK_LEVELS))]
     asked = points.select(*keys, F.col(at).cast("bigint").alias("_t")).distinct()
-    return asked.withColumn("_at", F.explode(F.expr(f"array({', '.join(looks)})"))).select(*keys, "_t", "_at.*"), spans
+    return asked.withColumn("_at", F.explode(F.expr(f"array({', '.join(looks)})"))).select(*keys, "_t", "_at.*")
+
+
+def first_of(points: DataFrame, spans: DataFrame, names: Sequence[str], keys: Sequence[str], at: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """:func:`first_at` with the spans' ``answers`` at hand, for many sets of points."""
+    hits = questions(points, keys, at, bucket_ms).join(spans, [*keys, "level", "block"]).where("_low IS NULL OR _low <= _t AND _t < _stop")
+    found = hits.groupBy(*keys, F.col("_t").alias(at)).agg(*(F.min_by(f"_span{i}", f"_order{i}").alias(name) for i, name in enumerate(names)))
+    return points.join(found, [*keys, at], "left")
 
 
 def first_at(points: DataFrame, kinds: Mapping[str, Kind], keys: Sequence[str], at: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``points`` with a struct per kind: ``fields`` of its first span by ``order`` with start <= ``at`` < end (null without one).
 
     A span is cut into its whole buckets, taken together in blocks, and the one or two buckets that it covers in part. Blocks (and
-    parts of equal times) keep the first span of each kind, before anything is joined; a point looks at its block on each level and at the spans that begin or
-    end in its bucket. So long and nested spans are neither copied to every bucket nor paired with every point.
+    parts of equal times) keep the first span of each kind, before anything is joined; a point looks at its block on each level and at
+    the spans that begin or end in its bucket. So long and nested spans are neither copied to every bucket nor paired with every point.
     """
-    asked, spans = look_ups(points, kinds, keys, at, bucket_ms)
-    hits = asked.join(spans, [*keys, "level", "block"]).where("_low IS NULL OR _low <= _t AND _t < _stop")
-    found = hits.groupBy(*keys, F.col("_t").alias(at)).agg(*(F.min_by(f"_span{i}", f"_order{i}").alias(name) for i, name in enumerate(kinds)))
-    return points.join(found, [*keys, at], "left")
+    return first_of(points, answers(kinds, keys, bucket_ms), list(kinds), keys, at, bucket_ms)

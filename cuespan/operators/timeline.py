@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cuespan.functions.keys import quoted_url
 from cuespan.functions.timecode import CLIP_MARGIN_MS, LINE_TOLERANCE_MS, idiv, midpoint10
-from cuespan.operators.intervals import CHUNK_MS, asof, first_at, points_in_spans
+from cuespan.operators.intervals import CHUNK_MS, answers, asof, first_at, first_of, points_in_spans
 from cuespan.operators.scans import numbered, running
 from cuespan.operators.transitions import FAN, handed_down
 from cuespan.session import cut_lineage, work_table
@@ -340,13 +340,27 @@ def slots_payload(lines: DataFrame, children: DataFrame, slots: DataFrame) -> Da
     return own.unionByName(shown)
 
 
-def active_at(ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataFrame) -> DataFrame:
-    """Line, slot and dialogue at each tick. The intro shows no lyric; a dialogue clip beats the slot's own."""
+ACTIVE = ("line", "sung", "slot", "clip")
+
+
+def active_answers(lines: DataFrame, slots: DataFrame, clips: DataFrame) -> DataFrame:
+    """What :func:`active_at` looks ticks up in."""
     times = ("start_ms", "end_ms")
-    rows = first_at(ticks, {
+    kinds = {
         "line": (lines, *times, ["line_no"], ["line_no"]), "sung": (lines.filter(~F.col("is_intro")), *times, ["line_no"], ["text"]),
         "slot": (slots, *times, ["slot_no"], ["slot_no", "keep_audio", "transcript"]), "clip": (clips, *times, ["start_ms", "clip_no"], ["clip_no", "transcript"]),
-    }, ["song_id"], "t_ms")
+    }
+    return answers({name: kinds[name] for name in ACTIVE}, ["song_id"])
+
+
+def active_at(ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataFrame) -> DataFrame:
+    """Line, slot and dialogue at each tick. The intro shows no lyric; a dialogue clip beats the slot's own."""
+    return active_among(ticks, active_answers(lines, slots, clips))
+
+
+def active_among(ticks: DataFrame, spans: DataFrame) -> DataFrame:
+    """:func:`active_at` with the answers at hand."""
+    rows = first_of(ticks, spans, ACTIVE, ["song_id"], "t_ms")
     linked = F.when(F.col("slot.keep_audio") & (F.col("slot.transcript") != ""), F.col("slot.transcript"))
     return rows.select(
         "song_id", "t_ms", F.col("line.line_no").alias("line_no"),

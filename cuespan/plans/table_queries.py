@@ -149,13 +149,13 @@ def scalars_time(spark, d):
            md5(min(text) || '_1.5_2.0_1.0') AS media_key
     FROM lyr GROUP BY 1""".replace("\\\\", "\\")))
 def scalars_keys(spark, d):
-    songs = X.lyr(spark, d).groupBy("song_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text).alias("texts"), F.min("text").alias("low")
-    )
-    return songs.select(
-        "song_id", K.texts_key(F.col("texts")).alias("vision_key"), F.md5(K.json_text_list(F.col("texts"))).alias("outline_key"),
-        K.media_key(F.col("low"), F.lit(1.5), F.lit(2.0), F.lit(1.0)).alias("media_key"),
-    )
+    lines = X.lyr(spark, d)
+    keys = CA.streamed_md5(lines, "song_id", "line_no", {
+        "vision_key": (F.col("text"), "", "", ""), "outline_key": (K.json_text(F.col("text")), "[", ", ", "]"),
+    })
+    low = lines.groupBy("song_id").agg(F.min("text").alias("low"))
+    media = low.select("song_id", K.media_key(F.col("low"), F.lit(1.5), F.lit(2.0), F.lit(1.0)).alias("media_key"))
+    return keys.join(media, "song_id")
 
 
 @query("scalars_json", sql("""

@@ -12,6 +12,7 @@ from cuespan.functions.text import progress
 from cuespan.functions.timecode import idiv
 from cuespan.operators import timeline as TL
 from cuespan.operators.segment import SILENCE_MS
+from cuespan.session import work_table
 from cuespan.sources.library import discover_library
 from cuespan.sources.subtitles import SAME_START_MS
 
@@ -166,10 +167,14 @@ def valid_matches(cache: DataFrame, cleared: DataFrame) -> DataFrame:
 def active_stream(
     ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataFrame, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Each batch of playhead ticks with what is active then; one folder per batch, safe to run again."""
+    """Each batch of playhead ticks with what is active then; one folder per batch, safe to run again.
+
+    The timeline is cut into time blocks and written once, before the first batch; batches only look up their own ticks.
+    """
+    spans = work_table(TL.active_answers(lines, slots, clips))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        TL.active_at(batch, lines, slots, clips).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        TL.active_among(batch, spans).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return ticks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

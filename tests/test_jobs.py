@@ -1,5 +1,7 @@
 """Streaming jobs, model calls and the registry."""
 
+import hashlib
+import json
 import os
 import random
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import compare, connect
+from cuespan.functions import keys
 from cuespan.functions import timecode as C
 from cuespan.operators import caches, dialogue, inference, timeline
 from cuespan.session import checkpoint_dir, cut_lineage
@@ -197,6 +200,19 @@ def test_stored_songs_choose_as_songs_in_memory():
     assert list(part.itertuples(index=False, name=None)) == [(1, 4, 0, 5, 7, 1)] and handle.timers == {handle.now + 6_000}
 
 
+def test_keys_of_long_texts_are_fed_piece_by_piece(spark):
+    rng = random.Random(2)
+    texts = {k: [rng.choice(['a "b"', "é\\n", "", None, "x" * 50]) for _ in range(n)] for k, n in ((1, 25_000), (2, 3), (3, 1), (None, 2))}
+    lines = [(k, i, t) for k, ts in texts.items() for i, t in enumerate(ts)]
+    rng.shuffle(lines)
+    df = spark.createDataFrame(lines, "song_id bigint, line_no bigint, text string")
+    got = caches.streamed_md5(df, "song_id", "line_no", {"whole": (F.col("text"), "", "", ""), "listed": (keys.json_text(F.col("text")), "[", ", ", "]")})
+    known = {k: [t for t in ts if t is not None] for k, ts in texts.items()}
+    want = {(k, hashlib.md5("".join(ts).encode()).hexdigest(), hashlib.md5(json.dumps(ts, ensure_ascii=False).encode()).hexdigest()) for k, ts in known.items()}
+    assert {tuple(r) for r in got.collect()} == want
+    assert caches.streamed_md5(df.limit(0), "song_id", "line_no", {"whole": (F.col("text"), "", "", "")}).count() == 0
+
+
 def test_retries_and_placeholders(spark):
     waits, calls = [], []
 

@@ -250,7 +250,7 @@ def test_nested_hours_are_not_paired(spark):
     i = F.col("id")
     spans = spark.range(1000).select(F.lit(1).alias("k"), i, (i * 1000).alias("a"), (20_000_000 - i * 1000).alias("b"))
     ticks = spark.range(1000).select(F.lit(1).alias("k"), (5_000_000 + i * 10_007).alias("t"))
-    asked, answers = intervals.look_ups(ticks, {"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"], "t", intervals.BUCKET_MS)
+    asked, answers = intervals.questions(ticks, ["k"], "t"), intervals.answers({"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"])
     levels = 1 + intervals.BLOCK_LEVELS
     assert asked.count() == 1000 * levels and asked.join(answers, ["k", "level", "block"]).count() <= 1000 * levels
     assert answers.count() < 1000 * 2 + 2100
