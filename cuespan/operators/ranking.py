@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespan.operators.match import CANDIDATES
+from cuespan.session import work_table
 
 PROMPTS_PER_BLOCK = 1024
 SCALE = 1_000_000
@@ -133,3 +135,168 @@ def semantic_topk(prompts: DataFrame, keyframes: DataFrame, *, k: int = CANDIDAT
     """
     slim = keyframes.select("keyframe_id", "vector", "motion_score", "cue_vector")
     return rank_blocks(prompts.select("prompt_id", "vector", "motion"), slim, semantic_scorer(weight), item_id="keyframe_id", k=k)
+
+
+#: Items that a block holds, and vectors that blocks are formed around: a bounded sample of the pool.
+ITEMS_PER_BLOCK, PIVOTS = 2048, 64
+#: Blocks whose scores give a prompt its first threshold, and slack for rounding to millionths.
+SEEDS, SLACK = 2, 2e-6
+#: Summaries of blocks that one task looks at together.
+PAGE = 1024
+
+
+class Ball:
+    """Bounds of inner products with vectors that lie around a centre."""
+
+    def __init__(self, columns: tuple[str, ...] = ("vector",)) -> None:
+        self.columns = columns
+
+    def summary(self, items: pd.DataFrame, width: int) -> list[float]:
+        """Centre and radius of each vector column of a block."""
+        out: list[float] = []
+        for column in self.columns:
+            rows = matrix(items[column])
+            rows = rows if rows.shape[1] else np.zeros((len(rows), width))
+            centre = rows.mean(axis=0)
+            out += [*centre, float(np.sqrt(((rows - centre) ** 2).sum(axis=1)).max())]
+        return out
+
+    def inner(self, prompts: pd.DataFrame, summaries: np.ndarray) -> list[np.ndarray]:
+        """Per column, the most that an inner product of a prompt with a block's vector can be."""
+        asked, each = matrix(prompts["vector"]), summaries.shape[1] // len(self.columns)
+        lengths = np.sqrt((asked**2).sum(axis=1))[:, None]
+        parts = [summaries[:, i * each : (i + 1) * each] for i in range(len(self.columns))]
+        return [asked @ part[:, :-1].T + lengths * part[None, :, -1] for part in parts]
+
+    def upper(self, prompts: pd.DataFrame, summaries: np.ndarray) -> np.ndarray:
+        return self.inner(prompts, summaries)[0]
+
+
+class SemanticBall(Ball):
+    """Bounds of the blended score: motion takes off up to ``MOTION_PENALTY`` of what is seen, and adds to what is negative."""
+
+    def __init__(self, weight: float = TRANSCRIPT_WEIGHT) -> None:
+        super().__init__(("vector", "cue_vector"))
+        self.weight = weight
+
+    def upper(self, prompts: pd.DataFrame, summaries: np.ndarray) -> np.ndarray:
+        seen, heard = self.inner(prompts, summaries)
+        return np.maximum(seen, (1 - MOTION_PENALTY) * seen) + self.weight * heard
+
+
+class Ranked(NamedTuple):
+    """best: the rows of :func:`rank_blocks`. scored: the pairs of blocks (asked, block) whose scores were worked out, of ``pairs`` pairs in all."""
+
+    best: DataFrame
+    scored: DataFrame
+    pairs: int
+
+
+def _clustered(rows: DataFrame, pivots: np.ndarray, order: str, size: int, name: str, ball: Ball | None) -> DataFrame:
+    """Blocks of at most ``size`` rows that are nearest to the same pivot, written: ``name`` (a number), rows, summary."""
+    width = pivots.shape[1]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = matrix(batch["vector"])
+            near = (vectors @ pivots.T).argmax(axis=1) if vectors.shape[1] == width else np.zeros(len(batch), np.int64)
+            yield batch.assign(_pivot=near.astype(np.int64))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, near in batch.groupby("_pivot", sort=True):
+                near = near.drop(columns="_pivot")
+                for first in range(0, len(near), size):
+                    part = near.iloc[first : first + size]
+                    yield pd.DataFrame({"rows": [part.to_dict("records")], "summary": [ball.summary(part, width) if ball else []]})
+
+    # A pivot that very many rows are nearest to is dealt over several partitions.
+    placed = rows.mapInPandas(assign, f"{_ddl(rows)}, _pivot bigint").repartitionByRange("_pivot", order).sortWithinPartitions("_pivot", order)
+    packed = placed.mapInPandas(pack, f"rows array<{rows.schema.simpleString()}>, summary array<double>")
+    return work_table(packed.withColumn(name, F.monotonically_increasing_id()))
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def rank_bounded(
+    prompts: DataFrame, pool: DataFrame, scorer: Scorer, ball: Ball, *, item_id: str, k: int = CANDIDATES,
+    items_per_block: int = ITEMS_PER_BLOCK, prompts_per_block: int = PROMPTS_PER_BLOCK,
+) -> Ranked:
+    """The rows of :func:`rank_blocks`, without scoring blocks that cannot hold any of the k best.
+
+    Blocks are formed of vectors near the same pivot, each with its centres and radii. The most promising blocks of a block of prompts
+    are scored first; their k-th scores are thresholds. A pair of blocks is scored only if some prompt's bound reaches its threshold.
+    Prompts are carried to the pages of summaries, and the pool's rows only to the prompts that need them. ``prompts`` and ``pool``
+    need a column ``vector``; the result is exact.
+    """
+    sample = pool.where(F.col("vector").isNotNull()).orderBy(F.xxhash64(item_id), item_id).limit(PIVOTS).select("vector").collect()
+    pivots = np.array([row["vector"] for row in sample], dtype=np.float64).reshape(len(sample), -1) if sample else np.zeros((1, 1))
+    blocks = _clustered(pool, pivots, item_id, items_per_block, "block", ball)
+    asked = _clustered(prompts, pivots, "prompt_id", prompts_per_block, "asked", None).select("asked", F.col("rows").alias("prompts"))
+    count = blocks.count()
+    pages = max(1, math.ceil(count / PAGE))
+    page = F.pmod(F.xxhash64("block"), F.lit(pages))
+    summaries = blocks.groupBy(page.alias("page")).agg(F.collect_list(F.struct("block", "summary")).alias("listed"))
+    looks = asked.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pages - 1).cast("bigint")))).join(summaries, "page")
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                numbers = np.array([x["block"] for x in row.listed], dtype=np.int64)
+                yield row, numbers, ball.upper(pd.DataFrame(list(row.prompts)), np.array([x["summary"] for x in row.listed], dtype=np.float64))
+
+    def promise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, numbers, most in bounds(batches):
+            total = most.sum(axis=0)
+            top = np.argsort(-total, kind="stable")[:SEEDS]
+            yield pd.DataFrame({"asked": row.asked, "block": numbers[top], "promise": total[top]})
+
+    first = looks.select("asked", "prompts", "listed").mapInPandas(promise, "asked bigint, block bigint, promise double")
+    best_first = Window.partitionBy("asked").orderBy(F.desc("promise"), "block")
+    seeds = first.withColumn("_place", F.row_number().over(best_first)).where(F.col("_place") <= SEEDS).select("asked", "block")
+
+    def scores(row) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:  # noqa: ANN001
+        left, right = pd.DataFrame(list(row.prompts)), pd.DataFrame(list(row.rows)).sort_values(item_id)
+        return left, right[item_id].to_numpy(), np.rint(np.asarray(scorer(left, right), dtype=np.float64) * SCALE).astype(np.int64)
+
+    def threshold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                _, ids, micros = scores(row)
+                least = np.sort(micros, axis=1)[:, -k] / SCALE if len(ids) >= k else np.full(len(micros), -np.inf)
+                yield pd.DataFrame({"asked": [row.asked], "least": [least]})
+
+    def with_rows(pairs: DataFrame) -> DataFrame:
+        return pairs.join(blocks.select("block", "rows"), "block").join(asked, "asked").select("asked", "prompts", "rows")
+
+    least = with_rows(seeds).mapInPandas(threshold, "asked bigint, least array<double>")
+    least = least.groupBy("asked").agg(F.collect_list("least").alias("least"))
+
+    def reaches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, numbers, most in bounds(batches):
+            wanted = np.max(np.stack([np.asarray(x, dtype=np.float64) for x in row.least]), axis=0)
+            kept = numbers[(most + SLACK >= wanted[:, None]).any(axis=0)]
+            yield pd.DataFrame({"asked": np.full(len(kept), row.asked), "block": kept})
+
+    scored = work_table(looks.join(least, "asked").select("asked", "prompts", "listed", "least").mapInPandas(reaches, "asked bigint, block bigint"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                left, ids, micros = scores(row)
+                best, top = _best(micros, ids, k)
+                yield pd.DataFrame({"prompt_id": np.repeat(left["prompt_id"].to_numpy(), best.shape[1]), item_id: best.ravel(), "score_micros": top.ravel()})
+
+    kind, prompt_kind = dict(pool.dtypes)[item_id], dict(prompts.dtypes)["prompt_id"]
+    rows = with_rows(scored).mapInPandas(score, f"prompt_id {prompt_kind}, {item_id} {kind}, score_micros bigint")
+    w = Window.partitionBy("prompt_id").orderBy(F.desc("score_micros"), item_id)
+    best = rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k)
+    return Ranked(best.withColumn("rank", F.col("_place") - 1).drop("_place"), scored, count * asked.count())
+
+
+def semantic_topk_bounded(prompts: DataFrame, keyframes: DataFrame, *, k: int = CANDIDATES, weight: float = TRANSCRIPT_WEIGHT, **sizes: int) -> Ranked:
+    """:func:`semantic_topk` by bounds: worth it where pictures come in kinds."""
+    slim = keyframes.select("keyframe_id", "vector", "motion_score", "cue_vector")
+    return rank_bounded(prompts.select("prompt_id", "vector", "motion"), slim, semantic_scorer(weight), SemanticBall(weight), item_id="keyframe_id", k=k, **sizes)

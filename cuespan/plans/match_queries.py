@@ -15,7 +15,7 @@ from cuespan.operators import match as M
 from cuespan.operators import ranking as R
 from cuespan.plans import fixtures as X
 from cuespan.plans.fixtures_sql import with_tables
-from cuespan.plans.registry import query
+from cuespan.plans.registry import ORACLES, query
 
 OPENING = ('"k": 7}', '"k": 8}')
 ENDING = ('"k": 17}', '"k": 91}')
@@ -215,6 +215,11 @@ def semantic_topk(spark, d):
     return R.semantic_topk(_vector_prompts(spark, d), _spoken_frames(spark, d))
 
 
+@query("semantic_topk_bounded", ORACLES["semantic_topk"])
+def semantic_topk_bounded(spark, d):
+    return R.semantic_topk_bounded(_vector_prompts(spark, d), _spoken_frames(spark, d), items_per_block=256).best
+
+
 @query("rank_batch", sql("""
     SELECT p.prompt_id, r.segment_id, r.score * 1000000 AS score_micros, r.rank::INTEGER AS rank
     FROM prompt_profile p JOIN prompt_form f USING (form) JOIN ranked_form r ON r.rep = f.rep WHERE r.rank < 5"""))

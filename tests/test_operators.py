@@ -554,3 +554,25 @@ def test_chunk_walk_is_greedy(cuts):
         assert (door is None) == (not replay) and (door is None or replay[0] == door)
         got, last = got + replay, at
     assert got == want
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_bounded_top_k_equals_scoring_all(spark, clustered):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * (5 if clustered else 0)
+    vectors = centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * (0.1 if clustered else 1)
+    items = [(i, v.tolist() if i % 50 else None, float(i % 12), vectors[i - 1].tolist() if i % 3 == 0 else None) for i, v in enumerate(vectors)]
+    asked = [(i, (v + 0.01).tolist(), ["any", "low", "medium", "high"][i % 4]) for i, v in enumerate(vectors[::20])]
+    pool = table(spark, items, "keyframe_id bigint, vector array<double>, motion_score double, cue_vector array<double>")
+    prompts = table(spark, asked, "prompt_id bigint, vector array<double>, motion string")
+    ranked = ranking.semantic_topk_bounded(prompts, pool, k=5, items_per_block=100, prompts_per_block=20)
+    want = ranking.semantic_topk(prompts, pool, k=5)
+    order = ("prompt_id", "rank")
+    assert rows(ranked.best.select(*want.columns), *order) == rows(want, *order)
+    share = ranked.scored.count() / ranked.pairs
+    assert share < 0.5 if clustered else share <= 1
+    dots = pool.where("vector IS NOT NULL").select("keyframe_id", "vector")
+    best = ranking.rank_bounded(prompts, dots, ranking.dot_scorer, ranking.Ball(), item_id="keyframe_id", k=3, items_per_block=100).best
+    plain = ranking.rank_blocks(prompts, dots, ranking.dot_scorer, item_id="keyframe_id", k=3)
+    assert rows(best.select(*plain.columns), *order) == rows(plain, *order)
+    assert ranking.semantic_topk_bounded(prompts, pool.limit(0)).best.count() == 0
