@@ -14,6 +14,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -123,22 +126,114 @@ def words_of(path: str, count_only: bool) -> Words:
     return Words(path, count_only)
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_tokens, over_limit. No ids are materialised: pre-tokens' counts are looked up and summed.
-
-    The counts meet the words of a document inside its task, as a table of the word frequencies of all documents would be
-    larger than the texts. Null texts have no bytes and no tokens; strings of added tokens count as the library takes them.
-    The file must be at ``path`` on every node.
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers in as few bytes each as they need, compressed."""
+    parts = []
+    for column in columns:
+        small = column.astype(np.min_scalar_type(int(column.max(initial=0))))
+        parts += [bytes([small.itemsize]), small.tobytes()]
+    return len(columns[0]).to_bytes(4, "little") + zstandard.compress(b"".join(parts), 1)
+
+
+def unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
+    count, raw, at, out = int.from_bytes(blob[:4], "little"), zstandard.decompress(blob[4:]), 0, []
+    for _ in range(columns):
+        size = raw[at]
+        out.append(np.frombuffer(raw, f"<u{size}", count, at + 1).astype(np.int64))
+        at += 1 + size * count
+    return out
+
+
+def frequencies(texts: list[bytes], buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, its different words, packed (step to the next text, word, times)) of a slice of texts; a word's bucket follows from its hash."""
+    numbers: dict[bytes, int] = {}
+    rows = [text.split() for text in texts]
+    counts = np.array([len(row) for row in rows], np.int64)
+    words = np.fromiter((numbers.setdefault(w, len(numbers)) for row in rows for w in row), np.int64, int(counts.sum()))
+    pairs, times = np.unique(np.repeat(np.arange(len(rows)), counts) * max(1, len(numbers)) + words, return_counts=True)
+    text, word = np.divmod(pairs, max(1, len(numbers)))
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in numbers), np.int64, len(numbers))
+    names, place = list(numbers), np.zeros(len(numbers), np.int64)
+    by_bucket, order = np.argsort(own, kind="stable"), np.argsort(own[word], kind="stable")
+    word_cuts, pair_cuts = (np.searchsorted(x, np.arange(buckets + 1)) for x in (own[by_bucket], own[word][order]))
+    for bucket in np.flatnonzero(np.diff(word_cuts)).tolist():
+        held = by_bucket[word_cuts[bucket] : word_cuts[bucket + 1]]
+        place[held] = np.arange(len(held))
+        part = order[pair_cuts[bucket] : pair_cuts[bucket + 1]]
+        yield bucket, b" ".join([names[i] for i in held.tolist()]), packed(np.diff(text[part], prepend=0), place[word[part]], times[part])
+
+
+PIECES = "slice bigint, bucket int, kind int, ids array<{0}>, n_bytes array<bigint>, words binary, pairs binary"
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_tokens, over_limit. No ids are materialised.
+
+    Slices of the table tell how often each document holds each pre-token (here a word: no rule of the file reaches across white
+    space). These frequencies are dealt by the word's hash (``buckets``, as many as shuffle partitions unless given), so every different
+    word of the corpus is counted by one task, once, and joined there to its frequencies; sums per slice and bucket then meet by slice.
+    Null texts have no bytes and no tokens; strings of added tokens count as the library takes them. ``docs`` must be read from files, so
+    that a slice that is worked out again holds the same rows. The file must be at ``path`` on every node.
     """
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    source = only(docs, doc_id=id_col, text=text_col)
+    id_type = source.schema["doc_id"].dataType.simpleString()
+    names = ["slice", "bucket", "kind", "ids", "n_bytes", "words", "pairs"]
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = words_of(path, True)
-        for batch in in_slices(batches):
-            texts = utf8(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(words.count(texts))], ["doc_id", "n_bytes", "n_tokens"]
-            )
+    def rows_out(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(ids), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 7, types)], names)
 
-    source = only(docs, doc_id=id_col, text=text_col)
-    counted = source.mapInArrow(task, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, n_tokens bigint")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in in_slices(batches):
+            texts, ids = utf8(batch.column("text")), batch.column("doc_id")
+            rows = [(number, number % buckets, 0, ids.to_pylist(), list(map(len, texts)), None, None)]
+            rows += [(number, bucket, 1, None, None, words, pairs) for bucket, words, pairs in frequencies(texts, buckets)]
+            yield rows_out(rows, ids.type)
+            number += 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, bucket, known = words_of(path, True), None, {}
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["kind"] == 1:
+                    if row["bucket"] != bucket:
+                        bucket, known = row["bucket"], {}
+                    words = row["words"].split(b" ")
+                    new = [w for w in words if w not in known]
+                    known.update(zip(new, library.count(new).tolist()))
+                    step, word, times = unpacked(row["pairs"], 3)
+                    tokens = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[word] * times
+                    text = np.cumsum(step)
+                    first = np.flatnonzero(np.diff(text, prepend=-1))
+                    row["pairs"], row["words"] = packed(np.diff(text[first], prepend=0), np.add.reduceat(tokens, first)), None
+                out.append(tuple(row[n] for n in names))
+            yield rows_out(out, batch.schema.field("ids").type.value_type)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums, kind = None, None, None
+
+        def document() -> pa.RecordBatch:
+            ids, lengths = ([], []) if held is None else (held["ids"], held["n_bytes"])
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(lengths, pa.int64()), pa.array([] if sums is None else sums, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+        for batch in batches:
+            kind = batch.schema.field("ids").type.value_type
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    if held is not None:
+                        yield document()
+                    held, sums = row, np.zeros(len(row["ids"]), np.int64)
+                else:
+                    step, tokens = unpacked(row["pairs"], 2)
+                    sums[np.cumsum(step)] += tokens
+        if held is not None:
+            yield document()
+
+    schema = PIECES.format(id_type)
+    dealt = source.mapInArrow(cut, schema).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    summed = dealt.mapInArrow(count, schema).repartition("slice").sortWithinPartitions("slice", "kind")
+    counted = summed.mapInArrow(add, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
