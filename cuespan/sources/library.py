@@ -14,6 +14,10 @@ VIDEO_SUFFIXES = ("mp4", "mkv", "mov", "avi")
 SUBTITLE_SUFFIXES = (".srt", ".lrc", ".ass", ".chs.ass", ".cht.ass")
 UNSUPPORTED = (".mkv", ".avi", ".mov", ".flv")
 VIDEO_URL = "/api/video_file?path="
+# Where a file name holds its episode number, in order, and the marks of Chinese scripts.
+VIDEO_EPISODES = (r"-\s*(\d{1,2})", r"\b(\d{1,2})\b")
+SUBTITLE_EPISODES = (r"[eE](\d{1,2})", r"-\s*(\d{1,2})", r"\b(\d{1,2})\b")
+SIMPLIFIED, TRADITIONAL = (".chs.", "简体", "sc"), (".cht.", "繁体", "tc")
 
 
 def list_files(spark, folder: str) -> DataFrame:
@@ -29,11 +33,11 @@ def discover_library(files: DataFrame) -> DataFrame:
 
 
 def episode_of_video(name: Column) -> Column:
-    return _first_number(name, (r"-\s*(\d{1,2})", r"\b(\d{1,2})\b"))
+    return _first_number(name, VIDEO_EPISODES)
 
 
 def episode_of_subtitle(name: Column) -> Column:
-    return _first_number(name, (r"[eE](\d{1,2})", r"-\s*(\d{1,2})", r"\b(\d{1,2})\b"))
+    return _first_number(name, SUBTITLE_EPISODES)
 
 
 def _first_number(name: Column, patterns: tuple[str, ...]) -> Column:
@@ -55,11 +59,8 @@ def match_episodes(videos: DataFrame, files: DataFrame) -> DataFrame:
         F.struct(F.regexp_replace(folder, "/subtitles$", "").alias("folder"), F.lit(0).alias("place")),
         F.struct(folder.alias("folder"), F.lit(1).alias("place")),
     )).otherwise(F.array(F.struct(folder.alias("folder"), F.lit(1).alias("place"))))
-    script = (
-        F.when(low.contains(".chs.") | path.contains("简体") | low.contains("sc"), 0)
-        .when(low.contains(".cht.") | path.contains("繁体") | low.contains("tc"), 1)
-        .otherwise(2)
-    )
+    marked = lambda marks: low.contains(marks[0]) | path.contains(marks[1]) | low.contains(marks[2])
+    script = F.when(marked(SIMPLIFIED), 0).when(marked(TRADITIONAL), 1).otherwise(2)
     subtitles = usable.select(
         "path", episode_of_subtitle(base_name(path)).alias("episode"), script.alias("script"), F.inline(places)
     ).filter(F.col("episode").isNotNull())
