@@ -5,12 +5,14 @@ import random
 import re
 import zlib
 
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cuespan.llm import manifest, pii, quality, repeats, secrets, simhash, winnow
+from cuespan.llm import manifest, pii, quality, repeats, secrets, simhash, winnow, word_bpe
 from cuespan.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -289,3 +291,50 @@ def test_repeated_words_are_not_paired_place_by_place(spark):
 def test_runs_of_places(places):
     places = sorted(places)
     assert [r["first"] + r["step"] * i for r in winnow.evenly_spaced(places) for i in range(r["count"])] == places
+
+
+# --- token counts by joined frequencies
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 12), max_size=30), max_size=12), st.integers(1, 7))
+def test_frequencies_hold_every_word_once(texts, buckets):
+    parts, seen = {}, []
+    for bucket, words, pairs in word_bpe.frequencies([" ".join(f"w{x}" for x in t).encode() for t in texts], buckets):
+        words = words.split(b" ")
+        seen += words
+        step, word, times = word_bpe.unpacked(pairs, 3)
+        for text, w, n in zip(step.cumsum().tolist(), word.tolist(), times.tolist()):
+            parts[text, words[w]] = n
+    want = {}
+    for i, t in enumerate(texts):
+        for x in t:
+            want[i, f"w{x}".encode()] = want.get((i, f"w{x}".encode()), 0) + 1
+    assert parts == want and len(seen) == len(set(seen))
+
+
+def test_token_counts_over_slices_and_buckets(spark, small):
+    """Many small slices, several buckets: each document's sum comes together again, and each different word is counted once per bucket."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        want = {r["doc_id"]: (len(r["text"].encode()), len(library.encode(r["text"], add_special_tokens=False).ids)) for r in small.collect()}
+        for buckets in (1, 5):
+            got = word_bpe.token_counts(small.repartition(3), public_tokenizers.path("word_bpe_49k.json"), buckets=buckets)
+            assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_secrets_stage_changes_only_what_it_masks(spark, small):
+    """A text that the stage has changed carries the mark, and reads as before around it."""
+    before = {r["doc_id"]: r["text"] for r in small.collect()}
+    changed = 0
+    for r in secrets.without_secrets(small).collect():
+        if r["text"] != before[r["doc_id"]]:
+            changed += 1
+            parts, at = r["text"].split("[secret]"), 0
+            assert len(parts) > 1
+            for part in parts:
+                at = before[r["doc_id"]].index(part, at) + len(part)
+    assert changed
