@@ -206,7 +206,12 @@ def secret_report(docs: DataFrame, **options: object) -> DataFrame:
     rows, found = secret_spans(docs, **options)
     out = rows.join(work_table(found), "text_key", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
+
+    def count(kind: int) -> Column:
+        # A function of one argument: Spark would give a second one the place in the list.
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(kind) for kind in range(3)]
     return out.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", F.coalesce("random", none)))).alias("spans"))
 
 

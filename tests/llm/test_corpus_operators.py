@@ -287,6 +287,16 @@ def test_secret_shapes(spark, small):
         assert got[r["doc_id"]]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and want in got[r["doc_id"]]["spans"]
 
 
+def test_counts_of_shapes(spark, odd):
+    """In any order of kinds; spans of one kind may stand at any place of the list."""
+    texts = [t for _, t in SECRETS] + ["0123456789abcdef", "AKIAABCDEFGHIJKLMN 0123456789abcdef token=abcdefghijkl", "token=abcdefghijkl token=abcdefghijkl", "0123456789abcdef " * 3]
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for r in secrets.secret_report(docs).collect():
+        want = [x.split(":")[0] for x in plain_spans(texts[r["doc_id"] - 100]).split(",")]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [want.count(kind) for kind in secrets.KINDS[:3]]
+    assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 for r in secrets.secret_report(odd).collect())
+
+
 def test_battery_tells_chance_from_writing(spark):
     rng = np.random.default_rng(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
