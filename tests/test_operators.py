@@ -576,3 +576,21 @@ def test_bounded_top_k_equals_scoring_all(spark, clustered):
     plain = ranking.rank_blocks(prompts, dots, ranking.dot_scorer, item_id="keyframe_id", k=3)
     assert rows(best.select(*plain.columns), *order) == rows(plain, *order)
     assert ranking.semantic_topk_bounded(prompts, pool.limit(0)).best.count() == 0
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_exploded_points_do_not_go_through_the_driver(spark):
+    """Two songs of 200,000 beats each are estimated as two rows."""
+    songs = table(spark, [(1, 100_000_000), (2, 100_000_000)], "song_id bigint, duration_ms bigint").repartition(2)
+    beats = songs.groupBy("song_id").agg(F.max("duration_ms").alias("d")).select("song_id", F.explode(F.expr("sequence(0L, d, 500L)")).alias("beat_ms"))
+    lines = table(spark, [(s, i, i * 700, i * 700 + 600) for s in (1, 2) for i in range(20)], "song_id bigint, line_no bigint, start_ms bigint, end_ms bigint")
+    found = song.line_beats(lines, beats)
+    assert "Broadcast" not in final_plan(found.select("song_id", "line_no", "beats"))
+    assert [r.beats for r in found.orderBy("song_id", "line_no").collect()] == [[b for b in range(0, 20_000, 500) if i * 700 <= b <= i * 700 + 600] for _ in (1, 2) for i in range(20)]
+    ticks = beats.withColumnRenamed("beat_ms", "t_ms")
+    kinds = {"line": (lines, "start_ms", "end_ms", ["line_no"], ["line_no"])}
+    assert "Broadcast" not in final_plan(intervals.first_at(ticks, kinds, ["song_id"], "t_ms").where("line IS NOT NULL"))
