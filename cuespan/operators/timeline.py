@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cuespan.functions.keys import quoted_url
 from cuespan.functions.timecode import CLIP_MARGIN_MS, LINE_TOLERANCE_MS, idiv, midpoint10
 from cuespan.operators.intervals import CHUNK_MS, answers, asof, first_at, first_of, points_in_spans
-from cuespan.operators.scans import numbered, running
+from cuespan.operators.scans import dealt, numbered, running
 from cuespan.operators.transitions import FAN, handed_down
 from cuespan.session import cut_lineage, work_table
 
@@ -74,7 +74,7 @@ def slots_to_lines(slots: DataFrame, lines: DataFrame) -> DataFrame:
     first = pairs.groupBy("song_id", "slot_no").agg(
         F.min_by(F.struct("line_no", "line_start_ms", "line_end_ms"), "line_no").alias("line")
     )
-    rows = slots.join(first, ["song_id", "slot_no"]).select(
+    rows = slots.join(dealt(first), ["song_id", "slot_no"]).select(
         *slots.columns, "line.line_no",
         F.greatest(_zero(), F.col("start_ms") - F.col("line.line_start_ms")).alias("offset_start_ms"),
         F.least(F.col("line.line_end_ms") - F.col("line.line_start_ms"), F.col("end_ms") - F.col("line.line_start_ms")).alias("offset_end_ms"),
@@ -125,13 +125,13 @@ def effective_slots(lines: DataFrame, slots: DataFrame, carried: Sequence[str] =
         "song_id", F.col("slot_no").alias("line_no"),
         F.struct("video_id", "clip_start_ms", "clip_duration_ms", "video_duration_ms", *carried).alias("own"),
     )
-    rows = lines.select("song_id", "line_no", "start_ms", "end_ms").join(own, ["song_id", "line_no"], "left")
+    rows = lines.select("song_id", "line_no", "start_ms", "end_ms").join(dealt(own), ["song_id", "line_no"], "left")
     filled = F.when(F.col("own").isNotNull(), F.struct("line_no", "start_ms", "own"))
     first = rows.filter(F.col("own").isNotNull()).groupBy("song_id").agg(
         F.min_by(F.struct("line_no", "start_ms", "own"), "line_no").alias("first")
     )
     rows = running(rows, ["song_id"], ["line_no"], idiv(F.col("line_no"), LINE_CHUNK), {"before": ("last", filled)})
-    rows = rows.join(first, "song_id")
+    rows = rows.join(dealt(first), "song_id")
     base = F.coalesce("before", "first")
     rows = rows.withColumn("base", base)
     limit = F.coalesce(
@@ -355,7 +355,7 @@ def active_answers(lines: DataFrame, slots: DataFrame, clips: DataFrame) -> Data
 
 def active_at(ticks: DataFrame, lines: DataFrame, slots: DataFrame, clips: DataFrame) -> DataFrame:
     """Line, slot and dialogue at each tick. The intro shows no lyric; a dialogue clip beats the slot's own."""
-    return active_among(ticks, active_answers(lines, slots, clips))
+    return active_among(ticks, work_table(active_answers(lines, slots, clips)))
 
 
 def active_among(ticks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -372,13 +372,18 @@ def active_among(ticks: DataFrame, spans: DataFrame) -> DataFrame:
 
 def look_ahead(ticks: DataFrame, lines: DataFrame, effective: DataFrame) -> DataFrame:
     """The next line's clip at each tick, where it shows another video than the current line."""
-    rows = first_at(ticks, {"line": (lines, "start_ms", "end_ms", ["line_no"], ["line_no"])}, ["song_id"], "t_ms")
-    rows = asof(rows, lines, ["song_id"], "t_ms", "start_ms", ["line_no"], tie=F.col("line_no"), name="later", forward=True, strict=True)
-    rows = rows.withColumn("next_line", F.coalesce(F.col("line.line_no") + 1, F.col("later.line_no")))
-    shown = effective.select("song_id", F.col("line_no").alias("_at"), F.struct("video_id", "clip_start_ms").alias("_clip"))
-    now = shown.withColumnRenamed("_clip", "_now")
-    rows = rows.join(shown.withColumnRenamed("_at", "next_line"), ["song_id", "next_line"])
-    rows = rows.withColumn("_at", F.col("line.line_no")).join(now, ["song_id", "_at"], "left")
+    # Clips are put to the lines, which are fewer than the ticks: each line has its own clip and that of the line after it.
+    shown = work_table(effective.select("song_id", "line_no", F.struct("video_id", "clip_start_ms").alias("_now")))
+    after = shown.select("song_id", (F.col("line_no") - 1).alias("line_no"), F.col("_now").alias("_next"))
+    known = lines.select("song_id", "line_no", "start_ms", "end_ms").join(dealt(shown), ["song_id", "line_no"], "left")
+    known = work_table(known.join(dealt(after), ["song_id", "line_no"], "left"))
+    fields = ["line_no", "_now", "_next"]
+    rows = work_table(first_at(ticks.select("song_id", "t_ms"), {"line": (known, "start_ms", "end_ms", ["line_no"], fields)}, ["song_id"], "t_ms"))
+    on_line = rows.where("line IS NOT NULL").select("song_id", "t_ms", (F.col("line.line_no") + 1).alias("next_line"), F.col("line._next").alias("_clip"), F.col("line._now").alias("_now"))
+    between = rows.where("line IS NULL").select("song_id", "t_ms")
+    between = asof(between, known, ["song_id"], "t_ms", "start_ms", fields, tie=F.col("line_no"), name="later", forward=True, strict=True)
+    between = between.select("song_id", "t_ms", F.col("later.line_no").alias("next_line"), F.col("later._now").alias("_clip"), F.lit(None).cast(known.schema["_now"].dataType).alias("_now"))
+    rows = on_line.unionByName(between).where("_clip IS NOT NULL")
     return rows.filter(~F.col("_clip.video_id").eqNullSafe(F.col("_now.video_id"))).select(
         "song_id", "t_ms", "next_line", F.col("_clip.video_id").alias("next_video_id"), F.col("_clip.clip_start_ms").alias("next_clip_start_ms")
     )

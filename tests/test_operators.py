@@ -593,4 +593,16 @@ def test_exploded_points_do_not_go_through_the_driver(spark):
     assert [r.beats for r in found.orderBy("song_id", "line_no").collect()] == [[b for b in range(0, 20_000, 500) if i * 700 <= b <= i * 700 + 600] for _ in (1, 2) for i in range(20)]
     ticks = beats.withColumnRenamed("beat_ms", "t_ms")
     kinds = {"line": (lines, "start_ms", "end_ms", ["line_no"], ["line_no"])}
-    assert "Broadcast" not in final_plan(intervals.first_at(ticks, kinds, ["song_id"], "t_ms").where("line IS NOT NULL"))
+    active = intervals.first_at(ticks, kinds, ["song_id"], "t_ms")
+    assert "Broadcast" not in final_plan(active.where("line IS NOT NULL"))
+    twice = table(spark, [(1, 100), (1, 100), (1, None), (None, 100), (1, 650)], "song_id bigint, t_ms bigint")
+    got = [(r.song_id, r.t_ms, r.line and r.line.line_no) for r in intervals.first_at(twice, kinds, ["song_id"], "t_ms").collect()]
+    assert sorted(got, key=str) == sorted([(1, 100, 0), (1, 100, 0), (1, None, None), (None, 100, None), (1, 650, None)], key=str)
+
+
+def test_ticks_of_a_bucket_look_at_blocks_together(spark):
+    """Short and long spans; what is asked of the levels above is one row per bucket and level, not per tick."""
+    ticks = spark.range(20_000).select(F.lit(1).alias("k"), (F.col("id") * 500).alias("t"))
+    spans = table(spark, [(1, i * 2000, i * 2000 + 2000, i) for i in range(5000) if i % 3] + [(1, 0, 10_000_000, 9999)], "k int, a bigint, b bigint, id int")
+    got = intervals.first_at(ticks, {"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"], "t")
+    assert got.where("hit.id = if(t div 2000 % 3 = 0, 9999, t div 2000)").count() == 20_000
