@@ -1,8 +1,9 @@
 """Exact top-k of a pool per prompt, block by block.
 
-Prompts and pool are both packed into blocks. A task scores one block pair with numpy
-and returns only the k best per prompt of that pair, so neither side is ever held whole
-and no prompt-item pairs are emitted. The k best per block then meet in a ranked window.
+Prompts and pool are both packed into blocks and written. A task reads some blocks of either side, pairs them (Spark's Cartesian
+product, which moves no rows between tasks), scores a pair of blocks at a time with numpy and keeps the k best of each prompt,
+so neither side is ever held whole and no prompt-item pairs are emitted. The k best per task then meet in a ranked window.
+Pairs grow with the square of the tables, rows that are shuffled and written do not.
 """
 
 from __future__ import annotations
@@ -13,13 +14,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespan.operators.match import CANDIDATES
 from cuespan.session import work_table
 
 PROMPTS_PER_BLOCK = 1024
+#: Pool rows of one block where all pairs are scored: a matrix of scores has at most 1024 x 8192 cells.
+ITEMS_PER_PLAIN_BLOCK = 8192
 SCALE = 1_000_000
 
 # The blend of the semantic score: weight of the spoken text, and how motion is rewarded.
@@ -62,45 +66,73 @@ def rank_blocks(
     ``scorer(prompt_rows, item_rows)`` gives one score per pair, as a matrix; scores are
     compared in whole millionths. ``prompts`` needs ``prompt_id``.
     """
-    blocks = max(1, math.ceil(prompts.count() / prompts_per_block))
-    block = F.pmod(F.xxhash64("prompt_id"), F.lit(blocks)).cast("int")
-    asked = prompts.groupBy(block.alias("block")).agg(F.collect_list(F.struct(*prompts.columns)).alias("asked"))
-    # One even spread of the pool rows; those of one Arrow batch form a block, so blocks are bounded.
+    # Each side is read by many tasks, so both are written; one even spread of the rows, of which those of one Arrow batch form a block.
     parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pool.repartition(parts).select(F.struct(*pool.columns).alias("item"))
-    copies = packed.mapInArrow(_pack, f"items array<{pool.schema.simpleString()}>")
-    copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    items = pool.repartition(parts).select(F.struct(*pool.columns).alias("row")).mapInArrow(_pack(ITEMS_PER_PLAIN_BLOCK), f"rows array<{pool.schema.simpleString()}>")
+    blocks = max(1, math.ceil(prompts.count() / prompts_per_block))
+    block = F.pmod(F.xxhash64("prompt_id"), F.lit(blocks)).cast("bigint")
+    asked = prompts.groupBy(block.alias("asked")).agg(F.collect_list(F.struct(*prompts.columns)).alias("prompts"))
+    return _ranked(work_table(asked), work_table(items), None, scorer, prompts, pool, item_id, k)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _ranked(asked: DataFrame, items: DataFrame, wanted: Column | None, scorer: Scorer, prompts: DataFrame, pool: DataFrame, item_id: str, k: int) -> DataFrame:
+    """The k best per prompt over the ``wanted`` pairs (all, if None) of ``asked`` (asked, prompts) and ``items`` (rows), two written tables."""
+    pairs = asked.hint("shuffle_replicate_nl").join(items, wanted) if wanted is not None else asked.hint("shuffle_replicate_nl").crossJoin(items)
+    kind, prompt_kind = dict(pool.dtypes)[item_id], dict(prompts.dtypes)["prompt_id"]
+
+    def merged(held: dict, ids: np.ndarray, micros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, top = _best(micros, ids, k)
+        if "best" in held:
+            best, top = np.hstack([held["best"], best]), np.hstack([held["top"], top])
+        # Score down, then id up; a row of at most 2 k places.
+        order = np.lexsort((best, -top), axis=1)[:, :k]
+        return np.take_along_axis(best, order, axis=1), np.take_along_axis(top, order, axis=1)
+
+    def result(held: dict) -> pa.RecordBatch:
+        best, top = held["best"], held["top"]
+        asked_by = np.repeat(held["left"]["prompt_id"].to_numpy(), best.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(asked_by), pa.array(best.ravel()), pa.array(top.ravel())], ["prompt_id", item_id, "score_micros"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        # A task pairs one block of prompts with all of its blocks of items in turn.
         for batch in batches:
-            for asked_rows, item_rows in zip(batch["asked"], batch["items"]):
-                left, right = pd.DataFrame(list(asked_rows)), pd.DataFrame(list(item_rows)).sort_values(item_id)
-                ids = right[item_id].to_numpy()
-                micros = np.rint(np.asarray(scorer(left, right), dtype=np.float64) * SCALE).astype(np.int64)
-                best, scores = _best(micros, ids, k)
-                yield pd.DataFrame({
-                    "prompt_id": np.repeat(left["prompt_id"].to_numpy(), best.shape[1]),
-                    item_id: best.ravel(), "score_micros": scores.ravel(),
-                })
-
-    kind = dict(pool.dtypes)[item_id]
-    prompt_kind = dict(prompts.dtypes)["prompt_id"]
-    scored = copies.join(asked, "block").select("asked", "items").mapInPandas(
-        score, f"prompt_id {prompt_kind}, {item_id} {kind}, score_micros bigint"
-    )
+            numbers = batch.column("asked").to_pylist()
+            for at, number in enumerate(numbers):
+                if held and held["asked"] != number:
+                    yield result(held)
+                    held = {}
+                if not held:
+                    held = {"asked": number, "left": _frame(batch.column("prompts"), at)}
+                right = _frame(batch.column("rows"), at).sort_values(item_id)
+                micros = np.rint(np.asarray(scorer(held["left"], right), dtype=np.float64) * SCALE).astype(np.int64)
+                held["best"], held["top"] = merged(held, right[item_id].to_numpy(), micros)
+        if held:
+            yield result(held)
+
+    scored = pairs.select("asked", "prompts", "rows").mapInArrow(score, f"prompt_id {prompt_kind}, {item_id} {kind}, score_micros bigint")
     w = Window.partitionBy("prompt_id").orderBy(F.desc("score_micros"), item_id)
     # Filtered on the bare row number, which lets Spark keep only k rows per prompt before the shuffle.
     best = scored.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k)
     return best.withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
-def _pack(batches):
-    import pyarrow as pa
+def _frame(lists: pa.ListArray, at: int) -> pd.DataFrame:
+    """The rows of one list of structs."""
+    rows = lists.slice(at, 1).flatten()
+    return pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type]).to_pandas()
+
+
+def _pack(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (structs) of an Arrow batch as lists of at most ``most``."""
 
-    for batch in batches:
-        if batch.num_rows:
-            items = batch.column(0)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(items)], items)], ["items"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, most):
+                rows = batch.column(0).slice(first, most)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(rows)], rows)], ["rows"])
+
+    return pack
 
 
 def motion_factor(preference: pd.Series, motion: pd.Series) -> np.ndarray:
@@ -228,18 +260,17 @@ def rank_bounded(
 
     Blocks are formed of vectors near the same pivot, each with its centres and radii. The most promising blocks of a block of prompts
     are scored first; their k-th scores are thresholds. A pair of blocks is scored only if some prompt's bound reaches its threshold.
-    Prompts are carried to the pages of summaries, and the pool's rows only to the prompts that need them. ``prompts`` and ``pool``
-    need a column ``vector``; the result is exact.
+    Blocks are written once and read by the tasks that pair them: neither prompts nor the pool's rows are shuffled per pair.
+    ``prompts`` and ``pool`` need a column ``vector``; the result is exact.
     """
     sample = pool.where(F.col("vector").isNotNull()).orderBy(F.xxhash64(item_id), item_id).limit(PIVOTS).select("vector").collect()
     pivots = np.array([row["vector"] for row in sample], dtype=np.float64).reshape(len(sample), -1) if sample else np.zeros((1, 1))
     blocks = _clustered(pool, pivots, item_id, items_per_block, "block", ball)
     asked = _clustered(prompts, pivots, "prompt_id", prompts_per_block, "asked", None).select("asked", F.col("rows").alias("prompts"))
     count = blocks.count()
-    pages = max(1, math.ceil(count / PAGE))
-    page = F.pmod(F.xxhash64("block"), F.lit(pages))
-    summaries = blocks.groupBy(page.alias("page")).agg(F.collect_list(F.struct("block", "summary")).alias("listed"))
-    looks = asked.withColumn("page", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pages - 1).cast("bigint")))).join(summaries, "page")
+    page = F.pmod(F.xxhash64("block"), F.lit(max(1, math.ceil(count / PAGE))))
+    summaries = work_table(blocks.groupBy(page.alias("page")).agg(F.collect_list(F.struct("block", "summary")).alias("listed")).select("listed"))
+    looks = asked.hint("shuffle_replicate_nl").crossJoin(summaries)
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
@@ -280,20 +311,15 @@ def rank_bounded(
             kept = numbers[(most + SLACK >= wanted[:, None]).any(axis=0)]
             yield pd.DataFrame({"asked": np.full(len(kept), row.asked), "block": kept})
 
-    scored = work_table(looks.join(least, "asked").select("asked", "prompts", "listed", "least").mapInPandas(reaches, "asked bigint, block bigint"))
+    held = work_table(asked.join(least, "asked"))
+    looks = held.hint("shuffle_replicate_nl").crossJoin(summaries)
+    scored = work_table(looks.select("asked", "prompts", "listed", "least").mapInPandas(reaches, "asked bigint, block bigint"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                left, ids, micros = scores(row)
-                best, top = _best(micros, ids, k)
-                yield pd.DataFrame({"prompt_id": np.repeat(left["prompt_id"].to_numpy(), best.shape[1]), item_id: best.ravel(), "score_micros": top.ravel()})
-
-    kind, prompt_kind = dict(pool.dtypes)[item_id], dict(prompts.dtypes)["prompt_id"]
-    rows = with_rows(scored).mapInPandas(score, f"prompt_id {prompt_kind}, {item_id} {kind}, score_micros bigint")
-    w = Window.partitionBy("prompt_id").orderBy(F.desc("score_micros"), item_id)
-    best = rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k)
-    return Ranked(best.withColumn("rank", F.col("_place") - 1).drop("_place"), scored, count * asked.count())
+    # The numbers of the blocks that a block of prompts needs go with it; rows of blocks are not dealt out again for each pair.
+    kept = scored.groupBy("asked").agg(F.collect_set("block").alias("kept"))
+    needs = work_table(asked.join(kept, "asked"))
+    best = _ranked(needs, blocks, F.array_contains("kept", F.col("block")), scorer, prompts, pool, item_id, k)
+    return Ranked(best, scored, count * asked.count())
 
 
 def semantic_topk_bounded(prompts: DataFrame, keyframes: DataFrame, *, k: int = CANDIDATES, weight: float = TRANSCRIPT_WEIGHT, **sizes: int) -> Ranked:

@@ -606,3 +606,16 @@ def test_ticks_of_a_bucket_look_at_blocks_together(spark):
     spans = table(spark, [(1, i * 2000, i * 2000 + 2000, i) for i in range(5000) if i % 3] + [(1, 0, 10_000_000, 9999)], "k int, a bigint, b bigint, id int")
     got = intervals.first_at(ticks, {"hit": (spans, "a", "b", ["id"], ["id"])}, ["k"], "t")
     assert got.where("hit.id = if(t div 2000 % 3 = 0, 9999, t div 2000)").count() == 20_000
+
+
+def test_pairs_of_blocks_are_not_dealt(spark):
+    """Blocks meet where they are read: neither a broadcast nor a shuffle of the pool for every block of prompts."""
+    rng = np.random.default_rng(3)
+    pool = table(spark, [(i, rng.normal(size=8).tolist()) for i in range(200)], "keyframe_id bigint, vector array<double>")
+    prompts = pool.withColumnRenamed("keyframe_id", "prompt_id")
+    best = ranking.rank_blocks(prompts, pool, ranking.dot_scorer, item_id="keyframe_id", k=3, prompts_per_block=16)
+    bounded = ranking.rank_bounded(prompts, pool, ranking.dot_scorer, ranking.Ball(), item_id="keyframe_id", k=3, items_per_block=20, prompts_per_block=16).best
+    for found in (best, bounded):
+        plan = final_plan(found)
+        assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert rows(best.select("prompt_id", "rank", "keyframe_id"), "prompt_id", "rank") == rows(bounded.select("prompt_id", "rank", "keyframe_id"), "prompt_id", "rank")
