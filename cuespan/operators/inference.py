@@ -6,6 +6,7 @@ import hashlib
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,13 +31,17 @@ Embedder = Callable[[pd.Series], list[np.ndarray]]
 def hashing_embedder() -> Embedder:
     """Counts of words by the first md5 byte; a stand-in for a model, the same everywhere."""
 
+    @lru_cache(1 << 16)
+    def place(word: str) -> int:
+        return hashlib.md5(word.encode()).digest()[0] % HASH_WIDTH
+
     def embed(texts: pd.Series) -> list[np.ndarray]:
         out = []
         for text in texts:
             v = np.zeros(HASH_WIDTH)
             for word in (text or "").lower().split(" "):
                 if word:
-                    v[int(hashlib.md5(word.encode()).hexdigest()[:2], 16) % HASH_WIDTH] += 1.0
+                    v[place(word)] += 1.0
             out.append(v)
         return out
 

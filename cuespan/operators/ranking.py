@@ -1,9 +1,12 @@
-"""Exact top-k of a pool per prompt, block by block.
+"""Exact top-k of a pool per prompt, page by page.
 
-Prompts and pool are both packed into blocks and written. A task reads some blocks of either side, pairs them (Spark's Cartesian
-product, which moves no rows between tasks), scores a pair of blocks at a time with numpy and keeps the k best of each prompt,
+Prompts and pool are both packed into pages and written. A task reads some pages of either side, pairs them (Spark's Cartesian
+product, which moves no rows between tasks), scores a pair of pages tile by tile with numpy and keeps the k best of each prompt,
 so neither side is ever held whole and no prompt-item pairs are emitted. The k best per task then meet in a ranked window.
 Pairs grow with the square of the tables, rows that are shuffled and written do not.
+
+Where a score is an inner product, tiles are scored in single precision first; what may be among the k best, by a bound of the
+rounding error, is scored again in double precision.
 """
 
 from __future__ import annotations
@@ -15,30 +18,46 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuespan.operators.match import CANDIDATES
 from cuespan.session import work_table
 
+#: Prompts that a scorer sees at a time, and that bounds are taken for together.
 PROMPTS_PER_BLOCK = 1024
-#: Pool rows of one block where all pairs are scored: a matrix of scores has at most 1024 x 8192 cells.
-ITEMS_PER_PLAIN_BLOCK = 8192
+#: Rows of one page, and bytes that it holds at most; pages of one file.
+ROWS_PER_PAGE, PAGE_BYTES, PAGES_PER_FILE = 8192, 16 << 20, 2
+#: Bytes of the pool that one task pairs with its prompts, and parts of the pool that are made if there are pages enough.
+PART_BYTES, LEAST_PARTS = 64 << 20, 4
+#: Prompts and items of a tile; the first tiles of a page are smaller, until thresholds are known.
+TILE_PROMPTS, FIRST_ITEMS, TILE_ITEMS = 256, 256, 2048
+#: A tile of which more than one pair in so many may be among the best is scored whole.
+SPARSE = 32
 SCALE = 1_000_000
+#: The score in millionths where there is none yet.
+MISSING = -(2**62)
 
 # The blend of the semantic score: weight of the spoken text, and how motion is rewarded.
 TRANSCRIPT_WEIGHT = 0.3
 MOTION_PENALTY = 0.3
 MOTION_TARGETS = {"low": 0.0, "medium": 0.5, "high": 1.0}
 
+#: A score per pair. One with a method ``vectors(prompts, items)``, which yields rows of prompts (their places) and a vector per item
+#: whose inner product with the prompt's ``vector`` is the score, is worked out faster.
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    """Stack a column of vectors; a missing vector is the zero vector."""
-    width = max((len(v) for v in column if v is not None), default=0)
-    zero = np.zeros(width)
-    return np.stack([zero if v is None else np.asarray(v, dtype=np.float64) for v in column])
+def matrix(column: pd.Series, width: int = 0) -> np.ndarray:
+    """Stack a column of vectors; a missing vector is the zero vector. ``width``: that of the result if all are missing."""
+    rows = [v for v in column if v is not None]
+    widths = {len(v) for v in rows} or {width}
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(widths)}")
+    out = np.zeros((len(column), widths.pop()))
+    if rows:
+        out[[v is not None for v in column]] = np.concatenate(rows).reshape(len(rows), -1)
+    return out
 
 
 def _best(micros: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,6 +71,110 @@ def _best(micros: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[top], np.take_along_axis(micros, top, axis=1)
 
 
+class _Held:
+    """The k best found so far for each prompt of a page, best first. ``floor``: millionths that the k best of a prompt reach."""
+
+    def __init__(self, prompts: pd.DataFrame, scorer: Scorer, k: int, size: int, floor: np.ndarray | None = None) -> None:
+        self.prompts, self.scorer, self.k, self.size = prompts, scorer, k, size
+        self.top = np.full((len(prompts), k), MISSING)
+        self.ids: np.ndarray | None = None
+        self.floor = np.full(len(prompts), MISSING) if floor is None else floor
+        self.vectors = matrix(prompts["vector"]) if hasattr(scorer, "vectors") else None
+
+    def add(self, items: pd.DataFrame, item_id: str, chosen: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
+        """Score ``items``; ``chosen`` has the places of prompts and of items that are paired, all with all if None."""
+        ids = items[item_id].to_numpy()
+        if self.ids is None:
+            self.ids = np.full(self.top.shape, ids[0], dtype=ids.dtype)
+        chosen = [(np.arange(len(self.prompts)), np.arange(len(items)))] if chosen is None else chosen
+        if self.vectors is None:
+            for rows, places in chosen:
+                places = places[np.argsort(ids[places], kind="stable")]
+                for first in range(0, len(rows), self.size):
+                    own = rows[first : first + self.size]
+                    self._whole(own, ids[places], np.asarray(self.scorer(self.prompts.iloc[own], items.iloc[places]), dtype=np.float64))
+            return
+        for kind, theirs in self.scorer.vectors(self.prompts, items):
+            theirs = theirs if theirs.shape[1] else np.zeros((len(items), self.vectors.shape[1]))
+            for rows, places in chosen:
+                rows = rows if len(kind) == len(self.prompts) else np.intersect1d(rows, kind, assume_unique=True)
+                if len(rows):
+                    self._products(rows, ids if len(places) == len(ids) else ids[places], theirs if len(places) == len(ids) else theirs[places])
+
+    def _whole(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        # What is no number comes last.
+        best, micros = _best(np.rint(np.fmax(scores * SCALE, -1e15)).astype(np.int64), ids, self.k)
+        self._take(np.repeat(rows, best.shape[1]), best.ravel(), micros.ravel())
+
+    def _products(self, rows: np.ndarray, ids: np.ndarray, theirs: np.ndarray) -> None:
+        ours = self.vectors[rows] if self.vectors.shape[1] else np.zeros((len(rows), theirs.shape[1]))
+        longest = np.sqrt((theirs**2).sum(axis=1)).max() if len(theirs) else 0.0
+        product = np.sqrt((ours**2).sum(axis=1)) * longest
+        # The most that the sum of so many products in single precision, of rounded factors, is off.
+        slack = product * ((theirs.shape[1] + 8) * 2.0**-24) + 1e-30
+        narrow = bool((product < 1e30).all() and longest < 1e30)  # else too large for single precision, or no number
+        with np.errstate(over="ignore", invalid="ignore"):
+            ours32, theirs32 = ours.astype(np.float32), theirs.astype(np.float32)
+        scores = np.empty(TILE_PROMPTS * TILE_ITEMS, np.float32)
+        marks = np.zeros(TILE_PROMPTS * TILE_ITEMS, bool)
+        first, step = 0, FIRST_ITEMS
+        while first < len(ids):
+            part = slice(first, min(first + step, len(ids)))
+            n = part.stop - part.start
+            for at in range(0, len(rows), TILE_PROMPTS):
+                own = rows[at : at + TILE_PROMPTS]
+                tile = slice(at, at + len(own))
+                least = np.maximum(self.top[own, -1], self.floor[own])
+                found = None
+                if narrow and least.min() > MISSING:
+                    found = self._marked(ours32[tile], theirs32[part], (least - 0.5) / SCALE - slack[tile], scores, marks)
+                if found is None or len(found) > len(own) * n // SPARSE:
+                    order = np.argsort(ids[part], kind="stable") + first
+                    self._whole(own, ids[order], ours[tile] @ theirs[order].T)
+                elif len(found):
+                    by, of = np.divmod(found, n)
+                    micros = np.rint(np.einsum("ij,ij->i", ours[at + by], theirs[first + of]) * SCALE).astype(np.int64)
+                    good = micros >= least[by]
+                    self._take(own[by[good]], ids[first + of[good]], micros[good])
+            first, step = part.stop, min(2 * step, TILE_ITEMS)
+
+    @staticmethod
+    def _marked(ours: np.ndarray, theirs: np.ndarray, least: np.ndarray, scores: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Places of the pairs that may reach ``least``, row by row; ``scores`` and ``marks`` are room to work in."""
+        shape, count = (len(ours), len(theirs)), len(ours) * len(theirs)
+        out = np.matmul(ours, theirs.T, out=scores[:count].reshape(shape))
+        with np.errstate(over="ignore"):
+            least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+        np.greater_equal(out, least[:, None], out=marks[:count].reshape(shape))
+        padded = -(-count // 8) * 8
+        marks[count:padded] = False
+        # Eight marks are looked at together; nearly all are off.
+        eights = np.flatnonzero(marks[:padded].view(np.uint64))
+        which, bit = np.nonzero(marks[:padded].reshape(-1, 8)[eights])
+        return eights[which] * 8 + bit
+
+    def _take(self, rows: np.ndarray, ids: np.ndarray, micros: np.ndarray) -> None:
+        """Let items found (prompt's place, id, score) in among the k best."""
+        if not len(rows):
+            return
+        hit = np.unique(rows)
+        rows = np.concatenate([np.repeat(hit, self.k), rows])
+        ids = np.concatenate([self.ids[hit].ravel(), ids])
+        micros = np.concatenate([self.top[hit].ravel(), micros])
+        # Score down, then id up.
+        order = np.lexsort((ids, -micros, rows))
+        counts = np.bincount(np.searchsorted(hit, rows), minlength=len(hit))
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept = order[place < self.k].reshape(len(hit), self.k)
+        self.ids[hit], self.top[hit] = ids[kept], micros[kept]
+
+    def result(self, item_id: str) -> Iterator[pa.RecordBatch]:
+        there = self.top > MISSING
+        if there.any():
+            asked = np.repeat(self.prompts["prompt_id"].to_numpy(), there.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(self.ids[there]), pa.array(self.top[there])], ["prompt_id", item_id, "score_micros"])
+
+
 def rank_blocks(
     prompts: DataFrame,
     pool: DataFrame,
@@ -63,74 +186,105 @@ def rank_blocks(
 ) -> DataFrame:
     """The k best pool items per prompt: (prompt_id, rank, ``item_id``, score_micros).
 
-    ``scorer(prompt_rows, item_rows)`` gives one score per pair, as a matrix; scores are
-    compared in whole millionths. ``prompts`` needs ``prompt_id``.
+    ``scorer(prompt_rows, item_rows)`` gives one score per pair, as a matrix; it may depend on all columns but the items' ids.
+    Scores are compared in whole millionths. ``prompts`` needs ``prompt_id``.
     """
-    # Each side is read by many tasks, so both are written; one even spread of the rows, of which those of one Arrow batch form a block.
-    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    items = pool.repartition(parts).select(F.struct(*pool.columns).alias("row")).mapInArrow(_pack(ITEMS_PER_PLAIN_BLOCK), f"rows array<{pool.schema.simpleString()}>")
-    blocks = max(1, math.ceil(prompts.count() / prompts_per_block))
-    block = F.pmod(F.xxhash64("prompt_id"), F.lit(blocks)).cast("bigint")
-    asked = prompts.groupBy(block.alias("asked")).agg(F.collect_list(F.struct(*prompts.columns)).alias("prompts"))
-    return _ranked(work_table(asked), work_table(items), None, scorer, prompts, pool, item_id, k)
-
-
-def _ranked(asked: DataFrame, items: DataFrame, wanted: Column | None, scorer: Scorer, prompts: DataFrame, pool: DataFrame, item_id: str, k: int) -> DataFrame:
-    """The k best per prompt over the ``wanted`` pairs (all, if None) of ``asked`` (asked, prompts) and ``items`` (rows), two written tables."""
-    pairs = asked.hint("shuffle_replicate_nl").join(items, wanted) if wanted is not None else asked.hint("shuffle_replicate_nl").crossJoin(items)
-    kind, prompt_kind = dict(pool.dtypes)[item_id], dict(prompts.dtypes)["prompt_id"]
-
-    def merged(held: dict, ids: np.ndarray, micros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best, top = _best(micros, ids, k)
-        if "best" in held:
-            best, top = np.hstack([held["best"], best]), np.hstack([held["top"], top])
-        # Score down, then id up; a row of at most 2 k places.
-        order = np.lexsort((best, -top), axis=1)[:, :k]
-        return np.take_along_axis(best, order, axis=1), np.take_along_axis(top, order, axis=1)
-
-    def result(held: dict) -> pa.RecordBatch:
-        best, top = held["best"], held["top"]
-        asked_by = np.repeat(held["left"]["prompt_id"].to_numpy(), best.shape[1])
-        return pa.RecordBatch.from_arrays([pa.array(asked_by), pa.array(best.ravel()), pa.array(top.ravel())], ["prompt_id", item_id, "score_micros"])
+    # Each side is read by many tasks, so both are written.
+    items = _written(_lowest(pool, item_id, k).mapInArrow(_pack(ROWS_PER_PAGE), "items binary, bytes bigint"))
+    asked = _written(prompts.repartition("prompt_id").mapInArrow(_pack(ROWS_PER_PAGE, "prompts"), "prompts binary, bytes bigint"), "asked")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        # A task pairs one block of prompts with all of its blocks of items in turn.
-        for batch in batches:
-            numbers = batch.column("asked").to_pylist()
-            for at, number in enumerate(numbers):
-                if held and held["asked"] != number:
-                    yield result(held)
-                    held = {}
-                if not held:
-                    held = {"asked": number, "left": _frame(batch.column("prompts"), at)}
-                right = _frame(batch.column("rows"), at).sort_values(item_id)
-                micros = np.rint(np.asarray(scorer(held["left"], right), dtype=np.float64) * SCALE).astype(np.int64)
-                held["best"], held["top"] = merged(held, right[item_id].to_numpy(), micros)
-        if held:
-            yield result(held)
-
-    scored = pairs.select("asked", "prompts", "rows").mapInArrow(score, f"prompt_id {prompt_kind}, {item_id} {kind}, score_micros bigint")
+        for batch, at, held in _pairs(batches, scorer, k, prompts_per_block):
+            if batch is None:
+                yield from held.result(item_id)
+            else:
+                held.add(_frame(batch.column("items"), at).sort_values(item_id), item_id)
+
+    pairs = asked.select("asked", "prompts").hint("shuffle_replicate_nl").crossJoin(_parts(items).select("items"))
+    return _ranked(pairs.mapInArrow(score, _found(prompts, pool, item_id)), item_id, k)
+
+
+def _lowest(pool: DataFrame, item_id: str, k: int) -> DataFrame:
+    """The pool without rows of which k others with lower ids are equal in all else: no score ranks them among the k best."""
+    alike = [c for c in pool.columns if c != item_id]
+    hashed = pool.withColumn("_hash", F.xxhash64(*alike))
+    w = Window.partitionBy("_hash", *alike).orderBy(item_id)
+    return hashed.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).select(*pool.columns)
+
+
+def _written(pages: DataFrame, number: str | None = None) -> DataFrame:
+    return work_table(pages if number is None else pages.withColumn(number, F.monotonically_increasing_id()), rows_per_file=PAGES_PER_FILE)
+
+
+def _parts(items: DataFrame) -> DataFrame:
+    """``items`` in few partitions of bounded size, so that a task sees many of them for its prompts."""
+    size = items.agg(F.sum("bytes")).first()[0] or 0
+    return items.coalesce(max(LEAST_PARTS, math.ceil(size / PART_BYTES)))
+
+
+def _found(prompts: DataFrame, pool: DataFrame, item_id: str) -> str:
+    return f"prompt_id {dict(prompts.dtypes)['prompt_id']}, {item_id} {dict(pool.dtypes)[item_id]}, score_micros bigint"
+
+
+def _ranked(scored: DataFrame, item_id: str, k: int) -> DataFrame:
+    """The k best per prompt of what the tasks have found."""
     w = Window.partitionBy("prompt_id").orderBy(F.desc("score_micros"), item_id)
     # Filtered on the bare row number, which lets Spark keep only k rows per prompt before the shuffle.
     best = scored.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k)
     return best.withColumn("rank", F.col("_place") - 1).drop("_place")
 
 
-def _frame(lists: pa.ListArray, at: int) -> pd.DataFrame:
-    """The rows of one list of structs."""
-    rows = lists.slice(at, 1).flatten()
-    return pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type]).to_pandas()
-
-
-def _pack(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (structs) of an Arrow batch as lists of at most ``most``."""
+def _pairs(batches: Iterator[pa.RecordBatch], scorer: Scorer, k: int, size: int, floor: Callable | None = None) -> Iterator[tuple]:
+    """Each pair of pages (batch, row, the best of the prompts' page), and (None, None, best) after the last of a page of prompts."""
+    held = number = None
+    for batch in batches:
+        for at, asked in enumerate(batch.column("asked").to_pylist()):
+            # A task pairs one page of prompts with all of its pages of items in turn.
+            if held is None or asked != number:
+                if held is not None:
+                    yield None, None, held
+                held, number = _Held(_frame(batch.column("prompts"), at), scorer, k, size, floor and floor(batch, at)), asked
+            yield batch, at, held
+    if held is not None:
+        yield None, None, held
+
+
+def _frame(pages: pa.Array, at: int) -> pd.DataFrame:
+    """The rows of one page."""
+    return pa.ipc.open_stream(pages[at].as_buffer()).read_all().to_pandas()
+
+
+def _page(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """A partition's rows in batches of ``most`` (fewer, if they are wide); the last ones share what is left."""
+    held, size = None, most
+    whole = lambda table: table.combine_chunks().to_batches()[0]
+    for batch in batches:
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new])
+        size = max(1, min(most, PAGE_BYTES * held.num_rows // max(1, held.nbytes)))
+        while held.num_rows >= 2 * size:
+            yield whole(held.slice(0, size))
+            held = held.slice(size)
+    if held is not None and held.num_rows:
+        even = math.ceil(held.num_rows / math.ceil(held.num_rows / size))
+        for first in range(0, held.num_rows, even):
+            yield whole(held.slice(first, even))
+
+
+def _pack(most: int, name: str = "items") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows as pages of at most ``most``, in Arrow's stream format."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, most):
-                rows = batch.column(0).slice(first, most)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(rows)], rows)], ["rows"])
+        for rows in _sliced(batches, most):
+            page = _page(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([page], pa.binary()), pa.array([len(page)], pa.int64())], [name, "bytes"])
 
     return pack
 
@@ -142,21 +296,45 @@ def motion_factor(preference: pd.Series, motion: pd.Series) -> np.ndarray:
     return np.where(np.isnan(wanted)[:, None], 1.0, factor)
 
 
-def semantic_scorer(weight: float = TRANSCRIPT_WEIGHT) -> Scorer:
+class _Products:
+    """Scores that are inner products, as a matrix."""
+
+    def __call__(self, prompts: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+        out, asked = np.zeros((len(prompts), len(items))), matrix(prompts["vector"])
+        for rows, theirs in self.vectors(prompts, items):
+            if asked.shape[1] and theirs.shape[1]:
+                out[rows] = asked[rows] @ theirs.T
+        return out
+
+
+class SemanticScorer(_Products):
     """Visual similarity times the motion factor, plus the weighted similarity of the spoken text."""
 
-    def score(prompts: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
-        asked = matrix(prompts["vector"])
-        seen = asked @ matrix(items["vector"]).T
-        said = [None if v is None else v for v in items["cue_vector"]]
-        heard = asked @ matrix(pd.Series(said)).T if any(v is not None for v in said) else 0.0
-        return seen * motion_factor(prompts["motion"], items["motion_score"]) + weight * heard
+    def __init__(self, weight: float) -> None:
+        self.weight = weight
+
+    def vectors(self, prompts: pd.DataFrame, items: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per motion that is asked for, the prompts that ask for it, and seen and spoken vectors of the items in one."""
+        seen, heard = matrix(items["vector"]), matrix(items["cue_vector"])
+        width = max(seen.shape[1], heard.shape[1])
+        seen, heard = (x if x.shape[1] else np.zeros((len(items), width)) for x in (seen, heard))
+        motions = prompts["motion"].where(prompts["motion"].isin(MOTION_TARGETS), None)
+        for _, rows in motions.reset_index(drop=True).groupby(motions.fillna("").to_numpy()):
+            yield rows.index.to_numpy(), motion_factor(rows.iloc[:1], items["motion_score"])[0][:, None] * seen + self.weight * heard
+
+
+def semantic_scorer(weight: float = TRANSCRIPT_WEIGHT) -> Scorer:
+    return SemanticScorer(weight)
+
 
-    return score
+class DotScorer(_Products):
+    """The inner product of the vectors."""
 
+    def vectors(self, prompts: pd.DataFrame, items: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield np.arange(len(prompts)), matrix(items["vector"])
 
-def dot_scorer(prompts: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
-    return matrix(prompts["vector"]) @ matrix(items["vector"]).T
+
+dot_scorer = DotScorer()
 
 
 def semantic_topk(prompts: DataFrame, keyframes: DataFrame, *, k: int = CANDIDATES, weight: float = TRANSCRIPT_WEIGHT) -> DataFrame:
@@ -217,41 +395,59 @@ class SemanticBall(Ball):
 
 
 class Ranked(NamedTuple):
-    """best: the rows of :func:`rank_blocks`. scored: the pairs of blocks (asked, block) whose scores were worked out, of ``pairs`` pairs in all."""
+    """best: the rows of :func:`rank_blocks`. scored: the pairs of blocks (asked, block) whose scores are worked out, of ``pairs`` pairs in all."""
 
     best: DataFrame
     scored: DataFrame
     pairs: int
 
 
-def _clustered(rows: DataFrame, pivots: np.ndarray, order: str, size: int, name: str, ball: Ball | None) -> DataFrame:
-    """Blocks of at most ``size`` rows that are nearest to the same pivot, written: ``name`` (a number), rows, summary."""
+#: A block is numbered by its page and its place on it; a page has fewer blocks than this.
+PLACES = 1 << 14
+
+
+def _clustered(rows: DataFrame, pivots: np.ndarray, order: str, size: int, name: str, page: str, ball: Ball | None) -> DataFrame:
+    """Pages of blocks of at most ``size`` rows that are nearest to the same pivot, written: ``page`` (a number), ``name`` (the rows), bytes, sizes, summaries."""
     width = pivots.shape[1]
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = matrix(batch["vector"])
-            near = (vectors @ pivots.T).argmax(axis=1) if vectors.shape[1] == width else np.zeros(len(batch), np.int64)
-            yield batch.assign(_pivot=near.astype(np.int64))
+            vectors = matrix(batch.column("vector").to_pandas())
+            near = (vectors @ pivots.T).argmax(axis=1) if vectors.shape[1] == width else np.zeros(len(vectors))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], [*batch.schema.names, "_pivot"])
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, near in batch.groupby("_pivot", sort=True):
-                near = near.drop(columns="_pivot")
-                for first in range(0, len(near), size):
-                    part = near.iloc[first : first + size]
-                    yield pd.DataFrame({"rows": [part.to_dict("records")], "summary": [ball.summary(part, width) if ball else []]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, ROWS_PER_PAGE):
+            near, kept = batch.column("_pivot").to_numpy(), batch.select(batch.schema.names[:-1])
+            ends = [*(np.flatnonzero(np.diff(near)) + 1), len(near)]
+            starts = [x for a, b in zip([0, *ends[:-1]], ends, strict=True) for x in range(a, b, size)]
+            sizes = np.diff([*starts, len(near)])
+            blocks = [ball.summary(kept.slice(a, n).to_pandas(), width) for a, n in zip(starts, sizes, strict=True)] if ball else []
+            data = _page(kept)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([data], pa.binary()), pa.array([len(data)], pa.int64()), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.list_(pa.float64())))],
+                [name, "bytes", "sizes", "summaries"],
+            )
 
     # A pivot that very many rows are nearest to is dealt over several partitions.
-    placed = rows.mapInPandas(assign, f"{_ddl(rows)}, _pivot bigint").repartitionByRange("_pivot", order).sortWithinPartitions("_pivot", order)
-    packed = placed.mapInPandas(pack, f"rows array<{rows.schema.simpleString()}>, summary array<double>")
-    return work_table(packed.withColumn(name, F.monotonically_increasing_id()))
+    placed = rows.mapInArrow(assign, f"{_ddl(rows)}, _pivot bigint").repartitionByRange("_pivot", order).sortWithinPartitions("_pivot", order)
+    return _written(placed.mapInArrow(pack, f"{name} binary, bytes bigint, sizes array<bigint>, summaries array<array<double>>"), page)
 
 
 def _ddl(rows: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
 
+def _edges(sizes: pa.Scalar) -> np.ndarray:
+    """Where the blocks of a page begin, and its end."""
+    return np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+
+
+def _least(listed: pa.Scalar) -> np.ndarray:
+    """The highest threshold of each prompt, of those that tasks have found."""
+    return np.max(np.stack([x.values.to_numpy() for x in listed]), axis=0)
+
+
 def rank_bounded(
     prompts: DataFrame, pool: DataFrame, scorer: Scorer, ball: Ball, *, item_id: str, k: int = CANDIDATES,
     items_per_block: int = ITEMS_PER_BLOCK, prompts_per_block: int = PROMPTS_PER_BLOCK,
@@ -260,66 +456,92 @@ def rank_bounded(
 
     Blocks are formed of vectors near the same pivot, each with its centres and radii. The most promising blocks of a block of prompts
     are scored first; their k-th scores are thresholds. A pair of blocks is scored only if some prompt's bound reaches its threshold.
-    Blocks are written once and read by the tasks that pair them: neither prompts nor the pool's rows are shuffled per pair.
-    ``prompts`` and ``pool`` need a column ``vector``; the result is exact.
+    Blocks are written once, many to a page, and pages are read by the tasks that pair them: neither prompts nor the pool's rows are
+    shuffled per pair. ``prompts`` and ``pool`` need a column ``vector``; the result is exact.
     """
+    pool = work_table(pool)  # read for the pivots, for the ranges and for the blocks
     sample = pool.where(F.col("vector").isNotNull()).orderBy(F.xxhash64(item_id), item_id).limit(PIVOTS).select("vector").collect()
     pivots = np.array([row["vector"] for row in sample], dtype=np.float64).reshape(len(sample), -1) if sample else np.zeros((1, 1))
-    blocks = _clustered(pool, pivots, item_id, items_per_block, "block", ball)
-    asked = _clustered(prompts, pivots, "prompt_id", prompts_per_block, "asked", None).select("asked", F.col("rows").alias("prompts"))
-    count = blocks.count()
-    page = F.pmod(F.xxhash64("block"), F.lit(max(1, math.ceil(count / PAGE))))
-    summaries = work_table(blocks.groupBy(page.alias("page")).agg(F.collect_list(F.struct("block", "summary")).alias("listed")).select("listed"))
-    looks = asked.hint("shuffle_replicate_nl").crossJoin(summaries)
-
-    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    items = _clustered(pool, pivots, item_id, items_per_block, "items", "page", ball)
+    asked = _clustered(prompts, pivots, "prompt_id", prompts_per_block, "prompts", "asked", None).select("asked", "prompts", "sizes")
+    count, left = (pages.agg(F.sum(F.size("sizes"))).first()[0] or 0 for pages in (items, asked))
+    group = F.pmod(F.xxhash64("page"), F.lit(max(1, math.ceil(count / PAGE))))
+    listed = work_table(items.groupBy(group.alias("group")).agg(F.collect_list(F.struct("page", "summaries")).alias("listed")).select("listed"))
+
+    def bounds(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, slice, np.ndarray, np.ndarray]]:
+        """Per block of prompts of a row: its place, its rows, the numbers of the blocks listed, and bounds of their scores."""
+        pages = batch.column("listed")[at].as_py()
+        numbers = np.concatenate([x["page"] * PLACES + np.arange(len(x["summaries"])) for x in pages])
+        summaries, edges, left = np.array([y for x in pages for y in x["summaries"]], dtype=np.float64), _edges(batch.column("sizes")[at]), _frame(batch.column("prompts"), at)
+        for part, (first, end) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            yield part, slice(first, end), numbers, ball.upper(left.iloc[first:end], summaries)
+
+    def promise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                numbers = np.array([x["block"] for x in row.listed], dtype=np.int64)
-                yield row, numbers, ball.upper(pd.DataFrame(list(row.prompts)), np.array([x["summary"] for x in row.listed], dtype=np.float64))
-
-    def promise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, numbers, most in bounds(batches):
-            total = most.sum(axis=0)
-            top = np.argsort(-total, kind="stable")[:SEEDS]
-            yield pd.DataFrame({"asked": row.asked, "block": numbers[top], "promise": total[top]})
-
-    first = looks.select("asked", "prompts", "listed").mapInPandas(promise, "asked bigint, block bigint, promise double")
-    best_first = Window.partitionBy("asked").orderBy(F.desc("promise"), "block")
-    seeds = first.withColumn("_place", F.row_number().over(best_first)).where(F.col("_place") <= SEEDS).select("asked", "block")
+            for at, number in enumerate(batch.column("asked").to_pylist()):
+                for part, _, numbers, most in bounds(batch, at):
+                    total = most.sum(axis=0)
+                    top = np.argsort(-total, kind="stable")[:SEEDS]
+                    yield pa.RecordBatch.from_pydict({"asked": [number] * len(top), "part": [part] * len(top), "block": numbers[top], "promise": total[top]})
+
+    first = asked.hint("shuffle_replicate_nl").crossJoin(listed).mapInArrow(promise, "asked bigint, part bigint, block bigint, promise double")
+    best_first = Window.partitionBy("asked", "part").orderBy(F.desc("promise"), "block")
+    seeds = first.withColumn("_place", F.row_number().over(best_first)).where(F.col("_place") <= SEEDS)
+    page = F.shiftright("block", int(math.log2(PLACES)))
+    seeds = seeds.groupBy("asked").agg(F.collect_list("part").alias("parts"), F.collect_list("block").alias("blocks"), F.collect_set(page).alias("pages"))
+    sown = work_table(asked.join(seeds, "asked"))
+
+    def chosen(edges: np.ndarray, blocks: np.ndarray, asked_edges: np.ndarray, needed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Places of prompts and items of the ``needed`` pairs of blocks; None for all."""
+        if needed.all():
+            return None
+        at = np.arange(edges[-1])
+        return [(np.arange(a, b), at[np.repeat(wanted, blocks)]) for a, b, wanted in zip(asked_edges[:-1], asked_edges[1:], needed, strict=True) if wanted.any()]
+
+    def threshold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = None
+        for batch, at, held in _pairs(batches, scorer, k, prompts_per_block):
+            if batch is None:
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([held.top[:, -1]], pa.list_(pa.int64()))], ["asked", "least"])
+                continue
+            number, edges, asked_edges = batch.column("asked")[at].as_py(), _edges(batch.column("item_sizes")[at]), _edges(batch.column("sizes")[at])
+            needed = np.zeros((len(asked_edges) - 1, len(edges) - 1), bool)
+            for part, block in zip(batch.column("parts")[at].as_py(), batch.column("blocks")[at].as_py(), strict=True):
+                if block // PLACES == batch.column("page")[at].as_py():
+                    needed[part, block % PLACES] = True
+            held.add(_frame(batch.column("items"), at), item_id, chosen(edges, np.diff(edges), asked_edges, needed))
+
+    paged = _parts(items).select("page", "items", F.col("sizes").alias("item_sizes"), "summaries")
+    pairs = sown.hint("shuffle_replicate_nl").join(paged.drop("summaries"), F.array_contains("pages", F.col("page")))
+    least = pairs.mapInArrow(threshold, "asked bigint, least array<bigint>").groupBy("asked").agg(F.collect_list("least").alias("least"))
+    held = work_table(asked.join(least, "asked"))
 
-    def scores(row) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:  # noqa: ANN001
-        left, right = pd.DataFrame(list(row.prompts)), pd.DataFrame(list(row.rows)).sort_values(item_id)
-        return left, right[item_id].to_numpy(), np.rint(np.asarray(scorer(left, right), dtype=np.float64) * SCALE).astype(np.int64)
+    def reaches(most: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        return (most + SLACK >= np.where(wanted > MISSING, wanted / SCALE, -np.inf)[:, None]).any(axis=0)
 
-    def threshold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                _, ids, micros = scores(row)
-                least = np.sort(micros, axis=1)[:, -k] / SCALE if len(ids) >= k else np.full(len(micros), -np.inf)
-                yield pd.DataFrame({"asked": [row.asked], "least": [least]})
-
-    def with_rows(pairs: DataFrame) -> DataFrame:
-        return pairs.join(blocks.select("block", "rows"), "block").join(asked, "asked").select("asked", "prompts", "rows")
-
-    least = with_rows(seeds).mapInPandas(threshold, "asked bigint, least array<double>")
-    least = least.groupBy("asked").agg(F.collect_list("least").alias("least"))
+            for at, number in enumerate(batch.column("asked").to_pylist()):
+                wanted = _least(batch.column("least")[at])
+                for part, rows, numbers, most in bounds(batch, at):
+                    numbers = numbers[reaches(most, wanted[rows])]
+                    yield pa.RecordBatch.from_pydict({"asked": np.full(len(numbers), number * PLACES + part), "block": numbers})
 
-    def reaches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, numbers, most in bounds(batches):
-            wanted = np.max(np.stack([np.asarray(x, dtype=np.float64) for x in row.least]), axis=0)
-            kept = numbers[(most + SLACK >= wanted[:, None]).any(axis=0)]
-            yield pd.DataFrame({"asked": np.full(len(kept), row.asked), "block": kept})
+    scored = held.hint("shuffle_replicate_nl").crossJoin(listed).mapInArrow(kept, "asked bigint, block bigint")
 
-    held = work_table(asked.join(least, "asked"))
-    looks = held.hint("shuffle_replicate_nl").crossJoin(summaries)
-    scored = work_table(looks.select("asked", "prompts", "listed", "least").mapInPandas(reaches, "asked bigint, block bigint"))
-
-    # The numbers of the blocks that a block of prompts needs go with it; rows of blocks are not dealt out again for each pair.
-    kept = scored.groupBy("asked").agg(F.collect_set("block").alias("kept"))
-    needs = work_table(asked.join(kept, "asked"))
-    best = _ranked(needs, blocks, F.array_contains("kept", F.col("block")), scorer, prompts, pool, item_id, k)
-    return Ranked(best, scored, count * asked.count())
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, at, best in _pairs(batches, scorer, k, prompts_per_block, lambda batch, at: _least(batch.column("least")[at])):
+            if batch is None:
+                yield from best.result(item_id)
+                continue
+            edges, asked_edges = _edges(batch.column("item_sizes")[at]), _edges(batch.column("sizes")[at])
+            summaries = np.array(batch.column("summaries")[at].as_py(), dtype=np.float64)
+            needed = np.stack([reaches(ball.upper(best.prompts.iloc[a:b], summaries), best.floor[a:b]) for a, b in zip(asked_edges[:-1], asked_edges[1:], strict=True)])
+            if needed.any():
+                best.add(_frame(batch.column("items"), at), item_id, chosen(edges, np.diff(edges), asked_edges, needed))
+
+    both = held.hint("shuffle_replicate_nl").crossJoin(paged)
+    return Ranked(_ranked(both.mapInArrow(score, _found(prompts, pool, item_id)), item_id, k), scored, count * left)
 
 
 def semantic_topk_bounded(prompts: DataFrame, keyframes: DataFrame, *, k: int = CANDIDATES, weight: float = TRANSCRIPT_WEIGHT, **sizes: int) -> Ranked:

@@ -619,3 +619,24 @@ def test_pairs_of_blocks_are_not_dealt(spark):
         plan = final_plan(found)
         assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
     assert rows(best.select("prompt_id", "rank", "keyframe_id"), "prompt_id", "rank") == rows(bounded.select("prompt_id", "rank", "keyframe_id"), "prompt_id", "rank")
+
+
+def test_items_alike_are_scored_a_few_times(spark):
+    """Of 30,000 items with 20 different vectors between them, a scorer sees the k lowest of each; missing vectors are alike too."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def scorer(prompts, items):
+        seen.add(len(items))
+        return ranking.dot_scorer(prompts, items)
+
+    pool = spark.range(30_000).select((F.lit(40_000) - F.col("id")).alias("segment_id"), F.expr("if(id % 20 = 0, null, array(cast(id % 20 div 2 AS float), 1f))").alias("vector"))
+    prompts = table(spark, [(1, [1.0, 0.0]), (2, [-1.0, 1.0]), (3, None)], "prompt_id bigint, vector array<float>")
+    got = rows(ranking.rank_blocks(prompts, pool, scorer, item_id="segment_id", k=3).select("prompt_id", "rank", "segment_id", "score_micros"), "prompt_id", "rank")
+    item = {40_000 - i: None if i % 20 == 0 else (i % 20 // 2, 1) for i in range(30_000)}
+    want = []
+    for p, a, b in ((1, 1, 0), (2, -1, 1), (3, 0, 0)):
+        best = sorted((-1_000_000 * (a * v[0] + b * v[1]) if v else 0, i) for i, v in item.items())[:3]
+        want += [(p, r, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == want
+    assert seen.value <= 20 * 3 * 3  # of 11 different rows, three each, once per partition of prompts
+    assert rows(ranking.rank_blocks(prompts, pool, ranking.dot_scorer, item_id="segment_id", k=3).select("prompt_id", "rank", "segment_id", "score_micros"), "prompt_id", "rank") == want
