@@ -27,11 +27,13 @@ from cuespan.session import work_table
 #: Prompts that a scorer sees at a time, and that bounds are taken for together.
 PROMPTS_PER_BLOCK = 1024
 #: Rows of one page, and bytes that it holds at most; pages of one file.
-ROWS_PER_PAGE, PAGE_BYTES, PAGES_PER_FILE = 8192, 16 << 20, 2
+PROMPTS_PER_PAGE, ITEMS_PER_PAGE, PAGE_BYTES, PAGES_PER_FILE = 32768, 16384, 16 << 20, 1
+#: Items that a scorer sees at a time where all pairs are worked out: a matrix of scores has at most 1024 x 8192 cells.
+ITEMS_PER_CALL = 8192
 #: Bytes of the pool that one task pairs with its prompts, and parts of the pool that are made if there are pages enough.
 PART_BYTES, LEAST_PARTS = 64 << 20, 4
 #: Prompts and items of a tile; the first tiles of a page are smaller, until thresholds are known.
-TILE_PROMPTS, FIRST_ITEMS, TILE_ITEMS = 256, 256, 2048
+TILE_PROMPTS, FIRST_ITEMS, TILE_ITEMS = 512, 256, 1024
 #: A tile of which more than one pair in so many may be among the best is scored whole.
 SPARSE = 32
 SCALE = 1_000_000
@@ -92,7 +94,9 @@ class _Held:
                 places = places[np.argsort(ids[places], kind="stable")]
                 for first in range(0, len(rows), self.size):
                     own = rows[first : first + self.size]
-                    self._whole(own, ids[places], np.asarray(self.scorer(self.prompts.iloc[own], items.iloc[places]), dtype=np.float64))
+                    for at in range(0, len(places), ITEMS_PER_CALL):
+                        part = places[at : at + ITEMS_PER_CALL]
+                        self._whole(own, ids[part], np.asarray(self.scorer(self.prompts.iloc[own], items.iloc[part]), dtype=np.float64))
             return
         for kind, theirs in self.scorer.vectors(self.prompts, items):
             theirs = theirs if theirs.shape[1] else np.zeros((len(items), self.vectors.shape[1]))
@@ -120,29 +124,31 @@ class _Held:
         first, step = 0, FIRST_ITEMS
         while first < len(ids):
             part = slice(first, min(first + step, len(ids)))
-            n = part.stop - part.start
+            n, good, across = part.stop - part.start, [], np.ascontiguousarray(theirs32[part].T)
             for at in range(0, len(rows), TILE_PROMPTS):
                 own = rows[at : at + TILE_PROMPTS]
                 tile = slice(at, at + len(own))
                 least = np.maximum(self.top[own, -1], self.floor[own])
                 found = None
                 if narrow and least.min() > MISSING:
-                    found = self._marked(ours32[tile], theirs32[part], (least - 0.5) / SCALE - slack[tile], scores, marks)
+                    found = self._marked(ours32[tile], across, (least - 0.5) / SCALE - slack[tile], scores, marks)
                 if found is None or len(found) > len(own) * n // SPARSE:
                     order = np.argsort(ids[part], kind="stable") + first
                     self._whole(own, ids[order], ours[tile] @ theirs[order].T)
                 elif len(found):
                     by, of = np.divmod(found, n)
                     micros = np.rint(np.einsum("ij,ij->i", ours[at + by], theirs[first + of]) * SCALE).astype(np.int64)
-                    good = micros >= least[by]
-                    self._take(own[by[good]], ids[first + of[good]], micros[good])
+                    reach = micros >= least[by]
+                    good.append((own[by[reach]], ids[first + of[reach]], micros[reach]))
+            if good:
+                self._take(*(np.concatenate(x) for x in zip(*good, strict=True)))
             first, step = part.stop, min(2 * step, TILE_ITEMS)
 
     @staticmethod
     def _marked(ours: np.ndarray, theirs: np.ndarray, least: np.ndarray, scores: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Places of the pairs that may reach ``least``, row by row; ``scores`` and ``marks`` are room to work in."""
-        shape, count = (len(ours), len(theirs)), len(ours) * len(theirs)
-        out = np.matmul(ours, theirs.T, out=scores[:count].reshape(shape))
+        shape, count = (len(ours), theirs.shape[1]), len(ours) * theirs.shape[1]
+        out = np.matmul(ours, theirs, out=scores[:count].reshape(shape))
         with np.errstate(over="ignore"):
             least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
         np.greater_equal(out, least[:, None], out=marks[:count].reshape(shape))
@@ -157,13 +163,14 @@ class _Held:
         """Let items found (prompt's place, id, score) in among the k best."""
         if not len(rows):
             return
-        hit = np.unique(rows)
+        counts = np.bincount(rows, minlength=len(self.top))
+        hit = np.flatnonzero(counts)
+        counts = counts[hit] + self.k
         rows = np.concatenate([np.repeat(hit, self.k), rows])
         ids = np.concatenate([self.ids[hit].ravel(), ids])
         micros = np.concatenate([self.top[hit].ravel(), micros])
         # Score down, then id up.
         order = np.lexsort((ids, -micros, rows))
-        counts = np.bincount(np.searchsorted(hit, rows), minlength=len(hit))
         place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
         kept = order[place < self.k].reshape(len(hit), self.k)
         self.ids[hit], self.top[hit] = ids[kept], micros[kept]
@@ -190,8 +197,8 @@ def rank_blocks(
     Scores are compared in whole millionths. ``prompts`` needs ``prompt_id``.
     """
     # Each side is read by many tasks, so both are written.
-    items = _written(_lowest(pool, item_id, k).mapInArrow(_pack(ROWS_PER_PAGE), "items binary, bytes bigint"))
-    asked = _written(prompts.repartition("prompt_id").mapInArrow(_pack(ROWS_PER_PAGE, "prompts"), "prompts binary, bytes bigint"), "asked")
+    items = _written(_lowest(pool, item_id, k).mapInArrow(_pack(ITEMS_PER_PAGE), "items binary, bytes bigint"))
+    asked = _written(prompts.repartition("prompt_id").mapInArrow(_pack(PROMPTS_PER_PAGE, "prompts"), "prompts binary, bytes bigint"), "asked")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, at, held in _pairs(batches, scorer, k, prompts_per_block):
@@ -403,10 +410,10 @@ class Ranked(NamedTuple):
 
 
 #: A block is numbered by its page and its place on it; a page has fewer blocks than this.
-PLACES = 1 << 14
+PLACES = 1 << 16
 
 
-def _clustered(rows: DataFrame, pivots: np.ndarray, order: str, size: int, name: str, page: str, ball: Ball | None) -> DataFrame:
+def _clustered(rows: DataFrame, pivots: np.ndarray, order: str, size: int, most: int, name: str, page: str, ball: Ball | None) -> DataFrame:
     """Pages of blocks of at most ``size`` rows that are nearest to the same pivot, written: ``page`` (a number), ``name`` (the rows), bytes, sizes, summaries."""
     width = pivots.shape[1]
 
@@ -417,7 +424,7 @@ def _clustered(rows: DataFrame, pivots: np.ndarray, order: str, size: int, name:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int64))], [*batch.schema.names, "_pivot"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches, ROWS_PER_PAGE):
+        for batch in _sliced(batches, most):
             near, kept = batch.column("_pivot").to_numpy(), batch.select(batch.schema.names[:-1])
             ends = [*(np.flatnonzero(np.diff(near)) + 1), len(near)]
             starts = [x for a, b in zip([0, *ends[:-1]], ends, strict=True) for x in range(a, b, size)]
@@ -462,8 +469,8 @@ def rank_bounded(
     pool = work_table(pool)  # read for the pivots, for the ranges and for the blocks
     sample = pool.where(F.col("vector").isNotNull()).orderBy(F.xxhash64(item_id), item_id).limit(PIVOTS).select("vector").collect()
     pivots = np.array([row["vector"] for row in sample], dtype=np.float64).reshape(len(sample), -1) if sample else np.zeros((1, 1))
-    items = _clustered(pool, pivots, item_id, items_per_block, "items", "page", ball)
-    asked = _clustered(prompts, pivots, "prompt_id", prompts_per_block, "prompts", "asked", None).select("asked", "prompts", "sizes")
+    items = _clustered(pool, pivots, item_id, items_per_block, ITEMS_PER_PAGE, "items", "page", ball)
+    asked = _clustered(prompts, pivots, "prompt_id", prompts_per_block, PROMPTS_PER_PAGE, "prompts", "asked", None).select("asked", "prompts", "sizes")
     count, left = (pages.agg(F.sum(F.size("sizes"))).first()[0] or 0 for pages in (items, asked))
     group = F.pmod(F.xxhash64("page"), F.lit(max(1, math.ceil(count / PAGE))))
     listed = work_table(items.groupBy(group.alias("group")).agg(F.collect_list(F.struct("page", "summaries")).alias("listed")).select("listed"))

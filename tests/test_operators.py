@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -640,3 +641,44 @@ def test_items_alike_are_scored_a_few_times(spark):
     assert got == want
     assert seen.value <= 20 * 3 * 3  # of 11 different rows, three each, once per partition of prompts
     assert rows(ranking.rank_blocks(prompts, pool, ranking.dot_scorer, item_id="segment_id", k=3).select("prompt_id", "rank", "segment_id", "score_micros"), "prompt_id", "rank") == want
+
+
+def test_products_are_rescored_where_single_precision_cannot_tell(monkeypatch):
+    """Scores that lie nearer than single precision resolves, ties and missing vectors; few pairs are worked out in double precision."""
+    rng, whole = np.random.default_rng(6), []
+    known = ranking._Held._whole
+    monkeypatch.setattr(ranking._Held, "_whole", lambda self, rows, ids, scores: (whole.append(scores.size), known(self, rows, ids, scores)))
+    vectors = rng.normal(size=(20_000, 16))
+    vectors[5000:9000] = vectors[5000] + rng.integers(0, 40, (4000, 1)) * 1e-8  # many equal, others 1e-8 apart
+    items = pd.DataFrame({"segment_id": rng.permutation(20_000), "vector": [None if i % 97 == 0 else v for i, v in enumerate(vectors)]})
+    asked = np.vstack([vectors[5000] * 30, rng.normal(size=(600, 16)) * 100])
+    prompts = pd.DataFrame({"prompt_id": range(601), "vector": list(asked)})
+    held = ranking._Held(prompts, ranking.dot_scorer, 5, 1024)
+    for first in range(0, 20_000, 7000):
+        held.add(items.iloc[first : first + 7000], "segment_id")
+    scores = np.rint(asked @ np.where(np.arange(20_000)[:, None] % 97 == 0, 0.0, vectors).T * 1e6).astype(np.int64)
+    order = np.lexsort((np.broadcast_to(items["segment_id"], scores.shape), -scores), axis=1)[:, :5]
+    assert (held.ids == items["segment_id"].to_numpy()[order]).all() and (held.top == np.take_along_axis(scores, order, axis=1)).all()
+    assert sum(whole) < 0.2 * scores.size
+
+
+def test_blocks_meet_by_the_page(spark):
+    """Forty times 25 blocks of prompts and items are a few pairs of pages: rows copied per pair of blocks would be the most of the work."""
+    rng = np.random.default_rng(5)
+    pool = table(spark, [(i, rng.normal(size=4).tolist()) for i in range(500)], "keyframe_id bigint, vector array<double>")
+    prompts = pool.withColumnRenamed("keyframe_id", "prompt_id")
+    ranked = ranking.rank_bounded(prompts, pool, ranking.dot_scorer, ranking.Ball(), item_id="keyframe_id", k=3, items_per_block=20, prompts_per_block=16)
+    assert ranked.pairs >= 25 * 32
+    ranked.best.collect()
+    plan, found = ranked.best._jdf.queryExecution().executedPlan(), []
+    walk = [plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while walk:
+        node = walk.pop()
+        node = node.plan() if node.getClass().getSimpleName().endswith("QueryStageExec") else node
+        if node.nodeName() == "CartesianProduct":
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        walk += [children.apply(i) for i in range(children.size())]
+    assert found and sum(found) <= 64
+    want = ranking.rank_blocks(prompts, pool, ranking.dot_scorer, item_id="keyframe_id", k=3)
+    assert rows(ranked.best.select(*want.columns), "prompt_id", "rank") == rows(want, "prompt_id", "rank")
