@@ -45,15 +45,13 @@ TRANSCRIPT_WEIGHT = 0.3
 MOTION_PENALTY = 0.3
 MOTION_TARGETS = {"low": 0.0, "medium": 0.5, "high": 1.0}
 
-#: A score per pair. One with a method ``vectors(prompts, items)``, which yields rows of prompts (their places) and a vector per item
-#: whose inner product with the prompt's ``vector`` is the score, is worked out faster.
 Scorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 
 
-def matrix(column: pd.Series, width: int = 0) -> np.ndarray:
-    """Stack a column of vectors; a missing vector is the zero vector. ``width``: that of the result if all are missing."""
+def matrix(column: pd.Series) -> np.ndarray:
+    """Stack a column of vectors; a missing vector is the zero vector, of no width if all are missing."""
     rows = [v for v in column if v is not None]
-    widths = {len(v) for v in rows} or {width}
+    widths = {len(v) for v in rows} or {0}
     if len(widths) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(widths)}")
     out = np.zeros((len(column), widths.pop()))
@@ -62,6 +60,21 @@ def matrix(column: pd.Series, width: int = 0) -> np.ndarray:
     return out
 
 
+class Products:
+    """A scorer whose scores are inner products of the prompts' ``vector`` with a vector per item; it is worked out faster than others."""
+
+    def vectors(self, prompts: pd.DataFrame, items: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of prompts, and the vectors of the items for these; every prompt comes once."""
+        raise NotImplementedError
+
+    def __call__(self, prompts: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
+        out, asked = np.zeros((len(prompts), len(items))), matrix(prompts["vector"])
+        for rows, theirs in self.vectors(prompts, items):
+            if asked.shape[1] and theirs.shape[1]:
+                out[rows] = asked[rows] @ theirs.T
+        return out
+
+
 def _best(micros: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per prompt, the ids and scores of the k highest scores, lower ids first on a tie. ``ids`` ascend."""
     n = len(ids)
@@ -81,7 +94,7 @@ class _Held:
         self.top = np.full((len(prompts), k), MISSING)
         self.ids: np.ndarray | None = None
         self.floor = np.full(len(prompts), MISSING) if floor is None else floor
-        self.vectors = matrix(prompts["vector"]) if hasattr(scorer, "vectors") else None
+        self.vectors = matrix(prompts["vector"]) if isinstance(scorer, Products) else None
 
     def add(self, items: pd.DataFrame, item_id: str, chosen: list[tuple[np.ndarray, np.ndarray]] | None = None) -> None:
         """Score ``items``; ``chosen`` has the places of prompts and of items that are paired, all with all if None."""
@@ -205,7 +218,7 @@ def rank_blocks(
             if batch is None:
                 yield from held.result(item_id)
             else:
-                held.add(_frame(batch.column("items"), at).sort_values(item_id), item_id)
+                held.add(_frame(batch.column("items"), at), item_id)
 
     pairs = asked.select("asked", "prompts").hint("shuffle_replicate_nl").crossJoin(_parts(items).select("items"))
     return _ranked(pairs.mapInArrow(score, _found(prompts, pool, item_id)), item_id, k)
@@ -303,18 +316,7 @@ def motion_factor(preference: pd.Series, motion: pd.Series) -> np.ndarray:
     return np.where(np.isnan(wanted)[:, None], 1.0, factor)
 
 
-class _Products:
-    """Scores that are inner products, as a matrix."""
-
-    def __call__(self, prompts: pd.DataFrame, items: pd.DataFrame) -> np.ndarray:
-        out, asked = np.zeros((len(prompts), len(items))), matrix(prompts["vector"])
-        for rows, theirs in self.vectors(prompts, items):
-            if asked.shape[1] and theirs.shape[1]:
-                out[rows] = asked[rows] @ theirs.T
-        return out
-
-
-class SemanticScorer(_Products):
+class SemanticScorer(Products):
     """Visual similarity times the motion factor, plus the weighted similarity of the spoken text."""
 
     def __init__(self, weight: float) -> None:
@@ -334,7 +336,7 @@ def semantic_scorer(weight: float = TRANSCRIPT_WEIGHT) -> Scorer:
     return SemanticScorer(weight)
 
 
-class DotScorer(_Products):
+class DotScorer(Products):
     """The inner product of the vectors."""
 
     def vectors(self, prompts: pd.DataFrame, items: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
